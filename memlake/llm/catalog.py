@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from memlake.llm import quality
+from memlake.llm import langid, packing, quality, secrets, simhash, urls, warc
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.query}
+    return {
+        "op2_quality_rules": quality.query,
+        "op5_secret_scan": secrets.query,
+        "op6_simhash": simhash.query,
+        "op7_language_id": langid.query,
+        "op8_warc": warc.query,
+        "op9_packing": packing.query,
+        "op10_url_filter": urls.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.SQL}
+    return {"op2_quality_rules": quality.SQL, "op5_secret_scan": secrets.SQL, "op8_warc": warc.SQL, "op10_url_filter": urls.SQL}
