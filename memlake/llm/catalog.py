@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from memlake.llm import langid, packing, quality, secrets, simhash, urls, warc
+from memlake.llm import decontam, langid, lm, packing, quality, secrets, simhash, substrings, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontam.query,
         "op2_quality_rules": quality.query,
+        "op3_lm_score": lm.query,
+        "op4_substring_dedup": substrings.query,
         "op5_secret_scan": secrets.query,
         "op6_simhash": simhash.query,
         "op7_language_id": langid.query,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.SQL, "op5_secret_scan": secrets.SQL, "op8_warc": warc.SQL, "op10_url_filter": urls.SQL}
+    return {"op1_decontamination": decontam.SQL, "op2_quality_rules": quality.SQL, "op4_substring_dedup": substrings.SQL, "op5_secret_scan": secrets.SQL, "op8_warc": warc.SQL, "op10_url_filter": urls.SQL}

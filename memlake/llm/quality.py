@@ -64,8 +64,8 @@ def with_features(docs: DataFrame) -> DataFrame:
         .withColumn("_w", words(F.col("_t")))
         .withColumn("_l", let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))))
     )
-    counted = counted.withColumn(
-        "_f",
+    # Generated, so that no filter on _f is pushed below and computed again inside lambdas.
+    return counted.select(*docs.columns, F.explode(F.array(
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
             F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
@@ -73,9 +73,8 @@ def with_features(docs: DataFrame) -> DataFrame:
             F.col("_l.n").cast("long").alias("n_lines"),
             F.col("_l.d").cast("long").alias("n_dup_lines"),
             _repeat_words(F.col("_w")).alias("n_repeat_words"),
-        ),
-    )
-    return counted.select(*docs.columns, "_f")
+        )
+    )).alias("_f"))
 
 
 def _base_failed(f: str) -> Column:
@@ -135,8 +134,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     feats, _ = sized_stash(features(docs), "quality")
     bad, size = sized_stash(host_verdicts(feats).where("host_rejected").select(F.col("source").alias("_s")), "hosts")
-    rest = docs.join(small(bad, size), docs["source"] == bad["_s"], "left_anti")
-    return with_features(rest).where(~_base_failed("_f.")).select(docs.columns)
+    rest = docs.join(small(bad, size), docs["source"] == bad["_s"], "left_anti").select(F.struct("*").alias("_row"), "text")
+    return with_features(rest).where(~_base_failed("_f.")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

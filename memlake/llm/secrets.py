@@ -70,7 +70,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, 6), _found(text, ACCESS, 1), _found(text, HEX, 2)))
     more = F.filter(_found(text, MIXED, 3), _owned_like)
     apart = lambda b, c: F.filter(c, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return docs.withColumn("_b", base).withColumn("_c", more).withColumn("_c", apart(F.col("_b"), F.col("_c")))
+    both = let(base, lambda b: F.struct(b.alias("b"), apart(b, more).alias("c")))
+    # Generated, so that the patterns are run once, whatever is done with the spans.
+    out = docs.select("*", F.explode(F.array(both)).alias("_s"))
+    return out.withColumn("_b", F.col("_s.b")).withColumn("_c", F.col("_s.c")).drop("_s")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -121,13 +124,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Only values of one owner go; copied examples stay as they are. Text is cut between spans where it stands: live values
     reach a row as a list of digests, by broadcast if their stored size allows, else by a join on the row's own values.
     """
-    cols = docs.columns
     own = F.array_distinct(F.transform(F.concat("_b", "_c"), lambda x: F.sha1(x["v"].cast("binary"))))
     found = stash(with_spans(docs.select("doc_id", "source", "text")).select("doc_id", "source", own.alias("vals")).where(F.size("vals") > 0), "secrets")
     owners, size = sized_stash(ownership(found).where("live").select("value"), "owners")
     live = found.select("doc_id", F.explode("vals").alias("value")).distinct().join(small(owners, size), "value", "left_semi")
     live, size = sized_stash(live.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("value").alias("_lv")), "live")
-    rows = docs.join(small(live, size), docs["doc_id"].eqNullSafe(live["_d"]), "left")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text").join(small(live, size), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     hot = with_spans(rows.where("_lv IS NOT NULL"))
     hit = F.filter(F.array_sort(F.concat("_b", "_c")), lambda x: F.array_contains("_lv", F.sha1(x["v"].cast("binary"))))
 
@@ -138,9 +140,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text")))
     text = F.aggregate(hit, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, done)
-    kept = rows.where("_lv IS NULL").select(cols)
-    out = kept.unionByName(hot.withColumn("text", text).select(cols))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in cols else out
+    row = F.col("_row").withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_new").cast(dict(docs.dtypes)["n_chars"]))
+    changed = hot.select("_row", text.alias("_new")).select(row.alias("_row"))
+    return rows.where("_lv IS NULL").select("_row").unionByName(changed).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
