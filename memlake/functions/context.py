@@ -107,7 +107,7 @@ def from_text(text: Column, phrases=PHRASES, repos=(), areas=()) -> Column:
 
 def from_path(path: Column, root: Column, repo: Column) -> Column:
     """The context of a working folder; root and repo come from a table of projects. No root, no context."""
-    inside = F.regexp_replace(F.expr("path"), "^/", "") if path is None else F.when(path.startswith(root), F.regexp_replace(F.substr(path, F.length(root) + 1), "^/+", "")).otherwise(F.lit(""))
+    inside = F.when(path.startswith(root), F.regexp_replace(F.substr(path, F.length(root) + 1), "^/+", "")).otherwise(F.lit(""))
     part = F.get(F.filter(F.split(inside, "/"), lambda x: ~x.isin("", ".", "src", "lib", "crates")), F.lit(0))
     name = F.element_at(F.split(root, "/"), -1)
     tags = F.array_distinct(F.filter(F.transform(F.array_compact(F.array(name, part)), normalize_tag), lambda t: t != ""))
