@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.shared import ascii_lower, let
 
@@ -281,13 +282,16 @@ def task_keys(text: str | None, tools: tuple = TOOLS) -> list[str]:
     return list(keys)
 
 
-@F.pandas_udf("array<string>")
-def task_keys_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """task_keys() over Arrow batches: it looks ahead in a token list, which column functions can't do in one pass."""
+def _task_key_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(task_keys)
 
 
+def task_keys_udf(text: Column) -> Column:
+    """task_keys() over Arrow batches: it looks ahead in a token list, which column functions can't do in one pass."""
+    return F.pandas_udf(_task_key_batches, T.ArrayType(T.StringType()))(text)
+
+
 def parse_formulation(reply: str, default_project: str, max_body: int = 12000) -> list[dict]:
     """Memory drafts of a formulation reply: a list, an object with `memories`, or one object."""
     value = json.loads(reply) if isinstance(reply, str) else reply

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -25,19 +26,25 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - cosine(a, b)
 
 
-@F.pandas_udf("array<float>")
-def decode_f32(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Little-endian 32-bit floats of a blob; null if its length isn't a multiple of four."""
+def _decode(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in blobs:
         yield s.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
-def encode_f32(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _encode(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in vectors:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
+def decode_f32(blob: Column) -> Column:
+    """Little-endian 32-bit floats of a blob; null if its length isn't a multiple of four."""
+    return F.pandas_udf(_decode, T.ArrayType(T.FloatType()))(blob)
+
+
+def encode_f32(vector: Column) -> Column:
+    return F.pandas_udf(_encode, T.BinaryType())(vector)
+
+
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float, exclude_self: bool = True) -> DataFrame:
     """(query_id, key, similarity): for each query the k most similar rows at or over the threshold; ties by key.
 
