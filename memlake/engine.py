@@ -1,0 +1,243 @@
+"""The engine's verbs over a store: each gives a DataFrame."""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.config import Config
+from memlake.functions import context as cx
+from memlake.functions import text as tx
+from memlake.functions import vectors as vx
+from memlake.operators import cluster, evals, pipelines, recall, state, tasks, turns
+from memlake.providers import Completer, Embedder, HashEmbedder
+from memlake.sources import transcripts as tr
+
+
+class Engine:
+    """ingest, status, stats, tasks, memories, recall, remember and eval over one store."""
+
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embedder: Embedder | None = None, completer: Completer | None = None):
+        self.spark, self.config, self.store = spark, config, state.Store(spark, root)
+        self.embedder, self.completer = embedder or HashEmbedder(), completer
+
+    def now(self) -> str:
+        return f"unix:{int(time.time())}"
+
+    # Ingest.
+
+    def ingest(self, root: str) -> DataFrame:
+        """Reads what is new under `root`: sessions, turns and cursors. Gives a row of counts; bad files change nothing."""
+        s, now = self.store, self.now()
+        cursors, old_turns, old_sessions = s.read("file_cursors"), s.read("turns"), s.read("sessions")
+        known = old_sessions.select(F.col("transcript_file_path").alias("path"), F.col("id").alias("known_id"))
+        usable = cursors.join(known, F.col("file_path") == F.col("path"), "left_semi")  # without its session a file starts anew
+        lines, bad = tr.sound_files(tr.read_lines(self.spark, root, usable))
+        lines = lines.cache()
+        events = tr.marker_events(lines)
+        fresh = tr.marker_sessions(events).join(known, "path", "left").withColumn("session_id", F.coalesce("known_id", "session_id"))
+        base = fresh.join(turns.next_ordinals(fresh.select("session_id").distinct(), old_turns), "session_id").select("path", "next_ordinal")
+        found = tr.marker_turns(events, base).join(fresh.select("path", "session_id"), "path")
+        seen = found.groupBy("session_id").agg(F.max("observed_at").alias("last_seen_at"))
+        new_sessions = fresh.join(seen, "session_id", "left").select(F.col("session_id").alias("id"), F.lit("codex").alias("agent_type"), cx.project_root(F.col("project_id")).alias("project_id"), F.col("path").alias("transcript_file_path"), "started_at", "last_seen_at")
+        inserted = state.insert_or_ignore(old_turns, found.drop("path"), ["session_id", "ordinal"], ["byte_start"])
+        all_turns = old_turns.unionByName(state.with_ids(inserted, old_turns, ["session_id", "ordinal"]), allowMissingColumns=True)
+        before = old_turns.count()
+        new_cursors = tr.next_cursors(lines, events, found).withColumn("last_processed_at", F.lit(now))
+        counts = (fresh.count(), bad.count())
+        s.write("turns", all_turns)
+        s.write("sessions", state.upsert_sessions(old_sessions, new_sessions.dropDuplicates(["id"])))
+        s.write("file_cursors", state.last_wins(cursors, new_cursors, ["file_path"], "last_byte_offset"))
+        lines.unpersist()
+        return self.spark.createDataFrame([(counts[0], counts[1], s.read("turns").count() - before)], "files long, failures long, new_turns long")
+
+    def queue_formulation(self) -> int:
+        """Queues tasks for turns no active memory covers: full batches, and rests of idle sessions."""
+        s, c = self.store, self.config
+        t = s.read("turns").join(s.read("sessions").select(F.col("id").alias("session_id"), "last_seen_at"), "session_id", "left")
+        idle = F.col("last_seen_at").isNull() | F.coalesce(F.lit(int(time.time())) - tx.epoch_seconds(F.col("last_seen_at")) >= c.session_idle_memory_seconds, F.lit(False))
+        idle_ids = t.where(idle).select("session_id").distinct().withColumn("idle", F.lit(True))
+        lots = turns.uncovered(turns.batches(t, c.backlog_formulation_turn_window), turns.covered_turns(s.read("memories")))
+        lots = lots.join(idle_ids, "session_id", "left").where((F.col("n") == c.backlog_formulation_turn_window) | F.coalesce("idle", F.lit(False)))
+        spots = t.select("session_id", "ordinal", "byte_start", "byte_end")
+        refs = lots.select("session_id", "batch", "first", "last", F.explode("refs").alias("ordinal")).join(spots, ["session_id", "ordinal"])
+        refs = refs.groupBy("session_id", "batch", "first", "last").agg(F.array_sort(F.collect_list(F.struct("session_id", "ordinal", "byte_start", "byte_end"))).alias("refs"))
+        old = s.read("tasks")
+        new = tasks.enqueue(old, tasks.formulation_tasks(refs, tasks.PRIORITY["backlog"], self.now()))
+        before = old.count()
+        s.write("tasks", old.unionByName(state.with_ids(new, old, ["payload_json"])))
+        return s.read("tasks").count() - before
+
+    # Memories.
+
+    def remember(self, title: str, body: str, scope: str = "project", project: str | None = None) -> int:
+        """Appends one memory with its embedding; gives its id."""
+        if not title.strip() or not body.strip():
+            raise ValueError("title and body are needed")
+        now = self.now()
+        row = self.spark.createDataFrame([(title.strip()[:200], body.strip()[: self.config.max_memory_length], "global" if scope == "global" else "project", project)], "title string, body string, scope string, project_id string")
+        row = row.select("*", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("memory_kind"), tx.task_keys_udf(F.concat_ws("\n", "title", "body")).alias("task_keys"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("is_active"), F.coalesce("project_id", F.lit("unknown")).alias("project_descriptor"))
+        return self._append_memories(row)
+
+    def _append_memories(self, rows: DataFrame) -> int:
+        s, old = self.store, self.store.read("memories")
+        new = state.with_ids(rows, old, ["title", "body"]).cache()
+        top = new.agg(F.max("id")).first()[0]
+        s.write("embeddings", state.last_wins(s.read("embeddings"), pipelines.embed_memories(new, self.embedder, self.now()), ["memory_id"], "updated_at"))
+        s.write("memories", old.unionByName(new, allowMissingColumns=True))
+        new.unpersist()
+        return top
+
+    def formulate(self, session_ids: list[str]) -> int:
+        """Distils memories from sessions by the completer; every draft refers to the session's completed turns."""
+        s, now = self.store, self.now()
+        t = s.read("turns").where(F.col("session_id").isin(session_ids) & (F.col("status") == "completed"))
+        refs = t.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "ordinal", "byte_start", "byte_end"))).alias("source_turn_refs"))
+        d = pipelines.formulate(t, s.read("sessions"), self.config, self.completer).join(refs, "session_id")
+        d = d.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now), "is_active": F.lit(True)}).cache()
+        n = d.count()
+        if n:
+            self._append_memories(d)
+            self.dedupe()
+        d.unpersist()
+        return n
+
+    def dedupe(self) -> int:
+        """Deactivates duplicates among active memories."""
+        m, s = self.store.read("memories"), self.store
+        gone = cluster.greedy_losers(m.where("is_active")).select("id").cache()
+        n = gone.count()
+        if n:
+            hit = m.join(gone.withColumn("_g", F.lit(True)), "id", "left")
+            s.write("memories", state.deactivate(hit, F.col("_g"), self.now()).drop("_g"))
+        gone.unpersist()
+        return n
+
+    def clusters(self) -> DataFrame:
+        """(cluster, id, place): consolidation clusters of active memories embedded by the configured model."""
+        c, m = self.config, self.store.read("memories").where("is_active")
+        e = self.store.read("embeddings").where(F.col("embedding_model") == self.embedder.model)
+        v = m.join(e, m["id"] == e["memory_id"]).select(m["id"], F.when(F.col("scope") == "global", "global").otherwise(F.concat(F.lit("project:"), F.coalesce("project_id", F.lit("")))).alias("part"), F.col("embedding").alias("vector"), *[tx.similarity_tokens(x).alias(a) for x, a in ((F.col("title"), "tt"), (F.col("body"), "tb"), (F.concat_ws("\n", "title", "body"), "tx"))], F.coalesce("lineage_refs", F.array().cast("array<long>")).alias("lin"))
+        a = v.select([F.col(x).alias(f"a_{x}") for x in v.columns])
+        b = v.select([F.col(x).alias(f"b_{x}") for x in v.columns])
+        p = a.join(b, (F.col("a_part") == F.col("b_part")) & (F.col("a_id") < F.col("b_id")))
+        near = vx.distance(F.col("a_vector"), F.col("b_vector"))
+        words = cluster.alike(F.col("a_tt"), F.col("a_tb"), F.col("a_tx"), F.col("b_tt"), F.col("b_tb"), F.col("b_tx"), cluster.ALIKE)
+        pairs = p.where(near.isNotNull() & ((near <= c.memory_cluster_distance_threshold) | words | F.arrays_overlap("a_lin", "b_lin"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        found = cluster.dbscan(v.select("id"), pairs, c.memory_cluster_min_size)
+        return cluster.densest(found, v.select("id", "vector"), c.memory_cluster_max_size)
+
+    def consolidate(self) -> int | None:
+        """Merges the top cluster by the completer; gives the new memory's id."""
+        s, now = self.store, self.now()
+        chosen = self.clusters().cache()
+        v = s.read("embeddings").select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
+        top = cluster.cluster_order(chosen, v).where(F.col("size") >= self.config.memory_cluster_min_size).orderBy("rank").first()
+        if top is None:
+            return None
+        ids = [r[0] for r in chosen.where(F.col("cluster") == top["cluster"]).select("id").collect()]  # max_size at most
+        m = s.read("memories")
+        members = m.where(F.col("id").isin(ids)).withColumn("cluster", F.lit(top["cluster"]))
+        merged = pipelines.merge_cluster(members, self.config, self.completer)
+        refs = turns.distinct_refs(members, "cluster", "source_turn_refs").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "session_id", "ordinal"))), lambda r: F.struct(r["session_id"].alias("session_id"), r["ordinal"].alias("ordinal"), F.lit(None).cast("long").alias("byte_start"), F.lit(None).cast("long").alias("byte_end"))).alias("source_turn_refs"))
+        row = merged.join(refs, "cluster", "left").withColumns({"created_at": F.lit(now), "updated_at": F.lit(now), "is_active": F.lit(True)}).cache()
+        if row.isEmpty():
+            return None
+        s.write("memories", state.deactivate(m, F.col("id").isin(ids), now))
+        return self._append_memories(row.drop("cluster"))
+
+    def memories_stats(self) -> DataFrame:
+        return evals.memory_stats(self.store.read("memories"))
+
+    def memories_rebuild(self, yes: bool = False, keep_active: bool = False) -> int:
+        """Deactivates all memories, clears build tasks and queues them anew."""
+        if not yes:
+            raise ValueError("rebuild needs yes=True")
+        s = self.store
+        if not keep_active:
+            s.write("memories", state.deactivate(s.read("memories"), F.lit(True), self.now()))
+        s.write("tasks", s.read("tasks").where(~F.col("kind").isin("memory_formulation", "memory_consolidation")))
+        return self.queue_formulation()
+
+    # Recall.
+
+    def recall(self, query: str, project: str | None = None, judge=None) -> DataFrame:
+        """The memories for a text: vector search, hybrid rank, rules, and an optional judge (query_id, ids)."""
+        c, s = self.config, self.store
+        opts = recall.Options(c.recall_candidate_pool, c.recall_result_limit, c.recall_similarity_threshold, c.recall_project_tiebreaker, c.recall_project_score_bonus, c.recall_llm_filter_candidate_limit)
+        m = s.read("memories").where("is_active")
+        vec = s.read("embeddings").join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", "embedding")
+        q = self.spark.createDataFrame([(-1, self.embedder.embed([query])[0], query, project)], "query_id long, embedding array<float>, q_text string, q_project string")
+        hits = vx.search(vec, q.select("query_id", "embedding"), "memory_id", "embedding", opts.pool, opts.threshold, exclude_self=False)
+        asked = q.select("query_id", "q_project", cx.from_text(F.col("q_text")).alias("q_context"), tx.task_keys_udf(F.col("q_text")).alias("q_keys"))
+        known = m.select(F.col("id").alias("memory_id"), "title", "body", "scope", F.col("memory_kind").alias("kind"), "project_id", "project_descriptor", "created_at", "task_keys", cx.from_text(F.concat_ws("\n", "title", "body", "project_descriptor")).alias("context"))
+        pairs = hits.drop("rank").join(known, "memory_id").join(F.broadcast(asked), "query_id")
+        ranked = recall.rank(recall.features(pairs), opts)
+        return recall.judged(recall.select(ranked, max(opts.judge_pool, opts.limit)), judge, opts)
+
+    def recall_for_turn(self, session_id: str, ordinal: int, judge=None) -> DataFrame:
+        """Recall as of a past turn: the live window of completed turns is the query."""
+        c = self.config
+        w = turns.live_windows(self.store.read("turns").where(F.col("session_id") == session_id), c.recall_live_turn_window, F.coalesce("display_text", F.lit("")))
+        row = w.where(F.col("ordinal") == ordinal).select(tx.recall_query_text(F.col("window"), c.recall_query_max_chars, c.tool_call_truncation_chars)).first()
+        project = self.store.read("sessions").where(F.col("id") == session_id).select("project_id").first()
+        return self.recall(row[0] if row else "", project[0] if project else None, judge)
+
+    def recall_file(self, results: DataFrame, source: str) -> DataFrame:
+        return recall.render(results.withColumn("rank", F.col("place")), self.now(), source)
+
+    # Reports.
+
+    def status(self) -> DataFrame:
+        """One row of counts."""
+        s = self.store
+        m = s.read("memories").agg(F.count("*").alias("memories"), F.count_if("is_active").alias("active_memories"), F.max("created_at").alias("last_memory_at"))
+        n = lambda name: s.read(name).agg(F.count("*").alias(name))
+        t = s.read("tasks").agg(*[F.count_if(F.col("status") == x).alias(f"tasks_{x}") for x in ("queued", "running", "parked", "completed")])
+        out = m
+        for part in (n("sessions"), n("turns"), n("file_cursors"), t):
+            out = out.join(F.broadcast(part))  # one row each
+        return out
+
+    def tasks_list(self, status: str | None = None, limit: int = 50) -> DataFrame:
+        return tasks.by_display_status(self.store.read("tasks"), int(time.time()), status, limit)
+
+    def tasks_retry(self, task_id: int) -> None:
+        self.store.write("tasks", tasks.transition(self.store.read("tasks"), F.col("id") == task_id, "retried", self.now()))
+
+    def tasks_clear(self, task_id: int | None = None, status: str | None = None, kind: str | None = None, yes: bool = False) -> None:
+        t = self.store.read("tasks")
+        if task_id is not None:
+            self.store.write("tasks", t.where(F.col("id") != task_id))
+        elif not yes or status is None:
+            raise ValueError("clearing many needs a status and yes=True")
+        else:
+            self.store.write("tasks", tasks.clear(t, int(time.time()), status, kind))
+
+    def recover(self) -> None:
+        """After a crash: running tasks are queued again."""
+        self.store.write("tasks", tasks.transition(self.store.read("tasks"), F.lit(True), "requeued", self.now()))
+
+    def eval_recall(self, limit: int = 100) -> DataFrame:
+        """Replays turns against the memories that were there before them, and judges the candidates."""
+        t = self.store.read("turns").where("display_text IS NOT NULL AND observed_at IS NOT NULL").orderBy(F.col("observed_at").asc_nulls_first(), "id").limit(limit)
+        from memlake.providers import embedded
+
+        q = t.select(F.col("id").alias("query_id"), F.col("display_text").alias("q_text"), "observed_at", F.col("session_id").alias("q_session"), F.col("ordinal").alias("q_ordinal")).withColumn("q_vector", embedded(F.col("q_text"), self.embedder)).withColumn("q_context", cx.from_text(F.col("q_text")))
+        m, e = self.store.read("memories"), self.store.read("embeddings")
+        known = m.join(e.select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector")), "id", "left").withColumn("context", cx.from_text(F.concat_ws("\n", "title", "body")))
+        c = pipelines.replay(q, known).withColumn("citation", tx.citation(F.coalesce("source_turn_refs", F.array().cast(f"array<{state.REF}>")), F.col("q_session"), F.col("q_ordinal")))
+        prompt = F.concat_ws("\n\n", F.concat(F.lit("turn:\n"), F.substring("q_text", 1, 8000)), F.concat(F.lit("memory:\n"), "title", F.lit("\n"), F.substring("body", 1, 8000)), F.concat(F.lit("citation: "), "citation"))
+        done = pipelines.judge(c.withColumn("prompt", prompt), "prompt", self.completer).select("query_id", F.col("id").alias("memory_id"), "rank", "score", "citation", "judge_score", "rationale")
+        none = q.select("query_id").join(done.select("query_id"), "query_id", "left_anti").select("query_id", *[F.lit(None).cast(k).alias(n) for n, k in (("memory_id", "long"), ("rank", "int"), ("score", "double"), ("citation", "string"))], F.lit("neutral").alias("judge_score"), F.lit(pipelines.NO_CANDIDATES).alias("rationale"))
+        return done.unionByName(none)
+
+    def eval_list(self, limit: int = 200) -> DataFrame:
+        return evals.run_rollup(self.store.read("eval_runs"), self.store.read("eval_results")).orderBy(F.desc("id")).limit(limit)
+
+    def eval_summary(self) -> DataFrame:
+        c = F.col("config_json")
+        runs = self.store.read("eval_runs").select("id", F.get_json_object(c, "$.session_id").alias("session_id"), F.get_json_object(c, "$.turn_ordinal").try_cast("long").alias("turn_ordinal"))
+        return evals.session_summary(runs, self.store.read("eval_results")).orderBy(F.desc("latest_run"))
