@@ -159,3 +159,32 @@ def test_rollups(spark):
     assert s["s"]["average"] == pytest.approx(3.5) and s["s"]["latest_run"] == 2 and s["t"]["average"] == 0
     v = evals.volumes(spark.createDataFrame([], "n long")).first()
     assert (v["avg_n"], v["p50"], v["b_0"]) == (0.0, 0, 0)
+
+
+def test_by_ids(spark):
+    m = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    ids = spark.createDataFrame([(0, 2), (1, 9), (2, 1)], "pos int, id long")
+    assert [r["t"] for r in state.by_ids(m, ids).collect()] == ["b", "a"]
+    assert [r["t"] for r in state.by_ids(m, ids, keep_missing=True).collect()] == ["b", None, "a"]
+
+
+def test_retry_class(spark):
+    got = spark.createDataFrame([(s,) for s in (429, 500, 404, 408)], "s int").select(tasks.retry_class(F.col("s")).alias("c")).collect()
+    assert [r["c"] for r in got] == ["retryable", "retryable", "permanent", "retryable"]
+
+
+def test_config(tmp_path):
+    from memlake import config
+
+    (tmp_path / "a.toml").write_text("recall_result_limit = 7\nother = 1\n[memory]\nmemory_cluster_min_size = 4\n")
+    (tmp_path / "b.toml").write_text("recall_result_limit = 9\n")
+    c = config.load(tmp_path / "a.toml", tmp_path / "b.toml", tmp_path / "none.toml")
+    assert (c.recall_result_limit, c.memory_cluster_min_size, c.recall_candidate_pool) == (9, 4, 20)
+
+
+def test_stale_evals(spark):
+    cfg = lambda o, rerun=None: '{"session_id": "s", "turn_ordinal": %d%s}' % (o, "" if rerun is None else f', "rerun_for_eval_run_id": {rerun}')
+    runs = spark.createDataFrame([(1, cfg(0)), (2, cfg(1)), (3, cfg(0, 1)), (4, cfg(9)), (5, cfg(2))], "id long, config_json string")
+    res = spark.createDataFrame([(i, "insufficient_context") for i in (1, 2, 3, 4)] + [(5, "3")], "eval_run_id long, judge_score string")
+    t = spark.createDataFrame([("s", 5, "completed")], "session_id string, ordinal long, status string")
+    assert [r["id"] for r in tasks.stale_evals(runs, res, t).collect()] == [2]

@@ -77,3 +77,27 @@ def test_engine(spark, tmp_path):
     assert e.eval_recall().count() >= 2
     assert e.recall_for_turn("s1", 1).count() >= 0
     assert e.memories_rebuild(yes=True) >= 1
+
+
+def test_hydration(spark, tmp_path):
+    body = [META, *turn(0)]
+    put(tmp_path / "a.jsonl", body)
+    lines, _ = tr.sound_files(tr.read_lines(spark, f"file://{tmp_path}"))
+    t = tr.marker_turns(tr.marker_events(lines)).first()
+    path = f"file:{tmp_path}/a.jsonl"
+    turns_ = spark.createDataFrame([("s1", 0, t["byte_start"], t["byte_end"], None, None), ("s1", 1, 0, 0, "kept", "/x"), ("s2", 0, 0, 9, None, None)], "session_id string, ordinal long, byte_start long, byte_end long, display_text string, cwd string")
+    sessions = spark.createDataFrame([("s1", path), ("s2", "gone")], "id string, transcript_file_path string")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}").select("path", "content")
+    got = {(r["session_id"], r["ordinal"]): r["display_text"] for r in tr.hydrate(turns_, sessions, files).collect()}
+    assert got == {("s1", 0): "ask 0 about MLP-0", ("s1", 1): "kept", ("s2", 0): None}
+
+
+def test_consolidate(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}", completer=CannedCompleter('Merged: {"title": "One build rule", "body": "Run the build first"}'))
+    for x in ("alpha", "beta", "gamma"):
+        e.remember("Build rule for all", f"Always run the whole build before a commit {x}", "global")
+    e.remember("Far away", "Nothing to do with it at all", "global")
+    i = e.consolidate()
+    m = {r["id"]: r for r in e.store.read("memories").collect()}
+    assert i == 5 and sorted(m[5]["lineage_refs"]) == [1, 2, 3] and m[5]["project_id"] is None
+    assert [m[k]["is_active"] for k in (1, 2, 3, 4, 5)] == [False, False, False, True, True]
