@@ -67,7 +67,7 @@ def _plain(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
         if not colon:
             return None
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not re.fullmatch(r"\d+", head.get("content-length", "")):
+    if not re.fullmatch(r"\d+", head.get("content-length", "")) or not head.get("warc-type") or not head.get("warc-record-id"):
         return None
     begin, size = stop + len(END), int(head["content-length"])
     block = data[begin : begin + size]
@@ -79,6 +79,10 @@ def _plain(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     return head, block, begin + size + len(END)
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if re.fullmatch(r"\d+", text or "") else None
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     """The content and end of the gzip member that begins at `at`; None if it is broken."""
     if data[at : at + 3] != GZIP:
@@ -164,7 +168,7 @@ def read(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
                 out = []
                 for h, block, at in records:
                     full = h["warc-type"] != "revisit"
-                    out.append((number(h.get("warc-record-id")), len(block) if full else int(h["payload-length"]), h.get("warc-payload-digest", "").removeprefix("sha1:"), h["warc-type"], None if full else number(h.get("warc-refers-to")), name, at, None))
+                    out.append((number(h.get("warc-record-id")), len(block) if full else _number(h.get("payload-length")), h.get("warc-payload-digest", "sha1:" + digest(block)).removeprefix("sha1:"), h["warc-type"], None if full else number(h.get("warc-refers-to")), name, at, None))
                 out += [(None, None, None, "gap", None, name, begin, end) for begin, end in gaps]
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 names = [x.split()[0] for x in schema.split(", ")]
