@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,7 @@ class Engine:
         s, now = self.store, self.now()
         chosen = self.clusters().cache()
         v = s.read("embeddings").select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
-        top = cluster.cluster_order(chosen, v).where(F.col("size") >= self.config.memory_cluster_min_size).orderBy("rank").first()
+        top = cluster.cluster_order(chosen, v).where(F.col("size") >= self.config.memory_cluster_min_size).orderBy(F.desc("size"), "mean_distance", "cluster").first()
         if top is None:
             return None
         ids = [r[0] for r in chosen.where(F.col("cluster") == top["cluster"]).select("id").collect()]  # max_size at most
@@ -220,6 +221,62 @@ class Engine:
         """After a crash: running tasks are queued again."""
         self.store.write("tasks", tasks.transition(self.store.read("tasks"), F.lit(True), "requeued", self.now()))
 
+    def queue_recalls(self, anchors: DataFrame) -> None:
+        """Queues a recall for each anchor (session_id, turn_ordinal) that has none."""
+        self._queue(tasks.recall_tasks(anchors, self.now()))
+
+    def schedule_consolidation(self) -> bool:
+        """Queues a consolidation after the quiet period, unless one is under way or nothing new came."""
+        t = self.store.read("tasks")
+        due = tasks.consolidation_due(self.store.read("memories"), t, self.config.consolidation_dark_period_seconds).first()
+        if due is None:
+            return False
+        payload = self.spark.createDataFrame([('{"reason": "quiet period"}',)], "payload_json string")
+        new = tasks.new_tasks(payload, "memory_consolidation", tasks.PRIORITY["consolidation"], self.now(), f"unix:{due[0]}", tasks.MAX_CONSOLIDATION_ATTEMPTS)
+        self.store.write("tasks", t.unionByName(state.with_ids(new, t, ["payload_json"])))
+        return True
+
+    def queue_stale_evals(self, limit: int = 10) -> int:
+        """Queues evaluations anew that lacked later turns and have them now."""
+        stale = tasks.stale_evals(self.store.read("eval_runs"), self.store.read("eval_results"), self.store.read("turns"), limit=limit)
+        payload = stale.select(F.to_json(F.struct("session_id", "turn_ordinal", F.col("id").alias("rerun_for_eval_run_id"))).alias("payload_json"))
+        return self._queue(tasks.new_tasks(payload, "recall_eval", tasks.PRIORITY["backlog"], self.now()))
+
+    def _queue(self, new: DataFrame) -> int:
+        old = self.store.read("tasks")
+        fresh = state.with_ids(tasks.enqueue(old, new), old, ["kind", "payload_json"]).cache()
+        n = fresh.count()
+        if n:
+            self.store.write("tasks", old.unionByName(fresh))
+        fresh.unpersist()
+        return n
+
+    def run_tasks(self, limit: int = 1, now: int | None = None) -> int:
+        """Runs due tasks, the most urgent first: each is completed, or parked with its error. Unknown kinds complete."""
+        done = 0
+        for _ in range(limit):
+            row = tasks.next_due(self.store.read("tasks"), now or int(time.time())).first()
+            if row is None:
+                break
+            own = F.col("id") == row["id"]
+            self.store.write("tasks", tasks.transition(self.store.read("tasks"), own, "running", self.now()))
+            try:
+                self._run(row["kind"], json.loads(row["payload_json"]))
+                change, error = "completed", None
+            except Exception as e:  # the task keeps the error; the loop goes on
+                change, error = "parked", " <- ".join(str(x) for x in (e, e.__cause__) if x is not None)
+            self.store.write("tasks", tasks.transition(self.store.read("tasks"), own, change, self.now(), error))
+            done += 1
+        return done
+
+    def _run(self, kind: str, payload: dict) -> None:
+        if kind == "memory_formulation":
+            self.formulate([payload["session_id"]])
+        elif kind == "memory_consolidation":
+            self.consolidate()
+        elif kind == "recall":
+            self.recall_for_turn(payload["session_id"], payload["turn_ordinal"]).count()
+
     def eval_recall(self, limit: int = 100) -> DataFrame:
         """Replays turns against the memories that were there before them, and judges the candidates."""
         t = self.store.read("turns").where("display_text IS NOT NULL AND observed_at IS NOT NULL").orderBy(F.col("observed_at").asc_nulls_first(), "id").limit(limit)

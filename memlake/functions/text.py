@@ -222,6 +222,12 @@ def json_from_prose(text: Column) -> Column:
     return F.coalesce(valid(t), valid(first), valid(obj), valid(arr))
 
 
+def project_descriptor(package: Column, folder: Column, ecosystem: Column, phrase: Column) -> Column:
+    """What is known of a project, each part once: package name, folder name, ecosystem, a phrase."""
+    parts = F.array_compact(F.array(package, F.element_at(F.split(folder, "/"), -1), ecosystem, phrase))
+    return F.array_join(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")), ", ")
+
+
 _EDGE = ",;\"'()[]{}<>`"
 _DIGITS_ENDS = re.compile(r"^[^0-9]+|[^0-9]+$")
 

@@ -59,12 +59,12 @@ def densest(members: DataFrame, vectors: DataFrame, max_size: int = MAX_SIZE) ->
 
 
 def cluster_order(chosen: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(cluster, size, mean_distance, rank): clusters by size, then by mean distance of their pairs, then by name."""
+    """(cluster, size, mean_distance): clusters by size, then by mean distance of their pairs, then by name."""
     m = chosen.select("cluster", "id").join(vectors.select("id", "vector"), "id")
     a, b = m.select("cluster", F.col("id").alias("a"), F.col("vector").alias("va")), m.select("cluster", F.col("id").alias("b"), F.col("vector").alias("vb"))
     pairs = a.join(b, "cluster").where("a < b").groupBy("cluster").agg(F.avg(distance(F.col("va"), F.col("vb"))).alias("mean_distance"))
     sizes = chosen.groupBy("cluster").agg(F.count("*").alias("size")).join(pairs, "cluster", "left").withColumn("mean_distance", F.coalesce("mean_distance", F.lit(0.0)))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "mean_distance", "cluster")))
+    return sizes.orderBy(F.desc("size"), "mean_distance", "cluster")
 
 
 def alike(lt: Column, lb: Column, lx: Column, rt: Column, rb: Column, rx: Column, limits: dict) -> Column:

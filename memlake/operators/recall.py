@@ -149,3 +149,23 @@ def valid_files(files: DataFrame, memories: DataFrame) -> DataFrame:
     ids = files.select("path", F.explode_outer("memory_ids").alias("id"))
     active = memories.where("is_active").select(F.col("id").alias("_id")).distinct()
     return ids.join(active, F.col("id") == F.col("_id"), "left").groupBy("path").agg(F.bool_and(F.col("_id").isNotNull()).alias("valid"))
+
+
+def telemetry(selected: DataFrame, final: DataFrame, verdicts: DataFrame | None, options: Options = Options()) -> DataFrame:
+    """For each query what the judge did: counts of candidates, of the rules' choice and of the final one, and whether it was asked, used, empty or failed.
+
+    verdicts: (query_id, ids array or null, error string); none without a judge.
+    """
+    pool = max(options.judge_pool, options.limit)
+    n = selected.groupBy("query_id").agg(F.least(F.count_if("selected"), F.lit(pool)).alias("candidate_count"), F.least(F.count_if("selected"), F.lit(options.limit)).alias("deterministic_selected_count"))
+    done = final.groupBy("query_id").agg(F.count("*").alias("f"), F.bool_or(F.coalesce(F.col("judge_reason") == "keep:llm_empty_fallback", F.lit(False))).alias("e"))
+    out = n.join(done, "query_id", "left")
+    if verdicts is None:
+        out = out.withColumns({"_v": F.lit(False), "_ids": F.lit(None).cast("array<long>"), "llm_error": F.lit(None).cast("string")})
+    else:
+        out = out.join(verdicts.select("query_id", F.lit(True).alias("_v"), F.col("ids").alias("_ids"), F.col("error").alias("llm_error")), "query_id", "left")
+    asked = F.coalesce("_v", F.lit(False))
+    return out.select(
+        "query_id", "candidate_count", "deterministic_selected_count", F.coalesce("f", F.lit(0)).alias("final_selected_count"),
+        asked.alias("llm_attempted"), (asked & F.col("_ids").isNotNull()).alias("llm_applied"), F.coalesce("e", F.lit(False)).alias("llm_empty_fallback"), "llm_error",
+    )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.shared import stash
+
 REF = "struct<session_id:string,ordinal:bigint,byte_start:bigint,byte_end:bigint>"
 #: Table name to columns; the key comes first.
 SCHEMAS = {
@@ -76,10 +78,20 @@ class Store:
 
 
 def with_ids(new: DataFrame, old: DataFrame, order: list) -> DataFrame:
-    """Gives new rows the ids after the largest old one, in a stated total order."""
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    rank = F.row_number().over(Window.orderBy(*order))
-    return new.withColumn("_r", rank).join(F.broadcast(top)).withColumn("id", (F.col("_r") + F.col("_top")).cast("long")).drop("_r", "_top")
+    """Gives new rows the ids after the largest old one, in a stated total order.
+
+    Rows are sorted by ranges; each range numbers its own rows, and starts after the rows of the ranges before it, so no task sees
+    all rows. One count a range reaches the driver.
+    """
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    ranged = stash(new.orderBy(*order).withColumn("_p", F.spark_partition_id()), "ids")
+    starts, at = [], top
+    for r in sorted(ranged.groupBy("_p").count().collect()):
+        starts.append((r["_p"], at))
+        at += r["count"]
+    base = new.sparkSession.createDataFrame(starts, "_p int, _at long")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("_r", rank).join(F.broadcast(base), "_p").withColumn("id", (F.col("_r") + F.col("_at")).cast("long")).drop("_r", "_at", "_p")
 
 
 def upsert_sessions(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -119,3 +119,31 @@ def first_per_anchor(rows: DataFrame) -> DataFrame:
 def retry_class(status: Column) -> Column:
     """Whether an HTTP status is worth another try."""
     return F.when(status.isin(408, 409, 425, 429) | status.between(500, 599), F.lit("retryable")).otherwise(F.lit("permanent"))
+
+
+def new_tasks(payloads: DataFrame, kind: str, priority: int, now: str, run_at: str | None = None, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Queued tasks of one kind from rows (payload_json)."""
+    none = F.lit(None).cast("string")
+    return payloads.select(F.lit(kind).alias("kind"), F.lit("queued").alias("status"), F.lit(priority).cast("long").alias("priority"), "payload_json", F.lit(0).cast("long").alias("attempts"), F.lit(max_attempts).cast("long").alias("max_attempts"), F.lit(run_at).cast("string").alias("next_run_at"), none.alias("last_error"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
+
+
+def recall_tasks(anchors_: DataFrame, now: str, priority: int = PRIORITY["recall"]) -> DataFrame:
+    """A recall for each anchor (session_id, turn_ordinal); queue them with enqueue(), which skips those there already."""
+    return new_tasks(anchors_.select(F.to_json(F.struct("session_id", "turn_ordinal")).alias("payload_json")), "recall", priority, now)
+
+
+def eval_tasks(tasks: DataFrame, runs: DataFrame, recalls: DataFrame, now_seconds: int) -> DataFrame:
+    """Delayed evaluations of recalls (session_id, turn_ordinal, recall_text, memory_ids, filter_telemetry), for anchors that have neither a task nor a run."""
+    key = ["session_id", "turn_ordinal"]
+    c = F.col("config_json")
+    ran = runs.select(F.get_json_object(c, "$.session_id").alias("session_id"), F.get_json_object(c, "$.turn_ordinal").try_cast("long").alias("turn_ordinal"))
+    have = anchors(tasks.where("kind = 'recall_eval'")).select(key).unionByName(ran)
+    fresh = recalls.join(have.distinct(), key, "left_anti").select(F.to_json(F.struct(*recalls.columns)).alias("payload_json"))
+    return new_tasks(fresh, "recall_eval", PRIORITY["backlog"], f"unix:{now_seconds}", f"unix:{now_seconds + EVAL_DELAY}")
+
+
+def deferred(tasks: DataFrame, which: Column, delay: int, now_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """The table with the tasks completed, and their copies, one attempt older, that are due after the delay."""
+    now = f"unix:{now_seconds}"
+    copies = tasks.where(which).drop("id").withColumns({"status": F.lit("queued"), "attempts": F.col("attempts") + 1, "next_run_at": F.lit(f"unix:{now_seconds + delay}"), "last_error": F.lit(None).cast("string"), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    return transition(tasks, which, "completed", now), copies

@@ -92,3 +92,9 @@ def sessions_by_gap(events: DataFrame, key: str, seconds: Column, gap: int) -> D
     w = Window.partitionBy(key).orderBy(seconds, "event_id")
     paused = (seconds - F.lag(seconds).over(w) > gap).cast("long")
     return events.withColumn("_p", F.coalesce(paused, F.lit(0))).withColumn("idle_session", F.sum("_p").over(w)).drop("_p")
+
+
+def due_windows(turns: DataFrame, n: int) -> DataFrame:
+    """The last n turns of the sessions that have at least n completed ones."""
+    done = turns.where(F.col("status") == "completed").groupBy("session_id").count().where(F.col("count") >= n)
+    return last_turns(turns.join(done, "session_id", "left_semi"), n)

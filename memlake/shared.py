@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no one else uses."""
-    return f"{shared_dir(spark)}/memlake-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/memlake-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this process; call it once its results are written."""
+    while _made:
+        remove_path(spark, _made.pop())
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:

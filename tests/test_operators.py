@@ -188,3 +188,23 @@ def test_stale_evals(spark):
     res = spark.createDataFrame([(i, "insufficient_context") for i in (1, 2, 3, 4)] + [(5, "3")], "eval_run_id long, judge_score string")
     t = spark.createDataFrame([("s", 5, "completed")], "session_id string, ordinal long, status string")
     assert [r["id"] for r in tasks.stale_evals(runs, res, t).collect()] == [2]
+
+
+def test_telemetry_and_deferral(spark):
+    sel = recall.select(recall.rank(_frame(spark, [_candidate(memory_id=i, similarity=1 - i / 10) for i in range(1, 8)])), 12)
+    v = spark.createDataFrame([(1, [2], None)], "query_id long, ids array<long>, error string")
+    t = recall.telemetry(sel, recall.judged(sel, v.drop("error")), v).first()
+    assert list(t) == [1, 7, 5, 1, True, True, False, None]
+    assert recall.telemetry(sel, recall.judged(sel, None), None).first()["llm_attempted"] is False
+    q = spark.createDataFrame([_task(1)], TASK)
+    rest, copies = tasks.deferred(q, F.col("id") == 1, 60, 100)
+    assert rest.first()["status"] == "completed" and (copies.first()["attempts"], copies.first()["next_run_at"]) == (2, "unix:160")
+    none = spark.createDataFrame([], "config_json string")
+    r = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y")], "session_id string, turn_ordinal long, recall_text string")
+    e = tasks.eval_tasks(spark.createDataFrame([_task(1, kind="recall_eval", payload='{"session_id": "s", "turn_ordinal": 1}')], TASK), none, r, 100).collect()
+    assert len(e) == 1 and e[0]["next_run_at"] == "unix:700" and '"turn_ordinal":2' in e[0]["payload_json"]
+
+
+def test_due_windows(spark):
+    t = spark.createDataFrame([("a", i, "completed") for i in range(4)] + [("b", 0, "completed")], "session_id string, ordinal long, status string")
+    assert sorted(r["ordinal"] for r in turns.due_windows(t, 3).collect()) == [1, 2, 3]

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from memlake.engine import Engine
 from memlake.providers import CannedCompleter
 from memlake.sources import transcripts as tr
@@ -76,6 +78,14 @@ def test_engine(spark, tmp_path):
     assert (s["memories"], s["turns"], s["sessions"]) == (3, 2, 1)
     assert e.eval_recall().count() >= 2
     assert e.recall_for_turn("s1", 1).count() >= 0
+    anchor = spark.createDataFrame([("s1", 1)], "session_id string, turn_ordinal long")
+    e.queue_recalls(anchor)
+    e.queue_recalls(anchor)
+    assert e.store.read("tasks").where("kind = 'recall'").count() == 1
+    e.store.write("tasks", e.store.read("tasks").withColumn("payload_json", F.when(F.col("kind") == "memory_formulation", "{").otherwise(F.col("payload_json"))))
+    assert e.run_tasks(5) == 2  # the recall, and the task whose payload is broken
+    assert sorted(r["status"] for r in e.store.read("tasks").collect()) == ["completed", "parked"]
+    assert e.schedule_consolidation() and not e.schedule_consolidation() and e.queue_stale_evals() == 0
     assert e.memories_rebuild(yes=True) >= 1
 
 
