@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.shared import sized_stash, small, stash, table
@@ -171,17 +171,29 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     several = classes.groupBy("h").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("n > 1 AND a < b").select("h")
     several, size = sized_stash(several, "several")
     rich = classes.join(small(several.withColumn("more", F.lit(True)), size), "h", "left").where("low < high OR more").select("h", "c", "low", F.coalesce("more", F.lit(False)).alias("more"))
-    rich, size = sized_stash(rich, "rich")
-    judged = stash(anchors.join(small(rich, size), ["h", "c"]).where("doc > low OR more").select("doc", "t", "pos", (F.col("doc") > F.col("low")).alias("gone")), "judged")
+    judged = stash(anchors.join(rich, ["h", "c"]).where("doc > low OR more").select("doc", "t", "pos", (F.col("doc") > F.col("low")).alias("gone")), "judged")
     places, size = sized_stash(judged.where("NOT gone").groupBy("doc", "t").agg(F.collect_set("pos").alias("places")), "places")
-    windows = stash(_windows(_by_text(docs, places, size, "inner")).distinct(), "windows")
-    twice, size = sized_stash(windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low"), "twice")
-    again = windows.join(small(twice, size), ["h1", "h2"]).where("doc > low").select("doc", "t", F.col("i").alias("begin"), (F.col("i") + WINDOW).alias("end"))
+    windows = stash(_windows(_by_text(docs, places, size, "inner")), "windows")
+    twice = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
+    again = windows.join(twice, ["h1", "h2"]).where("doc > low").select("doc", "t", F.col("i").alias("begin"), (F.col("i") + WINDOW).alias("end"))
     direct = judged.where("gone").select("doc", "t", F.greatest(F.col("pos") - PERIOD + 1, F.lit(0)).alias("begin"), (F.col("pos") + WINDOW).alias("end"))
-    spans = direct.unionByName(again).groupBy("doc", "t").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = direct.unionByName(again).groupBy("doc", "t").agg(_islands(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("spans"))
     return sized_stash(spans, "spans")
 
 
+def _islands(spans: Column) -> Column:
+    """Sorted spans (begin, end), those that touch made one."""
+
+    def step(a: Column, x: Column) -> Column:
+        joins = x["begin"] <= a["end"]
+        done = F.when(joins | (a["end"] < 0), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end")))))
+        return F.struct(done.alias("out"), F.when(joins, a["begin"]).otherwise(x["begin"]).alias("begin"), F.when(joins, F.greatest(a["end"], x["end"])).otherwise(x["end"]).alias("end"))
+
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    start = F.struct(none.alias("out"), F.lit(0).alias("begin"), F.lit(-1).alias("end"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end")))))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row."""
     kind = dict(docs.dtypes)["doc_id"]
