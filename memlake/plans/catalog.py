@@ -37,7 +37,6 @@ def _r6(c: Column | str) -> Column:
 
 # Memories with vectors.
 
-_KINDS = F.array(*[F.lit(k) for k in tx.KINDS])
 _M_SQL = """m AS (SELECT vec_id AS memory_id, embedding, label AS project_id, CASE WHEN label = 0 THEN 'global' ELSE 'project' END AS scope,
   ['preference', 'lesson', 'workflow', 'project_fact', 'task_state'][CAST(vec_id % 5 + 1 AS BIGINT)] AS kind, vec_id % 11 <> 0 AS is_active FROM embeddings)"""
 
@@ -46,7 +45,7 @@ def _memories(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     return table(spark, sf, "embeddings").select(
         v.alias("memory_id"), "embedding", F.col("label").alias("project_id"), F.when(F.col("label") == 0, "global").otherwise("project").alias("scope"),
-        F.get(_KINDS, (v % 5).cast("int")).alias("kind"), (v % 11 != 0).alias("is_active"),
+        F.get(F.array(*[F.lit(k) for k in tx.KINDS]), (v % 5).cast("int")).alias("kind"), (v % 11 != 0).alias("is_active"),
     )
 
 
