@@ -5,8 +5,8 @@ mean of its subwords' embeddings; a linear softmax gives the languages. Embeddin
 stochastic gradient descent in numpy. A part of the sample is kept from training to fit a temperature, so that scores are
 calibrated, and the least score at which predictions are reliable; below it a row is `rejected`.
 
-The classifier is fitted on a bounded sample: SAMPLE_ROWS rows, spread evenly over the languages, in the order of a hash
-of doc_id. Prediction reads every whole text.
+The classifier is fitted on a bounded sample: SAMPLE_ROWS rows, spread evenly over the languages (the SAMPLE_ROWS most
+frequent, should there be more), in the order of a hash of doc_id. Prediction reads every whole text.
 
 Edge cases: null text, empty text and text without a letter give `und` and score 0. Rows with null lang, text or doc_id are
 not learned from; a null doc_id is not held out. Repeated rows each come back. Without any labelled row every
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.shared import table
@@ -124,10 +124,17 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(lang, ids, shares, calibrates) of the sampled texts and of pieces of them."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD_OUT))
-    langs = usable.select("lang").distinct().count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, rows // max(langs, 1)))
-    ids = picked.select("doc_id").distinct()  # at most `rows` ids
+    per_lang = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()  # a row a language
+    want = max(1, rows // max(len(per_lang), 1))
+    spark = docs.sparkSession
+    # Hashes under a language's share give a little more than is wanted; the driver sees those ids alone and keeps the first.
+    shares = spark.createDataFrame([(r["lang"], min(1.0, (1.3 * want + 20) / r["count"])) for r in per_lang], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / float(1 << 31)
+    near = usable.select("lang", "doc_id", place.alias("place")).join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share")).select("lang", "doc_id", "place").distinct()
+    taken: dict = {}
+    for r in sorted(near.collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"])):
+        taken.setdefault(r["lang"], []).append(r["doc_id"])
+    ids = spark.createDataFrame([(i,) for own in taken.values() for i in own[:want]], f"doc_id {dict(docs.dtypes)['doc_id']}").distinct()
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
