@@ -45,38 +45,49 @@ def encode_f32(vector: Column) -> Column:
     return F.pandas_udf(_encode, T.BinaryType())(vector)
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float, exclude_self: bool = True) -> DataFrame:
-    """(query_id, key, similarity): for each query the k most similar rows at or over the threshold; ties by key.
-
-    `queries` (query_id, vector) is a stated set; it goes to the workers in blocks, `vectors` stays where it is. Each batch
-    is one matrix product and keeps its k best for each query, so only k rows a query and batch are shuffled.
-    """
-    spark = vectors.sparkSession
+def _query_blocks(queries: DataFrame, vector: str) -> tuple[dict[int, tuple[list, np.ndarray]], pa.DataType]:
+    """Ids and unit vectors of `queries` (query_id, vector) by vector size, and the Arrow type of the ids."""
     got = queries.select("query_id", vector).toArrow()
     ids = got.column(0).to_pylist()
     rows = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in got.column(1).to_pylist()]
-    kind = dict(vectors.dtypes)[key]
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(r) for r in rows if len(r)}:
         own = [(i, r / n) for i, r in zip(ids, rows, strict=True) if len(r) == size and (n := np.linalg.norm(r)) > 0]
         if own:
             by_size[size] = [i for i, _ in own], np.stack([r for _, r in own])
+    return by_size, got.schema.field(0).type
+
+
+def _unit_rows(b: pa.RecordBatch, size: int) -> tuple[list, np.ndarray]:
+    """Keys and unit vectors of a batch (key, vector) whose vectors have `size` numbers and a norm over zero."""
+    keys, lists = b.column(0), b.column(1)
+    sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()])
+    at = np.flatnonzero(sizes == size)
+    if not len(at):
+        return [], np.zeros((0, size))
+    m = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+    norm = np.linalg.norm(m, axis=1)
+    good = norm > 0
+    return keys.take(pa.array(at[good])).to_pylist(), m[good] / norm[good, None]
+
+
+def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float, exclude_self: bool = True) -> DataFrame:
+    """(query_id, key, similarity): for each query the k most similar rows at or over the threshold; ties by key.
+
+    `queries` (query_id, vector) is a stated set; it goes to the workers in blocks, `vectors` stays where it is. Each batch
+    is one matrix product and keeps its k best for each query, so only k rows a query and batch are shuffled.
+    """
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)[key]
+    by_size, id_type = _query_blocks(queries, vector)
     shared = spark.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, lists = b.column(0), b.column(1)
-            sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()])
             for size, (q_ids, q) in shared.value.items():
-                at = np.flatnonzero(sizes == size)
-                if not len(at):
+                own, m = _unit_rows(b, size)
+                if not own:
                     continue
-                flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                m = flat.reshape(len(at), size)
-                norm = np.linalg.norm(m, axis=1)
-                good = norm > 0
-                at, m = at[good], m[good] / norm[good, None]
-                own = keys.take(pa.array(at)).to_pylist()
                 out: tuple[list, list, list] = ([], [], [])
                 for i in range(0, len(q_ids), 256):
                     sim = q[i : i + 256] @ m.T
@@ -86,7 +97,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                         out[0].extend([q_ids[i + j]] * len(best))
                         out[1].extend(own[x] for x in best)
                         out[2].extend(row[best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], got.schema.field(0).type), pa.array(out[1], keys.type), pa.array(out[2], pa.float64())], names=["query_id", key, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], b.column(0).type), pa.array(out[2], pa.float64())], names=["query_id", key, "similarity"])
 
     q_kind = dict(queries.dtypes)["query_id"]
     found = vectors.select(key, vector).mapInArrow(run, f"query_id {q_kind}, {key} {kind}, similarity double")
@@ -96,3 +107,34 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def count_over(vectors: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(query_id, n): for each query with any the number of rows at or over the threshold, but for rows of the query's own key or of none.
+
+    Workers count hits by query and batch; only these sums are shuffled, so no number of hits is a bound.
+    """
+    by_size, id_type = _query_blocks(queries, vector)
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, (q_ids, q) in shared.value.items():
+                own, m = _unit_rows(b.filter(b.column(0).is_valid()), size)
+                if not own:
+                    continue
+                places: dict = {}
+                for x, k in enumerate(own):
+                    places.setdefault(k, []).append(x)
+                ids, sums = [], []
+                for i in range(0, len(q_ids), 256):
+                    near = q[i : i + 256] @ m.T >= threshold
+                    for j, n in enumerate(near.sum(axis=1).tolist()):
+                        n -= sum(int(near[j, x]) for x in places.get(q_ids[i + j], ()))
+                        if n and q_ids[i + j] is not None:
+                            ids.append(q_ids[i + j])
+                            sums.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sums, pa.int64())], names=["query_id", "n"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    return vectors.select(key, vector).mapInArrow(run, f"query_id {kind}, n long").groupBy("query_id").agg(F.sum("n").alias("n"))

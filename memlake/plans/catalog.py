@@ -71,7 +71,7 @@ def vector_recall_topk(spark, sf):
 
 @_query(f"WITH {_hits_sql(1000000)} SELECT query_id, count(*) AS n FROM h GROUP BY query_id")
 def vector_threshold_count(spark, sf):
-    return _hits(spark, sf, 1_000_000).groupBy("query_id").agg(F.count("*").alias("n"))
+    return vx.count_over(_memories(spark, sf).where("is_active"), _ask(spark, sf), "memory_id", "embedding", 0.3)
 
 
 _CTX = """{{'repo_id': CASE WHEN {v} % 6 = 0 THEN NULL ELSE 'r' || ({v} % 4) END, 'work_area': CASE WHEN {v} % 3 = 0 THEN NULL ELSE 'w' || ({v} % 2) END,
