@@ -9,7 +9,7 @@ goes down from the top, adds up the differences on the kept bits, and leaves a w
 
 Edge cases: null or empty text has the fingerprint zero. Ties are broken by bit counts of over half, as stated. Repeated
 rows share a fingerprint. A null doc_id never names a component unless all its ids are null. An empty table gives an
-empty result. Extra columns are ignored by `cluster` and kept by `keep_one`.
+empty result. Extra columns are ignored. The pipeline's `keep_one` has settings of its own (`nearcopies`).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm.nearcopies import keep_one as keep_one
 from memlake.operators.components import components
 from memlake.shared import sized_stash, small, stash, table
 
@@ -205,18 +206,6 @@ def cluster(docs: DataFrame) -> DataFrame:
     return rows.join(small(own, size), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` but for near-copies: of each component the row of the smallest doc_id stays."""
-    found, _ = sized_stash(cluster(docs), "clusters")
-    gone, size = sized_stash(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_d")).distinct(), "gone")
-    kept = docs.join(small(gone, size), docs["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
-    again, size = sized_stash(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d")), "again")
-    if again.isEmpty():
-        return kept
-    same = kept["doc_id"].eqNullSafe(again["_d"])
-    return kept.join(small(again, size), same, "left_anti").unionByName(kept.join(small(again, size), same, "left_semi").dropDuplicates(["doc_id"]))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
