@@ -74,12 +74,13 @@ def alike(lt: Column, lb: Column, lx: Column, rt: Column, rb: Column, rx: Column
     return by_title | (whole >= limits["text"])
 
 
-def jaccard_pairs(docs: DataFrame, key: str, part: str, tokens: str, threshold: float) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, key: str, part: str, tokens: str, threshold: float, copies: bool = True) -> DataFrame:
     """(a, b, jaccard) of rows of one part whose token sets overlap by `threshold` or more.
 
     Equal token sets form a class first; class representatives meet on the rare tokens of their prefixes: sets that
     overlap by t share a token among each one's first n - ceil(t n) + 1 tokens in the order of global rarity. So common
-    tokens never join. Copies are expanded at the end as representative and member, not as all pairs.
+    tokens never join. Copies are expanded at the end as representative and member, not as all pairs; without `copies` only
+    pairs of representatives are returned.
     """
     rows = stash(docs.select(F.col(key).alias("id"), F.col(part).alias("part"), F.array_sort(F.col(tokens)).alias("t")).where(F.size("t") > 0), "sets")
     classes = stash(rows.groupBy("part", "t").agg(F.min("id").alias("rep")), "classes")
@@ -92,7 +93,12 @@ def jaccard_pairs(docs: DataFrame, key: str, part: str, tokens: str, threshold:
     close = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)
     met = a.join(b, ["part", "w"]).where(close).select("a", "b").distinct()
     sets = classes.select("rep", "t")
-    return met.join(sets.withColumnsRenamed({"rep": "a", "t": "ta"}), "a").join(sets.withColumnsRenamed({"rep": "b", "t": "tb"}), "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = met.join(sets.withColumnsRenamed({"rep": "a", "t": "ta"}), "a").join(sets.withColumnsRenamed({"rep": "b", "t": "tb"}), "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    if not copies:
+        return pairs
+    same = rows["part"].eqNullSafe(classes["part"]) & (rows["t"] == classes["t"])
+    members = rows.join(classes, same).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    return pairs.unionByName(members)
 
 
 def greedy_losers(memories: DataFrame, limits: dict = DUPLICATE) -> DataFrame:
