@@ -2,12 +2,13 @@
 
 A document is its token ids and one end id; only documents longer than a sequence are cut. Hierarchical residual packing:
 pieces are dealt into partitions of bounded size and packed there by best fit decreasing; bins that are nearly full are
-final; the others, with their pieces, become items of a next round in fewer partitions, up the tree, until one partition is
-left or a round no longer helps. A bin holds at most as many pieces as a sequence has tokens, so rows stay bounded, and
-no task gets more than PIECES_PER_TASK items.
+final; the others become items of a next round in fewer partitions, up the tree, until one partition is left or a round no
+longer helps. Only a bin's number and fill go up, so rows stay small whatever a bin holds. Pieces are dealt by a stored row
+number, so no task gets many more than PIECES_PER_TASK items, however doc_ids repeat.
 
-Edge cases: null or empty text is the end id alone. Rows with a null doc_id are packed like others. Repeated rows are packed
-each for itself. An empty table gives an empty result. Extra columns are ignored.
+Edge cases: null or empty text is the end id alone. A very long text is tokenised in one task and cut into pieces. Rows with
+a null doc_id are packed like others, and repeated rows each for itself. Items of one size are taken in the order of a hash
+of their row numbers. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.shared import sized_stash, table
+from memlake.shared import sized_stash, small, table
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -34,9 +40,11 @@ PIECES_PER_TASK = 50_000
 FREE_AT_MOST = 8
 FAN_IN = 8
 MIN_GAIN = 0.002
-CACHE_WORDS = 300_000
+#: Words that a worker remembers at most, about, and bytes of text tokenised at once.
+CACHE_WORDS, GROUP_BYTES = 700_000, 8 << 20
 
-_FAST = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: ASCII marks, Latin letters, ASCII marks. Before letters no "'", which can begin a part of its own there, and no "<", which can begin a special token.
+_FAST = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> list[str]:
@@ -46,11 +54,17 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """`x`, or a longer copy, with room for `n` values."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 class WordTokenizer:
     """Token ids of texts, word by word, with a bounded cache.
 
     White space parts words and is dropped by this vocabulary, so a text's ids are its words' ids in a row. Words of
-    Latin letters with closing marks go straight to the model; all others go through the whole tokenizer.
+    Latin letters between ASCII marks go straight to the model, part by part; all others go through the whole tokenizer.
+    Once the cache is full, the half of its words that were met least is forgotten.
     """
 
     def __init__(self, path: str):
@@ -60,63 +74,102 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self._clear()
-
-    def _clear(self) -> None:
-        outer = self
+        self.heads: dict[str, bytes] = {}
+        self.index: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
-        class Index(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = n = len(self)
-                outer.fresh.append(word)
-                return n
-
-        self.index, self.fresh, self.heads = Index(), [], {}
-        self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64), 0
-
-    def _head(self, word: str) -> list[int]:
+    def _head(self, word: str) -> bytes:
         got = self.heads.get(word)
         if got is None:
             text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            got = self.heads[word] = [t.id for t in self.model.tokenize(text)]
+            got = self.heads[word] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return got
 
-    def _tail(self, marks: str) -> list[int]:
+    def _marks(self, marks: str) -> bytes:
         got = self.heads.get(marks)
         if got is None:
-            got = self.heads[marks] = self.whole.encode(marks, add_special_tokens=False).ids
+            got = self.heads[marks] = array("I", self.whole.encode(marks, add_special_tokens=False).ids).tobytes()
         return got
 
-    def _word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if m := _FAST.fullmatch(text):
-            return self._head(m[1].lower()) + (self._tail(m[2]) if m[2] else [])
-        return self.whole.encode(text, add_special_tokens=False).ids
+    def _word(self, word: str) -> bytes:
+        if m := _FAST.fullmatch(word):
+            before, letters, after = m.groups()
+            ids = self._head(letters.lower())
+            if after:
+                ids += self._marks(after)
+            return self._marks(before) + ids if before else ids
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        if len(self.heads) > CACHE_WORDS // 2:
+            self.heads.clear()
+        ids = list(map(self._word, fresh))
+        data, first = np.frombuffer(b"".join(ids), "<u4"), len(self.index)
+        last = first + len(ids)
+        self.flat = _room(self.flat, self.used + len(data))
+        self.starts, self.sizes, self.met = (_room(x, last) for x in (self.starts, self.sizes, self.met))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.index.update(zip(fresh, range(first, last), strict=True))
+        self.flat[self.used : self.used + len(data)] = data
+        self.starts[first:last], self.sizes[first:last], self.met[first:last] = self.used + np.cumsum(sizes) - sizes, sizes, 0
+        self.used += len(data)
+
+    def _forget(self) -> None:
+        n, words = len(self.index), list(self.index)
+        keep = np.sort(np.argsort(-self.met[:n], kind="stable")[: CACHE_WORDS // 2])
+        self.index = {words[i]: k for k, i in enumerate(keep.tolist())}
+        starts, sizes, k = self.starts[keep], self.sizes[keep], len(keep)
+        ends = np.cumsum(sizes)
+        self.used = int(ends[-1]) if k else 0
+        self.flat[: self.used] = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(self.used)]
+        self.starts[:k], self.sizes[:k], self.met[:k] = ends - sizes, sizes, self.met[keep] // 2
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of `text` and the end id, as unsigned 32-bit."""
-        words = (text or "").encode().split()
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of `texts`, each followed by the end id, as unsigned 32-bit in a row; and where each text's ids end."""
         if len(self.index) > CACHE_WORDS:
-            self._clear()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        for word in self.fresh:
-            ids = self._word(word)
-            n = self.index[word]
-            if n >= len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.used += len(ids)
-        self.fresh.clear()
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, dtype="<u4")
-        out[:total] = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        out[total] = END_ID
-        return out
+            self._forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.index.get, words))
+        if None in found:
+            self._learn(list(compress(words, map(is_, found, repeat(None)))))
+            found = map(self.index.__getitem__, words)
+        at = np.fromiter(found, np.int64, len(words))
+        codes = coded.indices.to_numpy()
+        self.met[at] += np.bincount(codes, minlength=len(at))
+        first, count = self.starts[at], self.sizes[at]
+        sizes = count[codes]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        ends = stops[split.offsets.to_numpy()]
+        ends -= ends[0]
+        places = np.arange(stops[-1])
+        ids = self.flat[np.repeat(first[codes] - stops[:-1], sizes) + places]
+        out = np.full(len(ids) + len(texts), END_ID, "<u4")
+        out[places + np.repeat(np.arange(len(texts)), np.diff(ends))] = ids
+        return out, ends[1:] + np.arange(1, len(texts) + 1)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of one text and the end id."""
+        return self.ids_of(pa.array([text], pa.string()))[0]
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(vocabulary: str | None) -> WordTokenizer:
+    """One tokenizer a worker process; its cache serves all tasks that run there."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    return WordTokenizer(vocabulary)
+
+
+def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in a row, about GROUP_BYTES a group, or one long text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    return (texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -124,23 +177,22 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(VOCABULARY)
-        tokens = WordTokenizer(path)
+        tokens = tokenizer_of(vocabulary)
         for b in batches:
-            keys, out = [], []
-            for i, text in enumerate(b.column(1)):
-                ids = tokens.ids(text.as_py())
-                for p in range(0, len(ids), max_tokens):
-                    part = ids[p : p + max_tokens]
-                    keys.append(i)
-                    out.append((p // max_tokens, p, len(part), zlib.crc32(part.tobytes())))
-            cols = zip(*out, strict=True) if out else [[]] * 4
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            row = 0
+            for texts in _groups(b.column(1)):
+                ids, ends = tokens.ids_of(texts)
+                begins = np.concatenate([[0], ends[:-1]])
+                counts = -(-(ends - begins) // max_tokens)
+                text = np.repeat(np.arange(len(texts)), counts)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * max_tokens
+                length = np.minimum(ends[text] - begins[text] - start, max_tokens)
+                data, at = memoryview(ids).cast("B"), 4 * (begins[text] + start)
+                crc = np.fromiter((zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)), np.int64, len(at))
+                keys = b.column(0).take(pa.array(text + row))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -171,11 +223,14 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-_PARTS = "array<struct<doc_id:{0},piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
-def _pack_round(items: DataFrame, parts: str, tasks: int, level: int, max_tokens: int) -> DataFrame:
-    """Packs items (fill, parts) within each of `tasks` partitions into bins (bin, fill, parts)."""
+def _pack_round(items: DataFrame, tasks: int, level: int, max_tokens: int) -> DataFrame:
+    """Packs items (uid, fill, ...) within each of `tasks` partitions: adds bin, at (place in it) and bin_fill to each row."""
+    mix = F.xxhash64("uid", F.lit(level)).alias("mix")
+    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes)
+    names = [*items.columns, "bin", "at", "bin_fill"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,54 +238,60 @@ def _pack_round(items: DataFrame, parts: str, tasks: int, level: int, max_tokens
         got = list(batches)
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("mix", "ascending")])
-        fills, lists = t.column("fill").to_pylist(), t.column("parts").to_pylist()
+        t = pa.Table.from_batches(got).sort_by([("mix", "ascending"), ("uid", "ascending")]).drop_columns(["mix"]).combine_chunks()
+        fills = t.column("fill").to_numpy()
+        bins = best_fit(fills.tolist(), max_tokens)
+        order = np.array([i for members in bins for i in members], np.int64)
+        counts = np.fromiter(map(len, bins), np.int64, len(bins))
+        firsts = np.cumsum(counts) - counts
+        stops = np.cumsum(fills[order])
+        before = np.repeat((stops - fills[order])[firsts], counts)
         base = (level << 56) + (TaskContext.get().partitionId() << 28)
-        bins = best_fit(fills, max_tokens)
-        for at in range(0, len(bins), 2000):
-            ids, sums, rows = [], [], []
-            for k, members in enumerate(bins[at : at + 2000], at):
-                room, row = 0, []
-                for i in members:
-                    row += [x | {"offset": x["offset"] + room} for x in lists[i]]
-                    room += fills[i]
-                ids.append(base + k)
-                sums.append(room)
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(rows, t.schema.field("parts").type)], names=["bin", "fill", "parts"])
-
-    first = F.col("parts")[0]
-    mixed = items.select("fill", "parts", F.xxhash64(first["doc_id"], first["piece"], F.lit(level)).alias("mix"))
-    dealt = mixed.repartition(tasks, "mix") if tasks > 1 else mixed.repartition(1)
-    return dealt.mapInArrow(run, f"bin long, fill long, parts {parts}")
+        added = (np.repeat(np.arange(len(bins)) + base, counts), stops - fills[order] - before, np.repeat(np.add.reduceat(fills[order], firsts), counts))
+        out = pa.Table.from_arrays([*t.take(pa.array(order)).combine_chunks().columns, *map(pa.array, added)], names=names)
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return items.select("*", mix).repartition(tasks, "mix").mapInArrow(run, f"{schema}, bin long, at long, bin_fill long")
+
+
+def _lifted(rows: DataFrame, above: tuple[DataFrame, int] | None) -> DataFrame:
+    """`rows` (..., bin, at) with bin and at of the bin of the rounds above that their own bin went into, if it went."""
+    if above is None:
+        return rows
+    named = small(above[0].select(F.col("uid").alias("_bin"), F.col("bin").alias("_to"), F.col("at").alias("_by")), above[1])
+    joined = rows.join(named, rows["bin"] == named["_bin"], "left")
+    return joined.withColumns({"bin": F.coalesce("_to", "bin"), "at": F.col("at") + F.coalesce("_by", F.lit(0))}).drop("_bin", "_to", "_by")
 
 
 def pack(found: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to pieces()."""
-    parts = _PARTS.format(dict(found.dtypes)["doc_id"])
-    fields = ("doc_id", "piece", "start", "length", "ids_crc32")
-    found, _ = sized_stash(found, "pieces")
+    """Adds sequence_id and offset to pieces().
+
+    Pieces take part in the first round only. Up the tree go the numbers and fills of underfull bins; at the end these
+    rounds' rows, a small part of all, name the sequence and the place of each bin of the round below, down to the pieces.
+    """
+    found, _ = sized_stash(found.select(*_FIELDS).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == max_tokens
-    alone = found.where(whole).select(F.monotonically_increasing_id().alias("bin"), *fields, F.lit(0).cast("long").alias("offset"))
-    items = found.where(~whole).select(F.col("length").alias("fill"), F.array(F.struct(*fields, F.lit(0).cast("long").alias("offset"))).cast(parts).alias("parts"))
-    n, level, last, done = found.where(~whole).count(), 1, None, []
-    tasks = -(-n // PIECES_PER_TASK) if n else 0
+    alone = found.where(whole).select(*_FIELDS, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    items = found.where(~whole).withColumn("fill", F.col("length"))
+    n, level, last, rounds = found.where(~whole).count(), 1, None, []
+    tasks = -(-n // PIECES_PER_TASK)
     while tasks:
-        bins, _ = sized_stash(_pack_round(items, parts, tasks, level, max_tokens), "bins")
-        full = F.col("fill") >= max_tokens - FREE_AT_MOST
-        loose = bins.where(~full)
+        rows, size = sized_stash(_pack_round(items, tasks, level, max_tokens), "bins")
+        rounds.append((rows, size))
+        loose = rows.where((F.col("at") == 0) & (F.col("bin_fill") < max_tokens - FREE_AT_MOST)).select(F.col("bin").alias("uid"), F.col("bin_fill").alias("fill"))
         left = loose.count()
         gained = last is None or last - left > MIN_GAIN * last
         if tasks == 1 or left <= 1 or not gained and left > PIECES_PER_TASK:
-            done.append(bins)
             break
-        done.append(bins.where(full))
-        items, last, level = loose.select("fill", "parts"), left, level + 1
+        items, last, level = loose, left, level + 1
         tasks = max(-(-left // PIECES_PER_TASK), -(-tasks // FAN_IN)) if left > PIECES_PER_TASK else 1
-    out = alone.select(*fields, F.col("bin").alias("sequence_id"), "offset")
-    for bins in done:
-        out = out.unionByName(bins.select(F.col("bin").alias("sequence_id"), F.explode("parts").alias("p")).select("p.*", "sequence_id"))
-    return out
+    if not rounds:
+        return alone
+    above = None
+    for rows, _ in reversed(rounds[1:]):
+        above = sized_stash(_lifted(rows.select("uid", "bin", "at"), above), "placed")
+    placed = _lifted(rounds[0][0].select(*_FIELDS, "bin", "at"), above)
+    return alone.unionByName(placed.select(*_FIELDS, F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def tokenizer():
 def test_ids_are_the_tokenizers(spark, monkeypatch):
     whole, words = tokenizer()
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
-    texts += ["", None, "It's DON'T we'll", "ÉÀß ñandú Ünïcode", "é ́x", "日本 😀  x y", "ΣΑΣ İ", "a1b2 3.14, (x)!", "#|*$ <>", "x" * 5000, "\x0bq\x0c"]
+    texts += ["", None, "It's DON'T we'll", "ÉÀß ñandú Ünïcode", "é ́x", "日本 😀  x y", "ΣΑΣ İ", "a1b2 3.14, (x)!", "#|*$ <>", "x" * 5000, "\x0bq\x0c", "<|endoftext|> x<|startoftext|>y <b>bold</b> (a) don't 's it's, ''quoted'' *** stars### a'b' ([{word}])|"]
     for t in texts:
         assert words.ids(t).tolist() == whole.encode(t or "", add_special_tokens=False).ids + [0]
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)

@@ -2,7 +2,7 @@
 
 from conftest import BENCH, DOCS, prose
 
-from memlake.llm import decontam, simhash
+from memlake.llm import decontam, packing, simhash
 
 
 def test_clean_rows_stay(spark):
@@ -20,3 +20,25 @@ def test_near_copies_by_row(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     got = sorted(repr((r["doc_id"], r["text"])) for r in simhash.keep_one(df).collect())
     assert got == sorted(map(repr, [(None, a), (5, c), (1, d), (6, e), (9, b + " end")]))
+
+
+def test_packing_deals_by_row(spark, monkeypatch):
+    """Pieces of no doc_id and of one doc_id are dealt like others: no task gets many more than its share."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 40)
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    df = spark.createDataFrame([(None, 0, 0, 100 + i % 900, i) for i in range(3_000)] + [(7, 0, 0, 100 + i % 900, i) for i in range(600)], kind)
+    items = df.selectExpr("monotonically_increasing_id() AS uid", "length AS fill").cache()
+    tasks = packing._pack_round(items, 90, 1, 2048).selectExpr("shiftright(bin, 28) % 1048576 AS task").groupBy("task").count()
+    assert tasks.agg({"count": "max"}).first()[0] <= 80
+    got = packing.pack(df).collect()
+    assert sorted(r["ids_crc32"] for r in got) == sorted([*range(3_000), *range(600)])
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in seqs.values():
+        ends = [0]
+        for o, n in sorted(parts):
+            assert o == ends[-1]
+            ends.append(o + n)
+        assert ends[-1] <= 2048
+    assert len(seqs) <= 1.03 * sum(r["length"] for r in got) / 2048 + 1
