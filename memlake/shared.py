@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where unset on a local master."""
     global _own_dir
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="memlake-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -47,6 +51,19 @@ def clean(spark: SparkSession) -> None:
         remove_path(spark, _made.pop())
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """On leaving, removes the intermediate tables made inside, but for those with a tag in `keep`."""
+    first = len(_made)
+    yield
+    made, _made[first:] = _made[first:], []
+    for path in made:
+        if any(f"/memlake-{tag}-" in path for tag in keep):
+            _made.append(path)
+        else:
+            remove_path(spark, path)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Bytes stored under `path`, asked of its file system."""
     jvm = spark.sparkContext._jvm
