@@ -1,50 +1,88 @@
 """Near-copies by the Jaccard similarity of their 5-word shingles, each link checked exactly.
 
-Rows with equal shingle sets form a class. Two sets of a similarity of 0.8 or more share a shingle among each one's first
-n - ceil(0.8 n) + 1 in any order that holds for all rows; the order here puts shingles that are frequent in a sample last, so
-the sample bears on the time only. Classes that share such a shingle, and enough of them to reach 0.8 at all, are compared as whole sets. Where many share one, they are
-first compared with one of them, the hub, and what gets linked becomes one component; then only pairs of different components
-are left, as a link within a component changes nothing. So no pair is lost, and a group of near-copies costs rows, not pairs.
-
-Edge cases: texts under 5 words are one shingle; null or empty texts have none and form a class. Case is ignored. Shingles and
-classes are known by 64-bit hashes. Rows are told apart by doc_id and text, so a null or repeated doc_id does no harm; of rows
-equal in both one stays. Null ids come last in the choice of the row that stays.
+Rows with equal shingle sets form a class. Candidates come in two ways:
+
+1. SimHash fingerprints of the classes' shingles go through the Gray-order index, which gives a spanning forest of the links at 3
+   bits or fewer. Most near-copies meet here, and a group of thousands costs rows, not pairs.
+2. A fingerprint of 64 bits can't hold all pairs at 0.8 (they differ in some 10 bits, as many unlike texts do at this
+   number of rows), so a join finds the rest. Two sets alike in 0.8 or more share a shingle among each one's first
+   n - ceil(0.8 n) + 1 in any order that holds for all rows; the order here puts shingles that are frequent in a sample last, so
+   the sample bears on the time only. Pairs that are one component already are left out, as a link there changes nothing.
+
+A candidate is dropped if the sizes, the number of first shingles in common, or a bitmap of parities (whose differing bits
+are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
+Where very many classes share a first shingle, they are compared with one of them, the hub, as long as that helps; then
+pairs of different components are left. So no pair is lost.
+
+Edge cases: texts under 5 words are one shingle; null or empty texts have none and form a class. Very long texts are worked on
+in one task, in memory of some times their size. Case is ignored. Shingles and classes are known by 64-bit hashes. Rows are told
+apart by doc_id and text, so a null or repeated doc_id does no harm; of rows equal in both one stays. Ties: of a group the row of
+the smallest doc_id stays, null ids last, and of those the one with the smallest hash of its text. Empty tables give an empty
+result. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.words import coded_words, text_groups
 from memlake.operators.components import components
-from memlake.shared import sized_stash, small, stash
+from memlake.shared import scratch, sized_stash, small, stash
 
 SEED = 42
 SHINGLE = 5
 #: Similarity of near-copies, in hundredths.
 ALIKE = 80
-#: About so many rows are sampled for the order of shingles; those in HOT of them or more come last.
-SAMPLE_ROWS, HOT = 20_000, 3
-#: Hubs are used while the pairs left are more than this many for each row.
-PAIRS, HUB_ROUNDS = 4, 8
+#: One row in so many is sampled for the order of shingles; those in HOT rows of the sample or more come last, HOT_MOST shingles at most.
+SAMPLE, HOT, HOT_MOST = 10, 3, 200_000
+#: Hubs are used while the pairs left are more than this many for each row, and while they take away a share of GAIN.
+PAIRS, HUB_ROUNDS, GAIN = 4, 8, 0.2
+#: 64-bit words of a class's bitmap of parities.
+BITMAP = 8
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    for group in text_groups(texts):
+        codes, words, ends = coded_words(pc.ascii_lower(group))
+        known = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words.to_pylist()), np.uint64, len(words))
+        h = np.concatenate([known[codes], np.zeros(SHINGLE, np.uint64)])
+        n = len(codes)
+        s = sum(h[i : i + n] * _FACTORS[i] for i in range(SHINGLE))
+        for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if end - begin >= SHINGLE:
+                own = s[begin : end - SHINGLE + 1]
+            else:
+                own = np.sum(h[begin:end] * _FACTORS[: end - begin], dtype=np.uint64, keepdims=True)[: end - begin]
+            own = (own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield np.unique(own ^ (own >> np.uint64(29)))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    w = (text or "").encode().lower().split()
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in w], dtype=np.uint64)
-    n = max(len(h) - SHINGLE + 1, min(len(h), 1))
-    s = np.zeros(n, dtype=np.uint64)
-    for i in range(min(SHINGLE, len(h))):
-        s += h[i : i + n] * _FACTORS[i]
-    s = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(s ^ (s >> np.uint64(29)))
+    return next(shingle_sets(pa.array([text], pa.string())))
+
+
+def fingerprint(s: np.ndarray) -> int:
+    """The majority bits of a set's hashes."""
+    counts, octets = np.zeros(64, np.int64), s.view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(s), 1 << 15):
+        counts += np.unpackbits(octets[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(s)).tobytes(), "big")
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes fall on each bit. Two bitmaps differ in no more bits than the sets in members."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def prefix_size(n: int) -> int:
@@ -53,17 +91,21 @@ def prefix_size(n: int) -> int:
 
 
 def _hot(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of `texts` (k, text), sorted, and in how many rows they are."""
-    share = max(1, texts.count() // SAMPLE_ROWS)
+    """Shingles that are frequent in a sample of `texts` (k, text), sorted, and in how many rows they are: HOT_MOST at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x.as_py()) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["sh"])
-
-    part = texts.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).select("text")
-    found = part.mapInArrow(run, "sh long").groupBy("sh").count().where(F.col("count") >= HOT)
-    got = found.orderBy(F.desc("count"), "sh").limit(200_000).toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0)), np.zeros(0, np.uint64)]).view(np.int64))], names=["sh"])
+
+    part = texts.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).select("text")
+    found = stash(part.mapInArrow(run, "sh long").groupBy("sh").count().where(F.col("count") >= HOT), "hot")
+    step = F.floor(F.log2(F.col("count").cast("double")) * 16).cast("int")
+    least, room = 1 << 30, HOT_MOST
+    for k, n in sorted(found.groupBy(step.alias("k")).agg(F.count("*")).collect(), reverse=True):  # some hundred steps at most
+        if n > room:
+            break
+        least, room = k, room - n
+    got = found.where(step >= least).toArrow()
     sh, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     at = np.argsort(sh)
     return sh[at], n[at]
@@ -75,43 +117,56 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, k, cid, n, sh) for every row of `texts` (doc_id, k, text): class, size, and once in each task the class's first shingles."""
+    """(doc_id, k, cid, n, fp, bits, sh) for every row of `texts` (doc_id, k, text): class, size, fingerprint, and once in each
+    task the class's bitmap and first shingles."""
     kind = dict(texts.dtypes)["doc_id"]
     shared = texts.sparkSession.sparkContext.broadcast(_hot(texts.select("k", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, freq), seen = shared.value, set()
+        (hot, freq), seen = shared.value, {}
         for b in batches:
-            cids, sizes, out = [], [], []
-            for x in b.column(2):
-                s = shingles(x.as_py())
-                cids.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
+            cids, sizes, fps, bits, out = [], [], [], [], []
+            for s in shingle_sets(b.column(2)):
+                cid = xxhash.xxh3_64_intdigest(s.tobytes(), SEED)
+                cids.append(cid)
                 sizes.append(len(s))
-                if cids[-1] in seen:
-                    s = s[:0]
-                seen.add(cids[-1])
+                if cid in seen:
+                    fps.append(seen[cid])
+                    bits.append(s[:0])
+                    out.append(s[:0])
+                    continue
+                seen[cid] = fingerprint(s)
+                fps.append(seen[cid])
+                bits.append(bitmap(s))
                 if len(hot) and len(s):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     s = s[np.lexsort((s, np.where(hot[at] == s, freq[at], 0)))]
                 out.append(s[: prefix_size(len(s))])
-            cols = [b.column(0), b.column(1), pa.array(np.array(cids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(out)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "cid", "n", "sh"])
+            ints = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            cols = [b.column(0), b.column(1), ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(out)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "cid", "n", "fp", "bits", "sh"])
 
-    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, cid long, n long, sh array<long>")
+    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, sh array<long>")
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """(w, cid, n): first shingles of the classes that some other class has among its own first ones."""
+def _prefixes(rows: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
+    """(w, cid, n, root, pairs): first shingles that classes of different components share. `pairs` adds up to the number of pairs."""
 
-    def shared(w: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def shared(w: np.ndarray, root: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])][: len(w)]
-        w, c, n = w[new], c[new], n[new]
-        same = w[1:] == w[:-1]
-        keep = (np.r_[False, same] | np.r_[same, False])[: len(w)]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, c, n)], names=["w", "cid", "n"])
+        w, root, c, n = w[new], root[new], c[new], n[new]
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
+        part = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (root[1:] != root[:-1])][: len(w)])
+        size = np.diff(np.r_[first, len(w)])
+        own = np.add.reduceat(np.diff(np.r_[part, len(w)]) ** 2, np.searchsorted(part, first)) if len(w) else size
+        apart = (size**2 - own) // 2
+        pairs = np.zeros(len(w), np.int64)
+        pairs[first] = apart
+        keep = np.repeat(apart > 0, size)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, c, n, root, pairs)], names=["w", "cid", "n", "root", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 4
         for b in batches:
             now = [np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns, strict=True)]
             last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
@@ -120,8 +175,9 @@ def _prefixes(rows: DataFrame) -> DataFrame:
             rest = [x[last:] for x in now]
         yield shared(*rest)
 
-    flat = rows.select(F.explode("sh").alias("w"), "cid", "n").repartition("w").sortWithinPartitions("w", "cid")
-    return stash(flat.mapInArrow(run, "w long, cid long, n long"), "prefixes")
+    own = rows.where(F.size("sh") > 0).join(small(named, named_bytes), "cid", "left")
+    flat = own.select(F.explode("sh").alias("w"), F.coalesce("root", "cid").alias("root"), "cid", "n").repartition("w").sortWithinPartitions("w", "root", "cid")
+    return stash(flat.mapInArrow(run, "w long, cid long, n long, root long, pairs long"), "prefixes")
 
 
 def _whole_sets(rows: DataFrame, texts: DataFrame, used: DataFrame) -> DataFrame:
@@ -133,7 +189,7 @@ def _whole_sets(rows: DataFrame, texts: DataFrame, used: DataFrame) -> DataFrame
         for b in batches:
             at = [i for i, c in enumerate(b.column(0).to_pylist()) if not (c in seen or seen.add(c))]
             part = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(x.as_py()) for x in part.column(1)])], names=["cid", "sh"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1))))], names=["cid", "sh"])
 
     found = texts.select("k", "text").join(small(one, size), "k").select("cid", "text")
     return found.mapInArrow(run, "cid long, sh array<long>").groupBy("cid").agg(F.first("sh").alias("sh"))
@@ -149,30 +205,50 @@ def _can_be_alike(c: Column, n: Column, m: Column) -> Column:
     return (c + after) * (100 + ALIKE) >= (n + m) * ALIKE
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are alike by their whole sets."""
-    pairs, size = sized_stash(pairs.distinct(), "pairs")
+def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are alike: by sizes and bitmaps first, then by their whole sets."""
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    differ = sum(F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITMAP))
+    near = differ * (100 + ALIKE) <= (F.col("na") + F.col("nb")) * (100 - ALIKE)
+    pairs = pairs.distinct().join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb")) & near).select("a", "b")
+    pairs, _ = sized_stash(pairs, "pairs")
     used, used_size = sized_stash(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "used")
     sets, sets_size = sized_stash(_whole_sets(rows, texts, small(used, used_size)), "whole_sets")
     a, b = sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb"))
     both = pairs.join(small(a, sets_size), "a").join(small(b, sets_size), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     met = both.select("a", "b", shared.alias("m"), (F.size("sa") + F.size("sb")).alias("s"))
-    return stash(met.where(F.col("m") * 100 >= (F.col("s") - F.col("m")) * ALIKE).select("a", "b"), "links")
+    return met.where(F.col("m") * 100 >= (F.col("s") - F.col("m")) * ALIKE).select("a", "b")
 
 
-def linked_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(cid, root): the component of every class that has a near-copy."""
-    left, links, named = _prefixes(rows).withColumn("root", F.col("cid")), None, None
+    spark = rows.sparkSession
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with scratch(spark, "links"):
+            return stash(_linked(pairs, classes, rows, texts), "links")
+
+    def rooted(links: DataFrame) -> tuple[DataFrame, int]:
+        with scratch(spark, "named"):
+            return sized_stash(components(links).select(F.col("node").alias("cid"), "root"), "named")
+
+    classes = stash(rows.where(F.size("bits") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "classes")
+    first = stash(classes.where("n > 0").groupBy("fp").agg(F.min("cid").alias("rep")), "first")
+    near = fingerprint_links(first.select("fp"))
+    ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b")]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    same = classes.where("n > 0").join(first, "fp").where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b"))
+    links = verified(across.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    named, size = rooted(links)
+    left, last = _prefixes(rows, named, size), None
     for turn in range(HUB_ROUNDS + 1):
-        per = left.groupBy("w", "root").agg(F.count("*").alias("c")).groupBy("w").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        per, size = sized_stash(per.where(F.col("c") * F.col("c") > F.col("own")), "shared_by")
-        total, pairs = per.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("own")) / 2), F.lit(0))).first()
+        total, pairs = left.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not total:
             break
-        left = stash(left.join(small(per, size).select("w"), "w"), "left")
-        last = pairs <= PAIRS * total or turn == HUB_ROUNDS
-        if last:
+        direct = pairs <= PAIRS * total or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
+        if direct:
             y = left.select("w", F.col("cid").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))
             found = left.join(y, "w").where(F.col("cid") < F.col("y"))
         else:
@@ -180,24 +256,30 @@ def linked_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
             y, size = sized_stash(y.select("w", "hub.y", "hub.m", "hub.other"), "hubs")
             found = left.join(small(y, size), "w")
         found = found.where((F.col("root") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"))).select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"), "n", "m")
-        if last:  # all that the two share of their first shingles is seen here
+        if direct:  # all that the two share of their first shingles is seen here
             found = found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_can_be_alike(F.col("c"), F.col("n"), F.col("m")))
-        found = found.select("a", "b")
-        new = _linked(found, rows, texts)
-        links = new if links is None else links.unionByName(new)
-        named, size = sized_stash(components(links).select(F.col("node").alias("cid"), "root"), "named")
-        if last:
+        links = links.unionByName(verified(found.select("a", "b")))
+        named, size = rooted(links)
+        if direct:
             break
-        left = left.drop("root").join(small(named, size), "cid", "left").select("w", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    return named if named is not None else rows.sparkSession.createDataFrame([], "cid long, root long")
+        left, last = _prefixes(rows, named, size), pairs
+    return named
+
+
+def keep_one(docs: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of `docs` but for near-copies: of each component of linked rows the one of the smallest doc_id stays.
+
+    `fingerprint_links` gives links (a, b) that span the components of fingerprints (fp) near each other.
+    """
+    with scratch(docs.sparkSession, "gone", "again"):
+        return _keep_one(docs, fingerprint_links)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` but for near-copies: of each component of linked rows the one of the smallest doc_id stays."""
+def _keep_one(docs: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     k = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select("doc_id", k.alias("k"), "text")
     rows = stash(_sets(texts), "sets")
-    named, size = sized_stash(linked_classes(rows, texts), "classes")
+    named, size = sized_stash(linked_classes(rows, texts, fingerprint_links), "components")
     rows = stash(rows.select("doc_id", "k", "cid").join(small(named, size), "cid", "left").select("doc_id", "k", F.coalesce("root", "cid").alias("root")), "rooted")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("k").alias("k")))
     best, size = sized_stash(rows.groupBy("root").agg(first.alias("best"), F.count("*").alias("c")).where("c > 1").select("root", "best.d", F.col("best.k").alias("best_k")), "best")

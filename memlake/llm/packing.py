@@ -25,10 +25,10 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm.words import coded_words, text_groups
 from memlake.shared import sized_stash, small, table
 
 MAX_TOKENS = 2048
@@ -40,8 +40,8 @@ PIECES_PER_TASK = 50_000
 FREE_AT_MOST = 8
 FAN_IN = 8
 MIN_GAIN = 0.002
-#: Words that a worker remembers at most, about, and bytes of text tokenised at once.
-CACHE_WORDS, GROUP_BYTES = 700_000, 8 << 20
+#: Words that a worker remembers at most, about.
+CACHE_WORDS = 700_000
 
 #: ASCII marks, Latin letters, ASCII marks. Before letters no "'", which can begin a part of its own there, and no "<", which can begin a special token.
 _FAST = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -129,21 +129,18 @@ class WordTokenizer:
         """The ids of `texts`, each followed by the end id, as unsigned 32-bit in a row; and where each text's ids end."""
         if len(self.index) > CACHE_WORDS:
             self._forget()
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        codes, words, ends = coded_words(texts)
+        words = words.to_pylist()
         found = list(map(self.index.get, words))
         if None in found:
             self._learn(list(compress(words, map(is_, found, repeat(None)))))
             found = map(self.index.__getitem__, words)
         at = np.fromiter(found, np.int64, len(words))
-        codes = coded.indices.to_numpy()
         self.met[at] += np.bincount(codes, minlength=len(at))
         first, count = self.starts[at], self.sizes[at]
         sizes = count[codes]
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        ends = stops[split.offsets.to_numpy()]
-        ends -= ends[0]
+        ends = stops[ends]
         places = np.arange(stops[-1])
         ids = self.flat[np.repeat(first[codes] - stops[:-1], sizes) + places]
         out = np.full(len(ids) + len(texts), END_ID, "<u4")
@@ -165,13 +162,6 @@ def tokenizer_of(vocabulary: str | None) -> WordTokenizer:
     return WordTokenizer(vocabulary)
 
 
-def _groups(texts: pa.Array) -> Iterator[pa.Array]:
-    """Texts in a row, about GROUP_BYTES a group, or one long text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // GROUP_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
-    return (texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
-
-
 def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -180,7 +170,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
         tokens = tokenizer_of(vocabulary)
         for b in batches:
             row = 0
-            for texts in _groups(b.column(1)):
+            for texts in text_groups(b.column(1)):
                 ids, ends = tokens.ids_of(texts)
                 begins = np.concatenate([[0], ends[:-1]])
                 counts = -(-(ends - begins) // max_tokens)

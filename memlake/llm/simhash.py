@@ -9,7 +9,8 @@ goes down from the top, adds up the differences on the kept bits, and leaves a w
 
 Edge cases: null or empty text has the fingerprint zero. Ties are broken by bit counts of over half, as stated. Repeated
 rows share a fingerprint. A null doc_id never names a component unless all its ids are null. An empty table gives an
-empty result. Extra columns are ignored. The pipeline's `keep_one` has settings of its own (`nearcopies`).
+empty result. Extra columns are ignored. The pipeline's `keep_one` has settings of its own
+(`nearcopies`). A very long text is worked on in one task, its bits counted block by block.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.nearcopies import keep_one as keep_one
+from memlake.llm import nearcopies
 from memlake.operators.components import components
 from memlake.shared import sized_stash, small, stash, table
 
@@ -206,6 +207,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     return rows.join(small(own, size), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` but for near-copies: of each group of linked rows one stays (see `nearcopies`)."""
+    return nearcopies.keep_one(docs, links)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
