@@ -1,12 +1,13 @@
 """Quality rules by document and by host.
 
-Every document gets counted features and rule failures. Failures are added up by host (`source`), each host's
-failure rate is shrunk towards an empirical beta prior fitted to all hosts by moments, and a host whose shrunk rate
-of some rule exceeds a threshold is rejected; the verdict is joined back to its documents.
-
-Edge cases: null or empty text has no words, so base_failed is true. A null host has no evidence and is never
-rejected. Repeated rows each count and each come back. An empty table gives an empty result. Other columns of the
-input are ignored by `features` and kept by `keep`.
+Every document gets counted features and rule failures. Failures are added up by host (`source`) and each host's failure
+rate is shrunk towards an empirical beta prior fitted to all hosts by moments. A host is rejected for a rule if the 95 percent
+lower bound of its posterior rate is over HOST_RATIO times the hosts' mean rate, that limit kept within HOST_LIMITS: so a few
+failures never cost a host its clean documents, however rare the rule. The verdict is joined back to its documents.
+
+Edge cases: null or empty text has no words, so base_failed is true. A very long text is judged whole, in one task. A null host
+has no evidence and is never rejected. Ties: a bound equal to the limit doesn't reject. Repeated rows each count and each
+come back. An empty table gives an empty result. Other columns of the input are ignored by `features` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.words import SPACES, words, words_sql
-from memlake.shared import let, sized_stash, small, table
+from memlake.shared import let, sized_stash, small, stash, table
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected if its shrunk failure rate of a rule is over this.
-MAX_HOST_RATE = 0.5
+#: A host's limit: so many times the mean rate, but no less and no more than these.
+HOST_RATIO, HOST_LIMITS = 3.0, (0.2, 0.5)
+#: Standard deviations from the posterior mean to its lower bound of 95 percent.
+BOUND = 1.645
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
 RULES = ("fail_base", "fail_symbols", "fail_lines", "fail_length")
@@ -107,12 +110,15 @@ def host_verdicts(feats: DataFrame) -> DataFrame:
     hosts = failures(feats).where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"), *[F.sum(r).alias(r) for r in RULES])
     rates = [F.col(r) / F.col("n") for r in RULES]
     row = hosts.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(rates)], *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(rates)]).first()
-    shrunk = []
+    shrunk, over = [], []
     for i, r in enumerate(RULES):
         m, v = row[f"m{i}"] or 0.0, row[f"v{i}"] or 0.0
         k = min(max(m * (1 - m) / v - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if v > 0 else PRIOR_WEIGHT[1]
-        shrunk.append(((F.col(r) + m * k) / (F.col("n") + k)).alias(f"rate_{r}"))
-    return hosts.select("*", *shrunk).withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > MAX_HOST_RATE)
+        rate = (F.col(r) + m * k) / (F.col("n") + k)
+        spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (F.col("n") + k + 1))
+        shrunk.append(rate.alias(f"rate_{r}"))
+        over.append(rate - BOUND * spread > min(max(HOST_RATIO * m, HOST_LIMITS[0]), HOST_LIMITS[1]))
+    return hosts.select("*", *shrunk, F.greatest(*[x.cast("int") for x in over]).cast("boolean").alias("host_rejected"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -129,13 +135,13 @@ def judged(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that pass, with all their columns.
 
-    A first pass gathers host verdicts; the second judges each row where it is, so no text is shuffled unless the
-    rejected hosts are too many to broadcast.
+    One pass over the texts: rows that pass by themselves are stored whole, the others as their features alone. Host
+    verdicts come from the features, and the stored rows of rejected hosts are left out.
     """
-    feats, _ = sized_stash(features(docs), "quality")
-    bad, size = sized_stash(host_verdicts(feats).where("host_rejected").select(F.col("source").alias("_s")), "hosts")
-    rest = docs.join(small(bad, size), docs["source"] == bad["_s"], "left_anti").select(F.struct("*").alias("_row"), "text")
-    return with_features(rest).where(~_base_failed("_f.")).select("_row.*")
+    rows = with_features(docs.select(F.struct("*").alias("_row"), "source", "text")).select("_row", "source", "_f.*").withColumn("base_failed", _base_failed(""))
+    rows = stash(rows.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "source", "base_failed", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"), "judged")
+    bad, size = sized_stash(host_verdicts(rows).where("host_rejected").select(F.col("source").alias("_s")), "hosts")
+    return rows.where("NOT base_failed").join(small(bad, size), rows["source"] == bad["_s"], "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +152,8 @@ def _sql() -> str:
     prior = ", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)
     lo, hi = PRIOR_WEIGHT
     weight = ", ".join(f"m_{r}, CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, {lo}), {hi}) ELSE {hi} END AS k_{r}" for r in RULES)
-    rate = ", ".join(f"(h.{r} + p.m_{r} * p.k_{r}) / (h.n + p.k_{r})" for r in RULES)
+    rate = ", ".join(f"(h.{r} + p.m_{r} * p.k_{r}) / (h.n + p.k_{r}) AS q_{r}, h.n + p.k_{r} + 1 AS w_{r}, least(greatest({HOST_RATIO} * m_{r}, {HOST_LIMITS[0]}), {HOST_LIMITS[1]}) AS l_{r}" for r in RULES)
+    over = " OR ".join(f"q_{r} - {BOUND} * sqrt(greatest(q_{r} * (1 - q_{r}), 0) / w_{r}) > l_{r}" for r in RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT uid, doc_id, source, text, {words_sql("text")} AS w FROM d),
@@ -167,7 +174,7 @@ x AS (SELECT *, CAST(base_failed AS INT) AS fail_base, CAST(10 * n_symbols > wor
         CAST(word_chars < 2 * n_words OR word_chars > 12 * n_words AS INT) AS fail_length FROM b),
 h AS (SELECT source, count(*) AS n, {", ".join(f"sum({r}) AS {r}" for r in RULES)} FROM x WHERE source IS NOT NULL GROUP BY source),
 p AS (SELECT {weight} FROM (SELECT {prior} FROM h)),
-v AS (SELECT source FROM h, p WHERE greatest({rate}) > {MAX_HOST_RATE})
+v AS (SELECT source FROM (SELECT source, {rate} FROM h, p) WHERE {over})
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   v.source IS NOT NULL AS host_rejected, NOT base_failed AND v.source IS NULL AS kept
 FROM b LEFT JOIN v ON v.source = b.source

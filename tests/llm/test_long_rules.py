@@ -1,8 +1,12 @@
-"""Mined URL rules of any length."""
+"""Mined URL rules of any length; the limits of hosts."""
 
 from itertools import product
 
-from memlake.llm import urls
+import pytest
+from compare import same
+from conftest import prose
+
+from memlake.llm import quality, urls
 
 
 def _three_tokens():
@@ -26,3 +30,24 @@ def test_no_rule_holds_another(spark):
     rows += [(["h=q", "h=r", "h=s"], True)] * 20 + [(["h=q", "h=r"], False)] * 20 + [(["h=q", "h=s"], False)] * 20 + [(["h=r", "h=s"], False)] * 20
     got = [frozenset(r["need"]) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()]
     assert set(got) == {frozenset({"p=bad"}), frozenset({"h=q", "h=r", "h=s"})} and len(got) == 2
+
+
+def _hosts(spark, make, share):
+    """20 hosts of 40 documents, of which one in 20 is too short; at the first host, `share` of 20 are."""
+    rows = []
+    for h in range(20):
+        for i in range(40):
+            short = i % 20 < (share if h == 0 else 1)
+            rows.append((len(rows), "too short" if short else prose(60, 41 * h + i, 3000), "en", f"host{h}", 1))
+    return make(documents=rows)
+
+
+@pytest.mark.parametrize(("share", "falls"), [(1, False), (3, False), (10, True), (20, True)])
+def test_host_limit_follows_the_hosts(spark, make, share, falls):
+    d = _hosts(spark, make, share)
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    got = {r["source"]: r["host_rejected"] for r in quality.host_verdicts(quality.features(df)).collect()}
+    assert got == {f"host{h}": falls and h == 0 for h in range(20)}
+    kept = {r["doc_id"] for r in quality.keep(df).collect()}
+    assert kept == {r["doc_id"] for r in quality.query(spark, d).where("kept").collect()} and len(kept) == (19 * 38 if falls else 19 * 38 + 40 - 2 * share)
+    same(quality.query(spark, d), d, quality.SQL)
