@@ -6,9 +6,13 @@ so any file system Spark knows can hold them.
 
 The salvage reader takes the bytes of an archive, plain or of gzip members. After a failed check (version line, header,
 Content-Length, separator, digest, gzip) it searches for the next valid member or version line, goes on from there, and
-logs the bytes passed over as a quarantined gap.
+logs the bytes passed over as a quarantined gap. A sound member with damaged records gives its sound ones, the gaps in it
+logged by its place. A broken member gives the sound records before its break, but for one that ends right at it, as no
+checksum vouches for that; its bytes are a gap. Time is linear in the archive's bytes: members are inflated block by block, and
+the search for a place to go on never looks at the same bytes twice.
 
-Edge cases: null html is an empty payload. A null url is written as an empty target. Repeated rows with one page_id and
+Edge cases: null html is an empty payload. A null url is written as an empty target. Very long pages: files are cut by
+size classes, so an archive is at most about ARCHIVE_BYTES, or one record. Ties: repeated rows with one page_id and
 one payload are one response each, as none has a smaller id. Rows with a null page_id are responses without an id and
 are never revisited. An empty table writes no archive and reads back no row. Extra columns are ignored.
 """
@@ -25,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.shared import fresh_path, sized_stash, small, table
+from memlake.shared import fresh_path, sized_stash, small, stash, table
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
 #: Payloads under this size are never revisits.
 MIN_REVISIT_BYTES = 0
-#: Bytes of records in one archive, about; one archive is read by one task.
+#: Bytes of records in one archive at most, but for a single larger record; one archive is read by one task.
 ARCHIVE_BYTES = 16 << 20
+#: Records of up to these bytes are written to archives of their own; so files can be cut by numbers of records.
+CLASSES = (4 << 10, 64 << 10, 1 << 20)
+#: Bytes of a record's header at most, and of an archive inflated at once.
+MAX_HEADER, BLOCK = 64 << 10, 64 << 10
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -58,7 +66,7 @@ def _plain(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     """Headers, block and end of the record that begins at `at`; None if a check fails."""
     if not re.match(rb"WARC/\d\.\d\r\n", data[at : at + 10]):
         return None
-    stop = data.find(END, at)
+    stop = data.find(END, at, at + MAX_HEADER)
     if stop < 0:
         return None
     head = {}
@@ -70,9 +78,9 @@ def _plain(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     if not re.fullmatch(r"\d+", head.get("content-length", "")) or not head.get("warc-type") or not head.get("warc-record-id"):
         return None
     begin, size = stop + len(END), int(head["content-length"])
-    block = data[begin : begin + size]
-    if len(block) < size or data[begin + size : begin + size + len(END)] != END:
+    if begin + size + len(END) > len(data) or data[begin + size : begin + size + len(END)] != END:
         return None
+    block = data[begin : begin + size]
     told = head.get("warc-payload-digest", "")
     if head.get("warc-type") == "response" and told.startswith("sha1:") and told[5:] != digest(block):
         return None
@@ -83,26 +91,68 @@ def _number(text: str | None) -> int | None:
     return int(text) if re.fullmatch(r"\d+", text or "") else None
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content and end of the gzip member that begins at `at`; None if it is broken."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool] | None:
+    """Content, end and soundness of the gzip member that begins at `at`; None if there is none. A broken one has what came before the break."""
     if data[at : at + 3] != GZIP:
         return None
-    unzip = zlib.decompressobj(31)
-    try:
-        out = unzip.decompress(data[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(unzip.unused_data)) if unzip.eof else None
+    unzip, out, view = zlib.decompressobj(31), [], memoryview(data)
+    while at < len(data) and not unzip.eof:
+        block = view[at : at + BLOCK]
+        try:
+            out.append(unzip.decompress(block))
+        except zlib.error:
+            # Byte by byte, as an error hides what the rest of its block gave.
+            return b"".join([*out, _up_to_error(unzip, out, data, at)]), at, False
+        at += len(block)
+    return b"".join(out), at - len(unzip.unused_data), unzip.eof
+
+
+def _up_to_error(unzip, out: list[bytes], data: bytes, at: int) -> bytes:
+    """What the block at `at` gives before its error. The state after an error is lost, so the member's blocks are read again, the last bytewise."""
+    del unzip
+    first = at - BLOCK * len(out)
+    again, got = zlib.decompressobj(31), []
+    for i in range(first, at, BLOCK):
+        again.decompress(data[i : i + BLOCK])
+    for i in range(at, min(at + BLOCK, len(data))):
+        try:
+            got.append(again.decompress(data[i : i + 1]))
+        except zlib.error:
+            break
+    return b"".join(got)
+
+
+class Gap(tuple):
+    """A pair of places (begin, end); `inner` holds the gaps within the content of the gzip member there, if it is sound."""
+
+    inner: tuple = ()
 
 
-def salvage(data: bytes) -> tuple[list[tuple[dict, bytes, int]], list[tuple[int, int]]]:
-    """All sound records of an archive (headers, block, place), and the gaps (begin, end) of bytes that belong to none."""
+class _Next:
+    """The next place of a mark, each byte looked at once."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.at = data, mark, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            found = self.data.find(self.mark, at + 1)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def salvage(data: bytes, inside: bool = False) -> tuple[list[tuple[dict, bytes, int]], list[tuple[int, int]]]:
+    """All sound records of an archive (headers, block, place), and the gaps (begin, end) of bytes that belong to none.
+
+    `inside` tells that the bytes are a member's content, which holds no further members.
+    """
     records, gaps, at, bad = [], [], 0, None
+    marks = [_Next(data, b"WARC/")] + ([] if inside else [_Next(data, GZIP)])
 
     def close(end: int) -> None:
         nonlocal bad
         if bad is not None:
-            gaps.append((bad, end))
+            gaps.append(Gap((bad, end)))
             bad = None
 
     while at < len(data):
@@ -111,17 +161,24 @@ def salvage(data: bytes) -> tuple[list[tuple[dict, bytes, int]], list[tuple[int,
             records.append((got[0], got[1], at))
             at = got[2]
             continue
-        if got := _member(data, at):
-            inner, inner_gaps = salvage(got[0])
-            if inner and not inner_gaps:
+        if not inside and (got := _member(data, at)):
+            content, end, sound = got
+            inner, inner_gaps = salvage(content, True)
+            if sound and inner:
                 close(at)
+                if inner_gaps:
+                    gap = Gap((at, end))
+                    gap.inner = tuple(inner_gaps)
+                    gaps.append(gap)
                 records += [(h, b, at) for h, b, _ in inner]
-                at = got[1]
+                at = end
                 continue
+            if not sound:
+                tail = inner_gaps[-1][1] == len(content) if inner_gaps else False
+                records += [(h, b, at) for h, b, _ in (inner if tail else inner[:-1])]
         if bad is None:
             bad = at
-        nexts = [x for x in (data.find(b"WARC/", at + 1), data.find(GZIP, at + 1)) if x >= 0]
-        at = min(nexts, default=len(data))
+        at = min(m.after(at) for m in marks)
     close(len(data))
     return records, gaps
 
@@ -134,7 +191,8 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     hashed, _ = sized_stash(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("d"), F.octet_length("html").cast("long").alias("n")), "hashed")
-    total, count = hashed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    kind = sum((F.col("n") > c).cast("int") for c in CLASSES)
+    largest = {r["kind"]: r["most"] for r in hashed.groupBy(kind.alias("kind")).agg(F.max("n").alias("most")).collect()}  # four rows at most
     firsts = hashed.where((F.col("n") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
     twice, size = sized_stash(firsts.where("c > 1").select("d", "first"), "twice")
     first = F.when(F.col("first") < F.col("page_id"), F.col("first"))
@@ -147,14 +205,17 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
                 out = [record(p, u, h.encode(), f) for p, u, h, f in zip(*(c[i : i + 64] for c in cols), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    text = marked.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-    per_file = max(1, ARCHIVE_BYTES // (total // max(count, 1) + 500))
-    text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    of_row = sum((F.octet_length("html") > c).cast("int") for c in CLASSES)
+    for k, most in largest.items():
+        part = marked if len(largest) == 1 else marked.where(of_row == k)
+        text = part.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
+        text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (most + 1000))).text(f"{path}/size{k}")
 
 
 def read(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to, archive, place, gap_end) of all archives under
-    `path`. A quarantined gap is a row of record_type `gap` with its place and gap_end only."""
+    `path`. A quarantined gap is a row of record_type `gap` with its place and gap_end only; payload_bytes of a gap within a sound
+    gzip member are the bytes of content passed over."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, place long, gap_end long"
 
     def number(urn: str | None) -> int | None:
@@ -169,20 +230,26 @@ def read(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
                 for h, block, at in records:
                     full = h["warc-type"] != "revisit"
                     out.append((number(h.get("warc-record-id")), len(block) if full else _number(h.get("payload-length")), h.get("warc-payload-digest", "sha1:" + digest(block)).removeprefix("sha1:"), h["warc-type"], None if full else number(h.get("warc-refers-to")), name, at, None))
-                out += [(None, None, None, "gap", None, name, begin, end) for begin, end in gaps]
+                out += [(None, sum(e - b for b, e in g.inner) or None, None, "gap", None, name, *g) for g in gaps]
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(rows, schema)
 
 
+def log_gaps(found: DataFrame, path: str) -> DataFrame:
+    """The rows of read() that are records; those that are gaps are written as a Parquet table at `path`."""
+    found.where("record_type = 'gap'").select("archive", "place", "gap_end", F.col("payload_bytes").alias("inner_bytes")).write.parquet(path)
+    return found.where("record_type <> 'gap'")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    found = read(spark, path, "part-*")
-    return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stash(read(spark, path, "part-*"), "records")
+    return log_gaps(found, f"{path}-gaps").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
