@@ -5,13 +5,19 @@ corpus: it counts the distinct repositories (`source`) and owners (its part befo
 A value of several owners is a widely copied example; a value of one owner is live-looking. Long mixed tokens that no
 base pattern covers become spans of the kind `owned` only if they are live-looking. Base spans always stay.
 
-Edge cases: null text is empty, so it has no spans. A null source names no owner. Repeated rows are scanned each for
-itself and count once for a value's owners. An empty table gives an empty result. Extra columns are ignored by `scan`
-and kept by `redact`.
+Places come from running sums over the pieces between matches, made block by block, so time grows with a text's length and
+matches, not with their squares.
+
+Edge cases: null text is empty, so it has no spans. A very long text, or one of very many matches, is scanned whole, in one
+task. A null source names no owner: a value that only such rows hold has none, so it counts as live-looking, as nothing shows
+that it was copied. Ties: spans of one start are ordered by kind as listed. Repeated rows are scanned each for itself and count
+once for a value's owners. An empty table gives an empty result. Extra columns are ignored by `scan` and kept by `redact`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,24 +36,41 @@ MIXED = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 1
+#: Matches in a block of running sums, and code points in a block of a text that is cut.
+BLOCK, CUT = 64, 4096
 
 _NONE = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of ints under `join`, block by block: an array that grows is copied within a block only."""
+
+    def scan(x: Column, start: Column) -> Column:
+        grown = F.aggregate(x, F.array(start), lambda a, v: F.array_append(a, join(F.element_at(a, -1), v)))
+        return F.slice(grown, 2, F.size(x))
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / BLOCK).cast("int") - 1), lambda i: F.slice(x, i * BLOCK + 1, BLOCK))
+
+    total = lambda x: F.aggregate(x, F.lit(0), join)
+    many = lambda x: let(
+        blocks(x),
+        lambda bs: let(
+            F.concat(F.array(F.lit(0)), scan(F.transform(bs, total), F.lit(0))),
+            lambda heads: F.flatten(F.transform(bs, lambda one, i: scan(one, F.get(heads, i)))),
+        ),
+    )
+    return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= BLOCK, scan(x, F.lit(0))).otherwise(many(x)))
+
+
 def _found(text: Column, pattern: str, kind: int, value_group: int = 0, min_value: int = 0) -> Column:
     """Matches as structs (s, k, e, v): start, kind, end in code points, value. Pieces between matches give the places."""
 
     def spans(x: Column) -> Column:
         p, m, v = x["p"], x["m"], x["v"]
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
-
-        def step(a: Column, i: Column) -> Column:
-            s = a["at"] + F.length(F.get(p, i))
-            e = s + F.length(F.get(m, i))
-            one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(v, i).alias("v"))
-            return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda a: a["out"])
+        ends = _running(F.transform(m, lambda y, i: F.length(F.get(p, i)) + F.length(y)), lambda a, b: a + b)
+        one = lambda e, i: F.struct((e - F.length(F.get(m, i))).alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(v, i).alias("v"))
+        return F.transform(ends, one)
 
     pat = F.lit(pattern)
     matches = F.struct(
@@ -59,6 +82,20 @@ def _found(text: Column, pattern: str, kind: int, value_group: int = 0, min_valu
     return F.filter(hits, lambda x: F.length(x["v"]) >= min_value) if min_value else hits
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Spans of `more`, which don't overlap each other, that no span of `base` overlaps.
+
+    In order of places, such a span begins at or after the ends of all base spans before it and ends before the next one.
+    """
+
+    def pick(z: Column) -> Column:
+        ends = _running(F.transform(z, lambda x: F.when(x["k"] < 3, x["e"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        clear = lambda x, i, far: (x["k"] == 3) & (F.coalesce(F.get(far, i - 1), F.lit(0)) <= x["s"]) & F.coalesce((F.get(z, i + 1)["k"] == 3) | (F.get(z, i + 1)["s"] >= x["e"]), F.lit(True))
+        return let(ends, lambda far: F.filter(z, lambda x, i: clear(x, i, far)))
+
+    return F.when(F.size(more) == 0, more).otherwise(let(F.array_sort(F.concat(base, more)), pick))
+
+
 def _owned_like(x: Column) -> Column:
     v = x["v"]
     return v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
@@ -69,8 +106,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, 6), _found(text, ACCESS, 1), _found(text, HEX, 2)))
     more = F.filter(_found(text, MIXED, 3), _owned_like)
-    apart = lambda b, c: F.filter(c, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    both = let(base, lambda b: F.struct(b.alias("b"), apart(b, more).alias("c")))
+    both = let(base, lambda b: F.struct(b.alias("b"), let(more, lambda c: _apart(b, c)).alias("c")))
     # Generated, so that the patterns are run once, whatever is done with the spans.
     out = docs.select("*", F.explode(F.array(both)).alias("_s"))
     return out.withColumn("_b", F.col("_s.b")).withColumn("_c", F.col("_s.c")).drop("_s")
@@ -92,59 +128,77 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _digests(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha1(x["v"].cast("binary")).alias("v")))
+
+
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each row of `docs`: counts, base_sha256, spans, n_live and n_copied (of all spans' values)."""
-    digest = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha1(x["v"].cast("binary")).alias("v")))
-    rows = with_spans(docs.select(F.col(key), "source", "text")).select(key, "source", digest(F.col("_b")).alias("b"), digest(F.col("_c")).alias("c"))
-    rows = stash(rows.withColumn("vals", F.array_distinct(F.transform(F.concat("b", "c"), lambda x: x["v"]))).withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    owners, size = sized_stash(ownership(rows), "owners")
-    verdicts = rows.select("uid", F.explode("vals").alias("value")).join(small(owners.select("value", "live"), size), "value")
-    live = verdicts.where("live").groupBy("uid").agg(F.collect_list("value").alias("lv")).withColumnRenamed("uid", "_u")
-    joined = rows.join(live, rows["uid"] == live["_u"], "left").withColumn("lv", F.coalesce("lv", F.array().cast("array<string>")))
-    joined = joined.withColumn("o", F.filter("c", lambda x: F.array_contains("lv", x["v"])))
-    count = lambda k: F.size(F.filter("b", lambda x: x["k"] == k)).cast("long")
-    return joined.select(
-        key,
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(_text_of(F.col("b")).cast("binary"), 256).alias("base_sha256"),
-        _text_of(F.array_sort(F.concat("b", "o"))).alias("spans"),
-        F.size(F.filter(F.concat("b", "o"), lambda x: F.array_contains("lv", x["v"]))).cast("long").alias("n_live"),
-        F.size(F.filter("b", lambda x: ~F.array_contains("lv", x["v"]))).cast("long").alias("n_copied"),
+    rows = with_spans(docs.select(F.col(key), "source", "text")).select(key, "source", _digests(F.concat("_b", "_c")).alias("x"))
+    rows = rows.withColumn("vals", F.array_distinct(F.transform("x", lambda x: x["v"]))).withColumn("uid", F.monotonically_increasing_id())
+    rows = stash(rows, "secrets")
+    owners, size = sized_stash(ownership(rows).select("value", "live"), "owners")
+    found = rows.select(F.col("uid").alias("_u"), F.explode("x").alias("x")).join(small(owners, size), F.col("x.v") == F.col("value"))
+    spot = F.struct(F.col("x.s").alias("s"), F.col("x.k").alias("k"), F.col("x.e").alias("e"))
+    base = F.col("x.k") < 3
+    per = found.where(base | F.col("live")).groupBy("_u").agg(
+        F.array_sort(F.collect_list(F.when(base, spot))).alias("b"),
+        F.array_sort(F.collect_list(spot)).alias("all"),
+        *[F.count_if(F.col("x.k") == k).alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))],
+        F.count_if("live").alias("n_live"),
+        F.count_if(~F.col("live")).alias("n_copied"),
     )
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    joined = rows.select(key, "uid").join(per, rows["uid"] == per["_u"], "left")
+    text = lambda c: F.coalesce(_text_of(F.col(c)), F.lit(""))
+    return joined.select(key, count("n_assign"), count("n_access"), count("n_hex"), F.sha2(text("b").cast("binary"), 256).alias("base_sha256"), text("all").alias("spans"), count("n_live"), count("n_copied"))
 
 
 MARK = "[SECRET]"
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """`text` with each run of overlapping spans (s, e), in order, replaced by MARK.
+
+    The text is cut into blocks once, so a piece of it costs a block or its own length, however far in it stands.
+    """
+
+    def piece(blocks: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / CUT).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((end - 1) / CUT).cast("int") - first + 1)
+        cut = lambda x, i: F.substr(x, F.greatest(begin - (first + i) * CUT, F.lit(0)) + 1, F.least(end - (first + i) * CUT, F.lit(CUT)) - F.greatest(begin - (first + i) * CUT, F.lit(0)))
+        return F.when(end > begin, F.array_join(F.transform(some, cut), "")).otherwise("")
+
+    def done(z: Column) -> Column:
+        far, blocks, size, spans = z["far"], z["blocks"], z["size"], z["spans"]
+        last = lambda i: F.coalesce(F.get(far, i - 1), F.lit(0))
+        gaps = F.transform(spans, lambda x, i: F.when(x["s"] >= last(i), F.concat(piece(blocks, last(i), x["s"]), F.lit(MARK))).otherwise(""))
+        return F.concat(F.array_join(gaps, ""), piece(blocks, F.element_at(far, -1), size))
+
+    far = _running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CUT), F.lit(0))
+    return let(F.struct(far.alias("far"), blocks.alias("blocks"), F.length(text).alias("size"), spans.alias("spans")), done)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs`, whose live-looking values are replaced by MARK in text; n_chars follows. All rows stay.
 
-    Only values of one owner go; copied examples stay as they are. Text is cut between spans where it stands: live values
-    reach a row as a list of digests, by broadcast if their stored size allows, else by a join on the row's own values.
+    Only values of one owner go; copied examples stay as they are. Spans depend on the text alone, so those that are live are
+    kept by a hash of their text, and reach it by broadcast if their stored size allows, else by a join on that hash.
     """
-    own = F.array_distinct(F.transform(F.concat("_b", "_c"), lambda x: F.sha1(x["v"].cast("binary"))))
-    found = stash(with_spans(docs.select("doc_id", "source", "text")).select("doc_id", "source", own.alias("vals")).where(F.size("vals") > 0), "secrets")
+    text_key = lambda t: F.md5(t.cast("binary"))
+    found = with_spans(docs.select("source", "text")).where((F.size("_b") > 0) | (F.size("_c") > 0)).select("source", text_key(F.col("text")).alias("t"), _digests(F.concat("_b", "_c")).alias("x"))
+    found = stash(found.withColumn("vals", F.array_distinct(F.transform("x", lambda x: x["v"]))), "secrets")
     owners, size = sized_stash(ownership(found).where("live").select("value"), "owners")
-    live = found.select("doc_id", F.explode("vals").alias("value")).distinct().join(small(owners, size), "value", "left_semi")
-    live, size = sized_stash(live.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("value").alias("_lv")), "live")
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text").join(small(live, size), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    hot = with_spans(rows.where("_lv IS NOT NULL"))
-    hit = F.filter(F.array_sort(F.concat("_b", "_c")), lambda x: F.array_contains("_lv", F.sha1(x["v"].cast("binary"))))
-
-    def cut(a: Column, x: Column) -> Column:
-        gap = F.substr(F.col("text"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        new = x["s"] >= a["at"]
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(new, F.concat(a["out"], gap, F.lit(MARK))).otherwise(a["out"]).alias("out"))
-
-    done = lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text")))
-    text = F.aggregate(hit, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, done)
+    one = found.select("t", F.explode("x").alias("x")).select("t", "x.s", "x.e", F.col("x.v").alias("value"))
+    live = one.join(small(owners, size), "value", "left_semi").groupBy("t", "s", "e").agg(F.lit(1).alias("_")).groupBy(F.col("t").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
+    live, size = sized_stash(live, "live")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")).join(small(live, size), text_key(F.col("_text")) == F.col("_t"), "left")
     row = F.col("_row").withField("text", F.col("_new"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("_new").cast(dict(docs.dtypes)["n_chars"]))
-    changed = hot.select("_row", text.alias("_new")).select(row.alias("_row"))
-    return rows.where("_lv IS NULL").select("_row").unionByName(changed).select("_row.*")
+    changed = rows.where("_spans IS NOT NULL").select("_row", _redacted(F.col("_text"), F.col("_spans")).alias("_new")).select(row.alias("_row"))
+    return rows.where("_spans IS NULL").select("_row").unionByName(changed).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
