@@ -1,6 +1,9 @@
 """Mined URL rules of any length; the limits of hosts."""
 
-from itertools import product
+import math
+import random
+import time
+from itertools import combinations, product
 
 import pytest
 from compare import same
@@ -51,3 +54,44 @@ def test_host_limit_follows_the_hosts(spark, make, share, falls):
     kept = {r["doc_id"] for r in quality.keep(df).collect()}
     assert kept == {r["doc_id"] for r in quality.query(spark, d).where("kept").collect()} and len(kept) == (19 * 38 if falls else 19 * 38 + 40 - 2 * share)
     same(quality.query(spark, d), d, quality.SQL)
+
+
+def _brute_rules(rows, support, confidence):
+    """Smallest token sets by support and confidence, all sets counted."""
+    n, found = len(rows), {}
+    tokens = sorted({t for ts, _ in rows for t in ts})
+    for size in range(1, len(tokens) + 1):
+        for need in map(frozenset, combinations(tokens, size)):
+            if any(f < need for f in found):
+                continue
+            has = [bad for ts, bad in rows if need <= set(ts)]
+            if has and sum(has) >= math.ceil(support * n) and sum(has) and sum(has) / len(has) >= confidence:
+                found[need] = round(sum(has) / len(has), 9)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("open_tokens", [14, 0])
+def test_mining_is_brute_force(spark, monkeypatch, seed, open_tokens):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(240):
+        ts = [f"h={x}" for x in "abcdef" if rng.random() < 0.5]
+        ts += [f"{t}2" for t in ts if t in ("h=a", "h=b")]  # always together
+        bad = {"h=a", "h=c"} <= set(ts) or {"h=b", "h=d", "h=e"} <= set(ts) or rng.random() < 0.1
+        rows.append((ts, bad))
+    rows += [([], True), ([], False)]
+    monkeypatch.setattr(urls, "OPEN_TOKENS", open_tokens)  # 0: rules of up to MAX_RULE tokens
+    got = {frozenset(r["need"]): round(r["confidence"], 9) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.8).collect()}
+    want = _brute_rules(rows, 0.02, 0.8)
+    assert got == {k: v for k, v in want.items() if open_tokens or len(k) <= urls.MAX_RULE} and any(len(k) == 3 for k in got)
+
+
+def test_long_templates_end(spark):
+    """URLs of one template with 40 parts, whole, and with parts missing here and there."""
+    rng = random.Random(9)
+    for share in (1.0, 0.97):
+        rows = [([f"p=t{k}" for k in range(40) if rng.random() < share] + ([f"p=x{i % 2}"] if i % 3 else []), i % 2 == 0 and i % 3 > 0) for i in range(300)]
+        began = time.time()
+        got = [frozenset(r["need"]) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()]
+        assert frozenset({"p=x0"}) in got and time.time() - began < 60
