@@ -29,9 +29,9 @@ def words_sql(text: str) -> str:
 GROUP_BYTES = 8 << 20
 
 
-def text_groups(texts: pa.Array) -> Iterator[pa.Array]:
-    """Texts in a row, about GROUP_BYTES a group, or one long text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP_BYTES
+def text_groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[pa.Array]:
+    """Texts in a row, about `size` bytes a group, or one long text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
     cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
     return (texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
 

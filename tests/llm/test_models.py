@@ -204,3 +204,31 @@ def test_best_fit():
 
 def test_prose_is_whole():
     assert len(docs(prose(5))) == 1
+
+
+def test_words_are_normalised():
+    """Over all words of the vocabulary and what its tail classes leave for unknown ones, probabilities add up to one."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}".encode() for i in range(700)] + [lm.END]
+    c = sorted((int(x) for x in rng.zipf(1.4, 701) % 5000 + 1), reverse=True)
+    n = lm.model_words(np.array(c))
+    tails = Counter()
+    for w, x in zip(words[n:], c[n:], strict=True):
+        tails[lm.tail_of(w)] += x + 1
+    v = lm.Vocabulary(words, c, sum(c), len(c), tails)
+    assert 0 < n < len(words) and (np.diff(v.first) >= 0).all() and v.first[-1] == n
+    t = lm.Trainer(v, 3)
+    at, unit, context = v.ids([words[i] for i in rng.integers(0, len(words), 20_000)])
+    t.learn(lm.contexts_of(context, np.arange(0, 20_000, 50)), unit, at)
+    m, (every, units, _) = t.model, v.ids(words)
+    for ctx in rng.integers(0, lm._C, (4, lm.ORDER)):
+        ctxs = np.tile(ctx, (len(words), 1))
+        logs = m.log_probabilities(ctxs, units) + m.word_log_probabilities(ctxs, units, every)
+        known = (np.exp(logs.astype(float)) * 10 ** v.share).sum()
+        unknown = sum(math.exp(m.log_probabilities(ctx[None], np.array([lm.CLASSES + k]))[0]) / (v.tail_sums[k] + 1) for k in range(lm.TAIL))
+        assert known + unknown == pytest.approx(1, abs=1e-3)
+
+
+def test_equal_counts_fill_the_head(spark):
+    df = spark.createDataFrame([(f"w{i}".encode(), 3) for i in range(4000)], "word binary, c long")
+    assert 1500 < len(lm.vocabulary(df, 2000).rank) <= 2000
