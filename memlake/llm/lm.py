@@ -8,8 +8,8 @@ step is a sum of the two previous tokens' vectors, scaled by that step's positio
 its bias.
 
 Training reads every training document: each partition runs one pass of stochastic gradient descent from the same start with
-noise-contrastive estimation at both steps, noise drawn from the classes' frequencies and, within the token's class, from
-the words'. Rows of parameters are then averaged, weighted by the tokens that a partition has seen of them. So scores depend, a
+noise-contrastive estimation at both steps, noise drawn from the classes' frequencies and, within the token's class, evenly
+from its words, which are about equally frequent. Rows of parameters are then averaged, weighted by the tokens that a partition has seen of them. So scores depend, a
 little, on how rows are dealt to partitions. Scoring needs no noise: batched matrix products give the log-probabilities over all
 classes, and over all words of a class.
 
@@ -38,15 +38,15 @@ from memlake.shared import sized_stash, stash, table
 
 FOLDS, HELD_OUT = 7, 2
 #: Classes of words with vectors of their own, classes of all other words, and how many words have vectors at most.
-CLASSES, TAIL = 192, 64
-MODEL_WORDS, MIN_COUNT = 65_536, 4
+CLASSES, TAIL = 128, 64
+MODEL_WORDS, MIN_COUNT = 32_768, 4
 CONTEXT_WORDS = 8192
 HEAD = 200_000
 DIM, ORDER = 16, 2
 #: Noise of a batch for the classes, of a token for the words; tokens in a batch; rates of the two steps.
-NOISE, WORD_NOISE, BATCH, RATE, WORD_RATE = 32, 4, 2048, 0.15, 0.1
-#: Tokens scored at once.
-CHUNK = 1 << 15
+NOISE, WORD_NOISE, BATCH, RATE, WORD_RATE = 32, 1, 4096, 0.15, 0.1
+#: Tokens scored at once, and logits of them at once, few enough for the processor's cache.
+CHUNK, CACHE_FLOATS = 1 << 16, 1 << 18
 #: The end token; no word holds a space.
 END = b" "
 _K, _C = CLASSES + TAIL, CONTEXT_WORDS + TAIL + 1
@@ -112,8 +112,7 @@ class Vocabulary:
         self.tail_sums = np.array([tail_sums.get(i, 0) for i in range(TAIL)], np.float64)
         mass[CLASSES:] = self.tail_sums + 1
         self.noise = np.maximum(mass / mass.sum(), 1e-26)  # a class without words has next to nothing, and a finite logarithm
-        self.cum = np.cumsum(own)
-        self.word_noise = own / mass[made]  # of a word within its class
+        self.word_share = own / mass[made]  # of a word within its class
         share = np.log10(self.c + 1.0) - np.log10(self.tail_sums[tails] + 1.0) if words else np.zeros(0)
         self.share = np.where(places < self.n_model, 0.0, share)  # of a word within its tail class
         self.log_c = np.log10(self.c + 1.0)
@@ -176,7 +175,7 @@ class LogBilinear:
             rows[_Q:_V, DIM] = np.log(noise)
             if n:
                 rows[_V:, :DIM] *= 0.1
-                rows[_V:, DIM] = np.log(vocab.word_noise)
+                rows[_V:, DIM] = np.log(vocab.word_share)
         self.rows = np.ascontiguousarray(rows, np.float32)
         self.first = vocab.first if vocab is not None else None
         self.r, self.w = self.rows[:_W, :DIM], self.rows[_W:_Q, :DIM].reshape(2, ORDER, DIM)
@@ -188,27 +187,38 @@ class LogBilinear:
 
     def log_probabilities(self, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the classes after their contexts."""
-        return _log_softmax(self.hidden(contexts) @ self.q.T + self.b, units)
+        return _log_softmax(self.hidden(contexts), self.rows[_Q:_V], units)
 
     def word_log_probabilities(self, contexts: np.ndarray, units: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of words within their classes; 0 for tokens of tail classes."""
         out = np.zeros(len(units), np.float32)
-        order = np.argsort(units, kind="stable")
-        order = order[: np.searchsorted(units[order], CLASSES)]
+        order = np.argsort(units.astype(np.uint16), kind="stable")
+        sorted_units = units[order]
+        order = order[: np.searchsorted(sorted_units, CLASSES)]
         h = self.hidden(contexts[order], 1)
-        cuts = np.searchsorted(units[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(sorted_units, np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             i, j, first, last = cuts[k], cuts[k + 1], self.first[k], self.first[k + 1]
             if last - first > 1:
-                out[order[i:j]] = _log_softmax(h[i:j] @ self.v[first:last].T + self.a[first:last], words[order[i:j]] - first)
+                own = order[i:j]
+                out[own] = _log_softmax(h[i:j], self.rows[_V + first : _V + last], words[own] - first)
         return out
 
 
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Row by row, the logarithm of the share of the entry `at`. Overwrites `z`."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+def _log_softmax(h: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each vector of `h` the logarithm of the share of the output `at` among all outputs `rows` (vectors and biases)."""
+    out, weights = np.empty(len(at), np.float32), np.ascontiguousarray(rows.T)
+    with_one = np.hstack([h, np.ones((len(h), 1), np.float32)])
+    reach, top = np.sqrt((h * h).sum(1).max(initial=0)) * np.sqrt((rows[:, :DIM] ** 2).sum(1).max()), rows[:, DIM].max()
+    calm = reach + abs(top) < 60  # then no exponential can overflow, nor all of a row vanish
+    size = max(1, CACHE_FLOATS // len(rows))
+    for i in range(0, len(at), size):
+        z = with_one[i : i + size] @ weights
+        if not calm:
+            z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), at[i : i + size]]
+        out[i : i + size] = own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
+    return out
 
 
 def contexts_of(context: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -224,8 +234,8 @@ def contexts_of(context: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _summed(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sums of their rows of `x`."""
-    order = np.argsort(ids, kind="stable")
+    """Distinct ids, all under 2**16, and the sums of their rows of `x`."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # a radix sort
     ids = ids[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
     return ids[first], np.add.reduceat(x[order], first, axis=0) if len(ids) else x
@@ -237,17 +247,23 @@ class Trainer:
     def __init__(self, vocab: Vocabulary, seed: int):
         self.v, self.model = vocab, LogBilinear(noise=vocab.noise, vocab=vocab)
         self.log_kn = np.log(NOISE * vocab.noise).astype(np.float32)
-        self.log_kw = np.log(WORD_NOISE * vocab.word_noise).astype(np.float32)
+        self.sizes = np.diff(vocab.first)
+        self.log_kw = np.log(WORD_NOISE / np.maximum(self.sizes, 1)).astype(np.float32)  # words of a class are about equally frequent
         self.cum, self.rng, self.seen = np.cumsum(vocab.noise), np.random.default_rng(seed), 0
-        self.past = np.full(self.model.rows.shape, 1e-2, np.float32)
-        self.past[_V:] = 1.0
+        self.past, self.word_past = np.full((_V, DIM + 1), 1e-2, np.float32), np.ones(vocab.n_model, np.float32)
         #: How many tokens each row has learned from as what it stands for; noise alone doesn't count.
         self.met = np.zeros(len(self.model.rows), np.int64)
 
-    def _step(self, ids: np.ndarray, grad: np.ndarray, rate: float = RATE) -> None:
+    def _step(self, ids: np.ndarray, grad: np.ndarray) -> None:
         past = self.past[ids] + grad * grad
         self.past[ids] = past
-        self.model.rows[ids] += rate * grad / np.sqrt(past)
+        self.model.rows[ids] += RATE * grad / np.sqrt(past)
+
+    def _word_step(self, ids: np.ndarray, grad: np.ndarray) -> None:
+        """One rate a word, not one a number."""
+        past = self.word_past[ids] + np.einsum("nd,nd->n", grad, grad) / (DIM + 1)
+        self.word_past[ids] = past
+        self.model.rows[_V + ids] += (WORD_RATE / np.sqrt(past))[:, None] * grad
 
     def learn(self, contexts: np.ndarray, units: np.ndarray, words: np.ndarray) -> None:
         for i in range(0, len(units), BATCH):
@@ -271,22 +287,19 @@ class Trainer:
         has = np.flatnonzero(t < CLASSES)
         if len(has):
             w, k = word[has], t[has]
-            low = np.where(self.v.first[k] > 0, self.v.cum[self.v.first[k] - 1], 0.0)
-            u = low[:, None] + self.rng.random((len(w), WORD_NOISE)) * (self.v.cum[self.v.first[k + 1] - 1] - low)[:, None]
-            noise = np.clip(np.searchsorted(self.v.cum, u, side="right"), self.v.first[k][:, None], self.v.first[k + 1][:, None] - 1)
+            noise = (self.rng.random((len(w), WORD_NOISE), np.float32) * self.sizes[k][:, None]).astype(np.int64)
+            both = np.concatenate([w[:, None], self.v.first[k][:, None] + np.minimum(noise, self.sizes[k][:, None] - 1)], axis=1)
             own = [x[has] for x in rows]
-            h2 = sum(x * m.w[1, j] for j, x in enumerate(own))
-            both = np.concatenate([w[:, None], noise], axis=1)
-            vecs = m.v[both]
-            s = np.einsum("nkd,nd->nk", vecs, h2) + m.a[both] - self.log_kw[both]
-            err = -1 / (1 + np.exp(-s))
+            h2 = np.hstack([sum(x * m.w[1, j] for j, x in enumerate(own)), one[has]])
+            vecs = m.rows[_V + both]
+            err = -1 / (1 + np.exp(self.log_kw[k][:, None] - np.einsum("nkd,nd->nk", vecs, h2)))
             err[:, 0] += 1
-            word_ids, word_grad = _summed(both.ravel(), (err[:, :, None] * np.concatenate([h2, one[has]], axis=1)[:, None, :]).reshape(-1, DIM + 1))
-            dh2 = np.einsum("nk,nkd->nd", err, vecs) / n
+            word_ids, word_grad = _summed(both.ravel(), (err[:, :, None] * h2[:, None, :]).reshape(-1, DIM + 1))
+            dh2 = np.einsum("nk,nkd->nd", err, vecs[:, :, :DIM]) / n
             for j in range(ORDER):
                 dr[j][has] += dh2 * m.w[1, j]
                 dw[1, j, :DIM] = (dh2 * own[j]).sum(0)
-            self._step(_V + word_ids, word_grad, WORD_RATE)
+            self._word_step(word_ids, word_grad)
             self.met[_V:] += np.bincount(w, minlength=self.v.n_model)
         ctx_ids, ctx_grad = _summed(ctx.T.ravel(), np.concatenate(dr))
         self._step(_Q + ids, grad)
