@@ -41,7 +41,7 @@ FREE_AT_MOST = 8
 FAN_IN = 8
 MIN_GAIN = 0.002
 #: Words that a worker remembers at most, about.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 
 #: ASCII marks, Latin letters, ASCII marks. Before letters no "'", which can begin a part of its own there, and no "<", which can begin a special token.
 _FAST = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
