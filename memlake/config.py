@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
@@ -49,3 +50,13 @@ def load(*paths: str | Path) -> Config:
     flat = {k: v for part in [found, *(v for v in found.values() if isinstance(v, dict))] for k, v in part.items() if not isinstance(v, dict)}
     names = {f.name for f in fields(Config)}
     return replace(Config(), **{k: v for k, v in flat.items() if k in names})
+
+
+def expand_home(path: str, home: str | None = None) -> str:
+    """`path` with a leading ~ replaced by the home folder; ~name and all else stay as they are."""
+    if path != "~" and not path.startswith("~/"):
+        return path
+    folder = home or os.environ.get("HOME")
+    if not folder:
+        raise ValueError("no home folder is known")
+    return folder + path[1:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,23 @@ from memlake.providers import Completer, Embedder, HashEmbedder
 from memlake.sources import transcripts as tr
 
 
+TELEMETRY = "candidate_count long, deterministic_selected_count long, final_selected_count long, llm_attempted boolean, llm_applied boolean, llm_empty_fallback boolean, llm_error string"
+
+
+class Deferred(Exception):
+    """A task that is to be tried again after some seconds."""
+
+    def __init__(self, seconds: int):
+        super().__init__(f"deferred by {seconds} s")
+        self.seconds = seconds
+
+
 class Engine:
     """ingest, status, stats, tasks, memories, recall, remember and eval over one store."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embedder: Embedder | None = None, completer: Completer | None = None):
-        self.spark, self.config, self.store = spark, config, state.Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embedder: Embedder | None = None, completer: Completer | None = None, evaluate: bool = False):
+        """`evaluate`: a recall task queues a delayed evaluation of what it gave."""
+        self.spark, self.config, self.store, self.evaluate = spark, config, state.Store(spark, root), evaluate
         self.embedder, self.completer = embedder or HashEmbedder(), completer
 
     def now(self) -> str:
@@ -29,24 +42,25 @@ class Engine:
 
     # Ingest.
 
-    def ingest(self, root: str) -> DataFrame:
-        """Reads what is new under `root`: sessions, turns and cursors. Gives a row of counts; bad files change nothing."""
+    def ingest(self, root: str, dialect: str = "markers") -> DataFrame:
+        """Reads what is new under `root`, in the `markers` or `roles` dialect: sessions, turns and cursors. Gives a row of counts; bad files change nothing."""
+        agent = {"markers": "codex", "roles": "claude-code"}[dialect]
         s, now = self.store, self.now()
         cursors, old_turns, old_sessions = s.read("file_cursors"), s.read("turns"), s.read("sessions")
         known = old_sessions.select(F.col("transcript_file_path").alias("path"), F.col("id").alias("known_id"))
         usable = cursors.join(known, F.col("file_path") == F.col("path"), "left_semi")  # without its session a file starts anew
         lines, bad = tr.sound_files(tr.read_lines(self.spark, root, usable))
         lines = lines.cache()
-        events = tr.marker_events(lines)
-        fresh = tr.marker_sessions(events).join(known, "path", "left").withColumn("session_id", F.coalesce("known_id", "session_id"))
+        events = tr.marker_events(lines) if agent == "codex" else tr.role_events(lines)
+        fresh = (tr.marker_sessions if agent == "codex" else tr.role_sessions)(events).join(known, "path", "left").withColumn("session_id", F.coalesce("known_id", "session_id"))
         base = fresh.join(turns.next_ordinals(fresh.select("session_id").distinct(), old_turns), "session_id").select("path", "next_ordinal")
-        found = tr.marker_turns(events, base).join(fresh.select("path", "session_id"), "path")
+        found = (tr.marker_turns if agent == "codex" else tr.role_turns)(events, base).join(fresh.select("path", "session_id"), "path")
         seen = found.groupBy("session_id").agg(F.max("observed_at").alias("last_seen_at"))
-        new_sessions = fresh.join(seen, "session_id", "left").select(F.col("session_id").alias("id"), F.lit("codex").alias("agent_type"), cx.project_root(F.col("project_id")).alias("project_id"), F.col("path").alias("transcript_file_path"), "started_at", "last_seen_at")
+        new_sessions = fresh.join(seen, "session_id", "left").select(F.col("session_id").alias("id"), F.lit(agent).alias("agent_type"), cx.project_root(F.col("project_id")).alias("project_id"), F.col("path").alias("transcript_file_path"), "started_at", "last_seen_at")
         inserted = state.insert_or_ignore(old_turns, found.drop("path"), ["session_id", "ordinal"], ["byte_start"])
         all_turns = old_turns.unionByName(state.with_ids(inserted, old_turns, ["session_id", "ordinal"]), allowMissingColumns=True)
         before = old_turns.count()
-        new_cursors = tr.next_cursors(lines, events, found).withColumn("last_processed_at", F.lit(now))
+        new_cursors = (tr.next_cursors if agent == "codex" else tr.role_cursors)(lines, events, found).withColumn("last_processed_at", F.lit(now))
         counts = (fresh.count(), bad.count())
         s.write("turns", all_turns)
         s.write("sessions", state.upsert_sessions(old_sessions, new_sessions.dropDuplicates(["id"])))
@@ -91,10 +105,18 @@ class Engine:
         new.unpersist()
         return top
 
-    def formulate(self, session_ids: list[str]) -> int:
-        """Distils memories from sessions by the completer; every draft refers to the session's completed turns."""
+    def formulate(self, session_ids: list[str], first: int | None = None, end: int | None = None) -> int:
+        """Distils memories from completed turns of sessions by the completer: of a batch, those at ordinals from `first` to before `end`.
+
+        Turns without text are filled from their transcripts first. Every draft refers to all turns that it was made of.
+        """
         s, now = self.store, self.now()
         t = s.read("turns").where(F.col("session_id").isin(session_ids) & (F.col("status") == "completed"))
+        if first is not None:
+            t = t.where(F.col("ordinal") >= first)
+        if end is not None:
+            t = t.where(F.col("ordinal") < end)
+        t = self._hydrated(t)
         refs = t.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "ordinal", "byte_start", "byte_end"))).alias("source_turn_refs"))
         d = pipelines.formulate(t, s.read("sessions"), self.config, self.completer).join(refs, "session_id")
         d = d.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now), "is_active": F.lit(True)}).cache()
@@ -105,6 +127,18 @@ class Engine:
         d.unpersist()
         return n
 
+    def _hydrated(self, t: DataFrame) -> DataFrame:
+        """Turns with the texts that their transcripts still have, where the table has none."""
+        if t.where("display_text IS NULL").isEmpty():
+            return t
+        sessions = self.store.read("sessions")
+        need = t.where("display_text IS NULL").join(sessions, t["session_id"] == sessions["id"], "left_semi").select("session_id").distinct()
+        paths = [r[0] for r in sessions.join(need, F.col("id") == F.col("session_id"), "left_semi").select("transcript_file_path").distinct().collect()]  # a path a session of the batch
+        files = [p for p in paths if p and self.store.exists(p)]
+        if not files:
+            return t
+        return tr.hydrate(t, sessions, self.spark.read.format("binaryFile").load(files).select("path", "content"))
+
     def dedupe(self) -> int:
         """Deactivates duplicates among active memories."""
         m, s = self.store.read("memories"), self.store
@@ -186,6 +220,37 @@ class Engine:
         project = self.store.read("sessions").where(F.col("id") == session_id).select("project_id").first()
         return self.recall(row[0] if row else "", project[0] if project else None, judge)
 
+    def write_recall(self, session_id: str, ordinal: int, judge=None) -> tuple[str, list[int]]:
+        """Writes the recall file of a session as of a turn: noop, unchanged or written, and the ids it names."""
+        rendered = self.recall_file(self.recall_for_turn(session_id, ordinal, judge), "turn").cache()
+        name = self.recall_name(session_id)
+        old = self.spark.createDataFrame([(-1, self.store.get_text(name) or "")], "query_id long, text string").select("query_id", tx.memory_ids_of(F.col("text")).alias("memory_ids"))
+        row = recall.write_action(rendered, old).first()
+        rendered.unpersist()
+        if row is None:
+            return "noop", []
+        if row["action"] == "written":
+            self.store.put_text(name, row["markdown"])
+        return row["action"], list(row["memory_ids"])
+
+    def read_recall(self, session_id: str, refresh: bool = True) -> str | None:
+        """The recall file of a session. One that names an inactive memory is removed; a missing one is made from the latest completed turn."""
+        name = self.recall_name(session_id)
+        text = self.store.get_text(name)
+        if text is not None:
+            files = self.spark.createDataFrame([(name, text)], "path string, text string").select("path", tx.memory_ids_of(F.col("text")).alias("memory_ids"))
+            if recall.valid_files(files, self.store.read("memories")).first()["valid"]:
+                return text
+            self.store.remove(name)
+        last = self.store.read("turns").where((F.col("session_id") == session_id) & (F.col("status") == "completed")).agg(F.max("ordinal")).first()[0]
+        if not refresh or last is None:
+            return None
+        self.write_recall(session_id, last)
+        return self.store.get_text(name)
+
+    def recall_name(self, session_id: str) -> str:
+        return "recall/" + self.spark.range(1).select(tx.recall_file(F.lit(session_id))).first()[0]
+
     def recall_file(self, results: DataFrame, source: str) -> DataFrame:
         return recall.render(results.withColumn("rank", F.col("place")), self.now(), source)
 
@@ -261,21 +326,82 @@ class Engine:
             own = F.col("id") == row["id"]
             self.store.write("tasks", tasks.transition(self.store.read("tasks"), own, "running", self.now()))
             try:
-                self._run(row["kind"], json.loads(row["payload_json"]))
+                self._run(row["kind"], json.loads(row["payload_json"]), row, now or int(time.time()))
                 change, error = "completed", None
+                if row["kind"] == "memory_formulation":
+                    self.schedule_consolidation()
+            except Deferred as e:
+                before = self.store.read("tasks").withColumn("attempts", F.when(own, F.col("attempts") - 1).otherwise(F.col("attempts")))
+                kept, copies = tasks.deferred(before, own, e.seconds, now or int(time.time()))
+                self.store.write("tasks", kept.unionByName(state.with_ids(copies, kept, ["payload_json"])))
+                done += 1
+                continue
             except Exception as e:  # the task keeps the error; the loop goes on
                 change, error = "parked", " <- ".join(str(x) for x in (e, e.__cause__) if x is not None)
             self.store.write("tasks", tasks.transition(self.store.read("tasks"), own, change, self.now(), error))
             done += 1
         return done
 
-    def _run(self, kind: str, payload: dict) -> None:
+    def _run(self, kind: str, payload: dict, task, now: int) -> None:
         if kind == "memory_formulation":
-            self.formulate([payload["session_id"]])
+            self.formulate([payload["session_id"]], payload.get("start_ordinal"), payload.get("end_ordinal"))
         elif kind == "memory_consolidation":
             self.consolidate()
         elif kind == "recall":
-            self.recall_for_turn(payload["session_id"], payload["turn_ordinal"]).count()
+            _, ids = self.write_recall(payload["session_id"], payload["turn_ordinal"])
+            if self.evaluate and ids:
+                text = self.store.get_text(self.recall_name(payload["session_id"])) or ""
+                given = self.spark.createDataFrame([(payload["session_id"], payload["turn_ordinal"], text, ids)], "session_id string, turn_ordinal long, recall_text string, memory_ids array<long>")
+                self._queue(tasks.eval_tasks(self.store.read("tasks"), self.store.read("eval_runs"), given, now))
+        elif kind == "recall_eval":
+            self._evaluate(payload, task, now)
+
+    # Evaluation.
+
+    def _evaluate(self, payload: dict, task, now: int) -> None:
+        """Scores a recall by the turns that came after it; waits for its turn and for later ones, as long as attempts last."""
+        s, at = self.store, payload["turn_ordinal"]
+        seen = s.read("sessions").where(F.col("id") == payload["session_id"]).select("last_seen_at").first()
+        anchor = [(payload["session_id"], at, task["attempts"], task["max_attempts"], seen[0] if seen else None)]
+        own = self.spark.createDataFrame(anchor, "session_id string, turn_ordinal long, attempts long, max_attempts long, last_seen_at string")
+        t = s.read("turns")
+        verdict = tasks.eval_state(own, t, self.config.session_idle_memory_seconds, now).first()["state"]
+        if verdict.startswith("defer"):
+            raise Deferred(tasks.DEFER_ANCHOR if verdict == "defer_anchor" else tasks.DEFER_TURNS)
+        later = turns.budgeted(turns.later_turns(own.select("session_id", F.col("turn_ordinal").alias("anchor")), self._hydrated(t)), self.config.recall_query_max_chars)
+        evidence = "\n".join(r[0] or "" for r in later.orderBy("place").select("display_text").collect())  # 20 turns at most, within a budget
+        turn = t.where((F.col("session_id") == payload["session_id"]) & (F.col("ordinal") == at)).select("id").first()
+        prompt = F.concat(F.lit("later turns:\n" + evidence + "\n\nrecalled:\n"), F.col("text"))
+        targets = self.eval_targets(payload).withColumn("turn_id", F.lit(turn[0]).cast("long"))
+        if verdict == "score":
+            judged = pipelines.judge(targets.withColumn("prompt", prompt), "prompt", self.completer)
+        else:
+            judged = targets.withColumns({"judge_score": F.lit("insufficient_context"), "rationale": F.lit("no later turns")})
+        kept = ("session_id", "turn_ordinal", "memory_ids", "rerun_for_eval_run_id", "filter_telemetry")
+        self.record_eval("delayed", {k: payload[k] for k in kept if k in payload}, judged)
+
+    def eval_targets(self, payload: dict) -> DataFrame:
+        """(memory_id, text) of the memories that a recall gave, in the order of their ids; without any, its text alone under no id."""
+        ids = sorted(set(payload.get("memory_ids") or []))
+        order = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id long")
+        found = state.by_ids(self.store.read("memories"), order).select(F.col("id").alias("memory_id"), F.concat_ws("\n", "title", "body").alias("text"))
+        if ids and not found.isEmpty():
+            return found
+        return self.spark.createDataFrame([(None, payload.get("recall_text") or "")], "memory_id long, text string")
+
+    def record_eval(self, strategy: str, config: dict, results: DataFrame) -> int:
+        """Appends a run and its results (turn_id, memory_id, judge_score, rationale), then marks the run as complete; gives its id."""
+        s, now = self.store, self.now()
+        runs, old = s.read("eval_runs"), s.read("eval_results")
+        row = self.spark.createDataFrame([(strategy, now, None, json.dumps(config, sort_keys=True))], "strategy string, started_at string, completed_at string, config_json string")
+        new = state.with_ids(row, runs, ["started_at"])
+        run = new.first()["id"]
+        s.write("eval_runs", runs.unionByName(new))
+        rows = results.select("turn_id", "memory_id", "judge_score", "rationale").withColumns({"eval_run_id": F.lit(run).cast("long"), "created_at": F.lit(now)})
+        s.write("eval_results", old.unionByName(state.with_ids(rows, old, ["turn_id", "memory_id"])))
+        ended = F.when(F.col("id") == run, F.lit(self.now())).otherwise(F.col("completed_at"))
+        s.write("eval_runs", s.read("eval_runs").withColumn("completed_at", ended))
+        return run
 
     def eval_recall(self, limit: int = 100) -> DataFrame:
         """Replays turns against the memories that were there before them, and judges the candidates."""
@@ -291,6 +417,37 @@ class Engine:
         none = q.select("query_id").join(done.select("query_id"), "query_id", "left_anti").select("query_id", *[F.lit(None).cast(k).alias(n) for n, k in (("memory_id", "long"), ("rank", "int"), ("score", "double"), ("citation", "string"))], F.lit("neutral").alias("judge_score"), F.lit(pipelines.NO_CANDIDATES).alias("rationale"))
         return done.unionByName(none)
 
+    def eval_replay(self, limit: int = 100) -> int:
+        """eval_recall(), stored as a run; gives its id."""
+        return self.record_eval("replay", {"limit": limit}, self.eval_recall(limit).withColumnRenamed("query_id", "turn_id"))
+
+    def eval_show(self, run: int) -> DataFrame:
+        """The results of a run with the titles of their memories, in order."""
+        m = self.store.read("memories").select(F.col("id").alias("memory_id"), "title")
+        return self.store.read("eval_results").where(F.col("eval_run_id") == run).join(m, "memory_id", "left").orderBy("id")
+
+    def stats(self) -> DataFrame:
+        """One row: recall rates over completed turns, volumes of recalls, usefulness of results, and the judge filter's telemetry."""
+        s, c = self.store, F.col("config_json")
+        runs = s.read("eval_runs").select(
+            "id", F.get_json_object(c, "$.session_id").alias("session_id"), F.get_json_object(c, "$.turn_ordinal").try_cast("long").alias("turn_ordinal"),
+            F.coalesce(F.json_array_length(F.get_json_object(c, "$.memory_ids")), F.lit(0)).alias("n"), F.from_json(F.get_json_object(c, "$.filter_telemetry"), TELEMETRY).alias("t"),
+        ).where("session_id IS NOT NULL")
+        last = tasks.first_per_anchor(runs)
+        eligible = s.read("turns").where("status = 'completed'").select("session_id", F.col("ordinal").alias("turn_ordinal"))
+        out = evals.recall_rates(eligible, tasks.anchors(s.read("tasks").where("kind = 'recall'")), last)
+        results = s.read("eval_results").join(last.select(F.col("id").alias("eval_run_id")), "eval_run_id", "left_semi")
+        for part in (evals.volumes(last.where("n > 0")), evals.usefulness(results), evals.filter_telemetry(last.where("t IS NOT NULL").select("t.*"))):
+            out = out.join(F.broadcast(part))  # one row each
+        return out
+
+    def config_effective(self) -> DataFrame:
+        """(name, value) of the settings in force."""
+        return self.spark.createDataFrame([(f.name, str(getattr(self.config, f.name))) for f in fields(self.config)], "name string, value string")
+
+    def path(self) -> str:
+        return self.store.root
+
     def eval_list(self, limit: int = 200) -> DataFrame:
         return evals.run_rollup(self.store.read("eval_runs"), self.store.read("eval_results")).orderBy(F.desc("id")).limit(limit)
 

@@ -89,11 +89,19 @@ def top_projects(memories: DataFrame, n: int = 20) -> DataFrame:
 def candidates_before(turns: DataFrame, memories: DataFrame, turn_time: str, memory_time: str) -> DataFrame:
     """As-of pairs: active memories created before a turn was seen; a null time gives none.
 
-    Times meet by a range join, cut into blocks: whole earlier blocks join by block number, the turn's own block by time.
+    The result has a row for each such pair, and so does the join: replays bound the number of turns. To count pairs only, use
+    eligible_before().
     """
     return turns.join(memories.where("is_active"), F.col(memory_time) < F.col(turn_time))
 
 
+def eligible_before(rows: DataFrame, key: str, at: str, marked: Column) -> DataFrame:
+    """`rows` with `eligible`: how many marked rows of the same key are earlier than each. A running count, no pairs are made."""
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = marked.cast("long")
+    return rows.withColumn("eligible", F.sum(mark).over(w) - F.sum(mark).over(Window.partitionBy(key, at)))
+
+
 def replay_candidates(scored: DataFrame, limit: int = 5) -> DataFrame:
     """Ranked candidates of a replay: score, then newest, then largest id."""
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id")))

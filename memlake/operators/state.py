@@ -73,6 +73,33 @@ class Store:
         opts[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(tmp, final, opts)
 
+    def put_text(self, name: str, text: str) -> None:
+        """Writes a small text file under the root, in one rename."""
+        tmp, final = self._path(f"{name}.next"), self._path(name)
+        out = self._fs().create(tmp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.remove(name)
+        self._fs().rename(tmp, final)
+
+    def exists(self, path: str) -> bool:
+        """Whether a file of any file system is there."""
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self._conf).exists(p)
+
+    def get_text(self, name: str) -> str | None:
+        p = self._path(name)
+        if not self._fs().exists(p):
+            return None
+        file = self._fs().open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+
+    def remove(self, name: str) -> None:
+        self._fs().delete(self._path(name), True)
+
     def tables(self) -> list[str]:
         return sorted(n for n in SCHEMAS if self._version(n))
 

@@ -15,6 +15,7 @@ from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import cluster, evals, recall, state, tasks, turns
 from memlake.shared import stash, table
+from memlake.sources import transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -338,13 +339,14 @@ def formulation_batches(spark, sf):
 @_query(f"WITH {_LOTS}, cv AS (SELECT session_id, ordinal FROM t WHERE (session_id + ordinal) % 3 <> 0), u AS (SELECT session_id, batch, unnest(refs) AS ordinal FROM lt) SELECT DISTINCT u.session_id, u.batch FROM u LEFT JOIN cv ON cv.session_id = u.session_id AND cv.ordinal = u.ordinal WHERE cv.ordinal IS NULL")
 def uncovered_batches(spark, sf):
     t = _turns(spark, sf)
-    return turns.uncovered(turns.batches(t, 2), t.where("(session_id + ordinal) % 3 <> 0")).select("session_id", "batch")
+    sources = t.where("(session_id + ordinal) % 3 <> 0").groupBy((F.col("session_id") % 50).alias("id")).agg(F.collect_list(F.struct("session_id", "ordinal")).alias("source_turn_refs"))
+    return turns.uncovered(turns.batches(t, 2), turns.covered_turns(sources.withColumn("is_active", F.lit(True)))).select("session_id", "batch")
 
 
 @_query("WITH s AS (SELECT conv_id AS session_id, conv_id % 7 AS project_id, max(turn) AS last_seen FROM conversations GROUP BY conv_id) SELECT project_id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY last_seen DESC, session_id DESC) AS r FROM s) WHERE r = 1")
 def latest_session_per_project(spark, sf):
     s = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").alias("last_seen")).withColumn("project_id", F.col("session_id") % 7)
-    return s.groupBy("project_id").agg(F.max_by("session_id", F.struct("last_seen", "session_id")).alias("session_id"))
+    return state.latest_per(s, "project_id", F.desc("last_seen"), F.desc("session_id")).select("project_id", "session_id")
 
 
 @_query(f"WITH {_T_SQL}, s AS (SELECT DISTINCT conv_id AS session_id FROM conversations) SELECT s.session_id, count(t.ordinal) AS n FROM s LEFT JOIN t ON t.session_id = s.session_id AND t.status = 'completed' GROUP BY ALL")
@@ -369,10 +371,44 @@ def late_evidence(spark, sf):
 @_query("WITH m AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id, event_id, ts FROM events) SELECT e.event_id, count(m.ts) AS eligible FROM e LEFT JOIN m ON m.user_id = e.user_id AND m.ts < e.ts GROUP BY e.event_id")
 def asof_memories(spark, sf):
     e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = (F.col("event_type") == "purchase").cast("long")
-    now = F.sum(mark).over(Window.partitionBy("user_id", "ts"))
-    return e.select("event_id", (F.sum(mark).over(w) - now).alias("eligible"))
+    return evals.eligible_before(e, "user_id", "ts", F.col("event_type") == "purchase").select("event_id", "eligible")
+
+
+# Transcripts: conversations written as JSONL, one file each, and read by the parsers.
+
+
+def _transcripts(spark: SparkSession, sf: str, line: Column) -> DataFrame:
+    """Lines with byte places of a file for each conversation, whose line for a message is `line`."""
+    rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("r"))
+    text = F.concat(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return transcripts.with_offsets(rows.select("path", F.lit(0).cast("long").alias("base"), text.alias("text")))
+
+
+@_query("SELECT conv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS line_no, CAST(sum(n + 1) OVER w - n - 1 AS BIGINT) AS line_start, CAST(sum(n + 1) OVER w AS BIGINT) AS line_end FROM (SELECT conv_id, turn, strlen(regexp_replace(text, '[\r\n]', ' ', 'g')) AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def transcript_line_offsets(spark, sf):
+    lines = _transcripts(spark, sf, F.regexp_replace("text", "[\r\n]", " "))
+    return lines.select(F.col("path").cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), "line_start", "line_end")
+
+
+@_query("""WITH k AS (SELECT *, role = 'assistant' AS c FROM conversations WHERE role IN ('user', 'assistant')),
+o AS (SELECT *, role = 'user' OR coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY turn), true) AS opens FROM k),
+g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM o)
+SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS BIGINT) AS ordinal, array_to_string(list(text ORDER BY turn), chr(10)) AS display_text FROM g GROUP BY conv_id, g HAVING bool_or(c)""")
+def role_dialect_turns(spark, sf):
+    lines, _ = transcripts.sound_files(_transcripts(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content")))))
+    return transcripts.role_turns(transcripts.role_events(lines)).select(F.col("path").cast("long").alias("session_id"), "ordinal", "display_text")
+
+
+@_query("""WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+e AS (SELECT *, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id, g) AS ending FROM g WHERE g > 0)
+SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS BIGINT) AS ordinal, CAST(min(turn) AS VARCHAR) AS turn_id, 'completed' AS status,
+  array_to_string(list(text ORDER BY turn) FILTER (WHERE role = 'system'), chr(10)) AS display_text FROM e WHERE turn <= ending GROUP BY conv_id, g""")
+def marker_dialect_turns(spark, sf):
+    role, none = F.col("role"), F.lit(None).cast("string")
+    kind = F.when(role == "user", "task_started").when(role == "assistant", "task_complete").otherwise("agent_message")
+    body = F.struct(kind.alias("type"), F.when(role == "user", F.col("turn").cast("string")).alias("turn_id"), F.when(role == "system", F.col("text")).otherwise(none).alias("message"))
+    lines, _ = transcripts.sound_files(_transcripts(spark, sf, F.to_json(F.struct(F.lit("event_msg").alias("type"), body.alias("payload")))))
+    return transcripts.marker_turns(transcripts.marker_events(lines)).select(F.col("path").cast("long").alias("session_id"), "ordinal", "turn_id", "status", "display_text")
 
 
 # Tasks.

@@ -140,8 +140,28 @@ def role_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def role_turns(events: DataFrame) -> DataFrame:
-    """Closed turns of the roles dialect: a user message that is no tool result opens one; an answer with text and no tool use closes it."""
+def role_sessions(events: DataFrame) -> DataFrame:
+    """(path, session_id, project_id, started_at): a file's name without its ending is its session; the latest cwd names the project."""
+    moved = F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no")))
+    first = F.min_by("observed_at", F.when(F.col("observed_at").isNotNull(), F.col("line_no")))
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^/.]*)?$", 1)
+    return events.groupBy("path").agg(moved.alias("project_id"), first.alias("started_at")).withColumn("session_id", stem)
+
+
+def role_cursors(lines: DataFrame, events: DataFrame, turns: DataFrame) -> DataFrame:
+    """(file_path, last_byte_offset) of the roles dialect: the end of the last complete line, or where a turn still open begins."""
+    ends = lines.groupBy("path").agg(F.max("line_end").alias("done"))
+    closed = turns.groupBy("path").agg(F.max("byte_end").alias("closed"))
+    left = events.where(F.col("role").isin("user", "assistant")).join(closed, "path", "left").where(F.coalesce(F.col("line_start") >= F.col("closed"), F.lit(True)))
+    opened = left.groupBy("path").agg(F.min("line_start").alias("open"))
+    return ends.join(opened, "path", "left").select(F.col("path").alias("file_path"), F.coalesce("open", "done").alias("last_byte_offset"))
+
+
+def role_turns(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Closed turns of the roles dialect: a user message that is no tool result opens one; an answer with text and no tool use closes it.
+
+    Ordinals follow the place in the file, from the given base (path, next_ordinal).
+    """
     w = Window.partitionBy("path").orderBy("line_no")
     talk = events.where(F.col("role").isin("user", "assistant"))
     closes = (F.col("role") == "assistant") & F.col("has_text") & ~F.col("is_use")
@@ -153,7 +173,10 @@ def role_turns(events: DataFrame) -> DataFrame:
         F.min("line_start").alias("byte_start"), F.max("line_end").alias("byte_end"), F.bool_or("_c").alias("done"), F.max_by("observed_at", F.when(F.col("observed_at").isNotNull(), F.col("line_no"))).alias("observed_at"),
         F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), parts.alias("parts"),
     ).where("done")
-    ordinal = (F.row_number().over(Window.partitionBy("path").orderBy("byte_start")) - 1).cast("long")
+    if base is not None:
+        turns = turns.join(base, "path", "left")
+    start = F.coalesce("next_ordinal", F.lit(0)) if base is not None else F.lit(0)
+    ordinal = (F.row_number().over(Window.partitionBy("path").orderBy("byte_start")) - 1 + start).cast("long")
     return turns.select("path", ordinal.alias("ordinal"), F.lit(None).cast("string").alias("turn_id"), F.lit("completed").alias("status"), "byte_start", "byte_end", "observed_at", "cwd", F.when(F.size("parts") > 0, F.array_join("parts", "\n")).alias("display_text"))
 
 

@@ -12,7 +12,7 @@ def ev(kind, at="2024-01-01T00:00:00Z", **payload):
 
 
 def turn(i, end="task_complete"):
-    return [ev("event_msg", type="task_started", turn_id=f"t{i}"), ev("event_msg", type="user_message", message=f"ask {i} about MLP-{i}"), ev("event_msg", type=end)]
+    return [ev("event_msg", type="task_started", turn_id=f"t{i}"), ev("event_msg", type="user_message", message=f"ask {i} about QX-{i}"), ev("event_msg", type=end)]
 
 
 META = ev("session_meta", id="s1", cwd="/work/proj")
@@ -35,7 +35,7 @@ def test_segments_and_offsets(spark, tmp_path):
     assert [(t["ordinal"], t["turn_id"], t["status"]) for t in got] == [(0, "t0", "completed"), (1, "t1", "aborted"), (2, "t2", "completed")]
     raw = (tmp_path / "a.jsonl").read_bytes()
     assert raw[got[0]["byte_start"] : got[0]["byte_end"]].decode().splitlines() == body[1:4]
-    assert got[0]["display_text"] == "ask 0 about MLP-0" and bad.count() == 0
+    assert got[0]["display_text"] == "ask 0 about QX-0" and bad.count() == 0
     s = tr.marker_sessions(e).first()
     assert (s["session_id"], s["project_id"]) == ("s1", "/work/proj")
 
@@ -59,7 +59,7 @@ def test_engine(spark, tmp_path):
     src, root = tmp_path / "in", tmp_path / "store"
     src.mkdir()
     put(src / "a.jsonl", [META, *turn(0), ev("event_msg", type="task_started", turn_id="t1")])
-    reply = {"memories": [{"title": "Build rule", "body": "Always run the build for MLP-7 first"}, {"title": "Other", "body": "A quite different matter"}]}
+    reply = {"memories": [{"title": "Build rule", "body": "Always run the build for QX-7 first"}, {"title": "Other", "body": "A quite different matter"}]}
     e = Engine(spark, f"file://{root}", completer=CannedCompleter(reply))
     r = e.ingest(f"file://{src}").first()
     assert (r["files"], r["failures"], r["new_turns"]) == (1, 0, 1)
@@ -70,9 +70,9 @@ def test_engine(spark, tmp_path):
     assert e.queue_formulation() == 1 and e.queue_formulation() == 0
     assert e.formulate(["s1"]) == 2
     assert e.queue_formulation() == 0
-    i = e.remember("Build rule", "Always run the build for MLP-7 first")
+    i = e.remember("Build rule", "Always run the build for QX-7 first")
     assert i == 3 and e.dedupe() in (0, 1)
-    got = e.recall("the build for MLP-7", "/work/proj").collect()
+    got = e.recall("the build for QX-7", "/work/proj").collect()
     assert got and got[0]["title"] == "Build rule" and got[0]["reason"].startswith("keep")
     s = e.status().first()
     assert (s["memories"], s["turns"], s["sessions"]) == (3, 2, 1)
@@ -99,7 +99,7 @@ def test_hydration(spark, tmp_path):
     sessions = spark.createDataFrame([("s1", path), ("s2", "gone")], "id string, transcript_file_path string")
     files = spark.read.format("binaryFile").load(f"file://{tmp_path}").select("path", "content")
     got = {(r["session_id"], r["ordinal"]): r["display_text"] for r in tr.hydrate(turns_, sessions, files).collect()}
-    assert got == {("s1", 0): "ask 0 about MLP-0", ("s1", 1): "kept", ("s2", 0): None}
+    assert got == {("s1", 0): "ask 0 about QX-0", ("s1", 1): "kept", ("s2", 0): None}
 
 
 def test_consolidate(spark, tmp_path):
