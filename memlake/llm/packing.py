@@ -40,7 +40,7 @@ PIECES_PER_TASK = 50_000
 FREE_AT_MOST = 8
 FAN_IN = 8
 MIN_GAIN = 0.002
-#: Words that a worker remembers at most, about.
+#: Words that a task remembers at most, about.
 CACHE_WORDS = 350_000
 
 #: ASCII marks, Latin letters, ASCII marks. Before letters no "'", which can begin a part of its own there, and no "<", which can begin a special token.
@@ -54,6 +54,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str):
+    """The whole tokenizer, loaded once in a worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     """`x`, or a longer copy, with room for `n` values."""
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
@@ -68,10 +77,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.whole = tokenizer_of(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.heads: dict[str, bytes] = {}
@@ -152,22 +158,17 @@ class WordTokenizer:
         return self.ids_of(pa.array([text], pa.string()))[0]
 
 
-@lru_cache(maxsize=2)
-def tokenizer_of(vocabulary: str | None) -> WordTokenizer:
-    """One tokenizer a worker process; its cache serves all tasks that run there."""
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    return WordTokenizer(vocabulary)
-
-
 def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokenizer_of(vocabulary)
+        path = vocabulary
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path(VOCABULARY)
+        tokens = WordTokenizer(path)  # its words are forgotten with the task, as a worker lives on through other stages
         for b in batches:
             row = 0
             for texts in text_groups(b.column(1)):
@@ -183,6 +184,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
                 keys = b.column(0).take(pa.array(text + row))
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del tokens
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -26,7 +26,7 @@ def words_sql(text: str) -> str:
 
 
 #: Bytes of text worked on at once, about.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def text_groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[pa.Array]:
