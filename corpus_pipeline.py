@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Packing and SimHash are beyond SQL, so there is no
-SQL for the whole; tests hold the stages against brute-force versions.
+SQL for the whole; tests hold near-copies against brute force, and the other stages against planted cases.
+
+Edge cases, of every stage: rows are told apart by their texts, so null and repeated doc_ids do no harm; null and empty texts fail
+the quality rules, and pass the later stages where those are used alone. Very long texts are judged whole, in one task. Ties
+are decided as each operator states. Empty tables give empty results. Extra columns are kept by all stages but the last.
 """
 
 from __future__ import annotations
