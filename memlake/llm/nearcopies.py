@@ -6,8 +6,10 @@ Rows with equal shingle sets form a class. Candidates come in two ways:
    bits or fewer. Most near-copies meet here, and a group of thousands costs rows, not pairs.
 2. A fingerprint of 64 bits can't hold all pairs at 0.8 (they differ in some 10 bits, as many unlike texts do at this
    number of rows), so a join finds the rest. Two sets alike in 0.8 or more share a shingle among each one's first
-   n - ceil(0.8 n) + 1 in any order that holds for all rows; the order here puts shingles that are frequent in a sample last, so
-   the sample bears on the time only. Pairs that are one component already are left out, as a link there changes nothing.
+   n - ceil(0.8 n) + 1 in any order that holds for all rows. The order here is by the number of classes that have a shingle,
+   counted over all, so a class whose first shingles are its own meets no one; shingles that are frequent in a sample aren't
+   counted and come last. The sample bears on the time only. Pairs that are one component already are left out, as a link there
+   changes nothing.
 
 A candidate is dropped if the sizes, the number of first shingles in common, or a bitmap of parities (whose differing bits
 are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
@@ -46,6 +48,8 @@ SAMPLE, HOT, HOT_MOST = 10, 3, 200_000
 PAIRS, HUB_ROUNDS, GAIN = 4, 8, 0.2
 #: 64-bit words of a class's bitmap of parities.
 BITMAP = 8
+#: Shingles held before a batch of rows is passed on, about.
+HELD = 1 << 18
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -117,44 +121,94 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, k, cid, n, fp, bits, sh) for every row of `texts` (doc_id, k, text): class, size, fingerprint, and once in each
-    task the class's bitmap and first shingles."""
+    """(doc_id, k, cid, n, fp, bits, rare, hot) for every row of `texts` (doc_id, k, text): class, size, fingerprint, and once in
+    each task the class's bitmap, its shingles that aren't hot, and of the hot ones, in order, as many as may be among its first."""
     kind = dict(texts.dtypes)["doc_id"]
     shared = texts.sparkSession.sparkContext.broadcast(_hot(texts.select("k", "text")))
+    names = ["doc_id", "k", "cid", "n", "fp", "bits", "rare", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot, freq), seen = shared.value, {}
+        none = np.zeros(0, np.uint64)
+
+        def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(hot):
+                return s, none
+            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+            is_hot = hot[at] == s
+            rare, often = s[~is_hot], s[is_hot]
+            often = often[np.lexsort((often, freq[at[is_hot]]))]
+            return rare, often[: max(0, prefix_size(len(s)) - len(rare))]
+
+        def batch(b: pa.RecordBatch, begin: int, rows: list[tuple]) -> pa.RecordBatch:
+            cids, sizes, fps, bits, rare, often = zip(*rows, strict=True)
+            ints = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            own = [b.column(i).slice(begin, len(rows)) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*own, ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(rare), _lists(often)], names=names)
+
         for b in batches:
-            cids, sizes, fps, bits, out = [], [], [], [], []
+            rows, begin, held = [], 0, 0
             for s in shingle_sets(b.column(2)):
                 cid = xxhash.xxh3_64_intdigest(s.tobytes(), SEED)
-                cids.append(cid)
-                sizes.append(len(s))
                 if cid in seen:
-                    fps.append(seen[cid])
-                    bits.append(s[:0])
-                    out.append(s[:0])
-                    continue
-                seen[cid] = fingerprint(s)
-                fps.append(seen[cid])
-                bits.append(bitmap(s))
-                if len(hot) and len(s):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    s = s[np.lexsort((s, np.where(hot[at] == s, freq[at], 0)))]
-                out.append(s[: prefix_size(len(s))])
-            ints = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            cols = [b.column(0), b.column(1), ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(out)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "cid", "n", "fp", "bits", "sh"])
+                    rows.append((cid, len(s), seen[cid], none, none, none))
+                else:
+                    seen[cid] = fingerprint(s)
+                    rows.append((cid, len(s), seen[cid], bitmap(s), *split(s)))
+                    held += len(s)
+                if held >= HELD:
+                    yield batch(b, begin, rows)
+                    rows, begin, held = [], begin + len(rows), 0
+            if rows:
+                yield batch(b, begin, rows)
 
-    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, sh array<long>")
+    schema = f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, rare array<long>, hot array<long>"
+    return texts.select("doc_id", "k", "text").mapInArrow(run, schema)
 
 
-def _prefixes(rows: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
-    """(w, cid, n, root, pairs): first shingles that classes of different components share. `pairs` adds up to the number of pairs."""
+def _runs(found: Callable[..., pa.RecordBatch], columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by their first column: `found` of the columns, rows with equal first values always in one call."""
 
-    def shared(w: np.ndarray, root: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * columns
+        for b in batches:
+            now = [np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns, strict=True)]
+            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
+            if last:
+                yield found(*(x[:last] for x in now))
+            rest = [x[last:] for x in now]
+        yield found(*rest)
+
+    return run
+
+
+def _first_shingles(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(w, cid, n): each class's first shingles that other classes have too.
+
+    The order is: shingles of one class, then by the number of classes, then hot ones by their rows in the sample. Counts cover all classes.
+    """
+
+    def shared(w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])][: len(w)]
-        w, root, c, n = w[new], root[new], c[new], n[new]
+        w, c = w[new], c[new]
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
+        f = np.repeat(np.diff(np.r_[first, len(w)]), np.diff(np.r_[first, len(w)]))
+        return pa.RecordBatch.from_arrays([pa.array(x[f > 1]) for x in (w, c, f)], names=["w", "cid", "f"])
+
+    flat = rows.select(F.explode("rare").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
+    met = flat.mapInArrow(_runs(shared, 2), "w long, cid long, f long").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("met"))
+    both = classes.where("n > 0").select("cid", "n", "rares", "hot").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
+    size = F.expr(f"n - ({ALIKE} * n + 99) div 100 + 1")  # prefix_size
+    alone = F.col("rares") - F.size("met")
+    first = F.concat(F.slice("met", F.lit(1), F.greatest(size - alone, F.lit(0)).cast("int")), "hot")
+    return stash(both.select(F.explode(first).alias("w"), "cid", "n"), "prefixes")
+
+
+def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
+    """(w, cid, n, root, pairs): rows of `first` whose shingle is shared by classes of different components. `pairs` adds up to the
+    number of pairs."""
+
+    def shared(w: np.ndarray, root: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
         part = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (root[1:] != root[:-1])][: len(w)])
         size = np.diff(np.r_[first, len(w)])
@@ -165,19 +219,9 @@ def _prefixes(rows: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
         keep = np.repeat(apart > 0, size)
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, c, n, root, pairs)], names=["w", "cid", "n", "root", "pairs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
-        for b in batches:
-            now = [np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns, strict=True)]
-            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            if last:
-                yield shared(*(x[:last] for x in now))
-            rest = [x[last:] for x in now]
-        yield shared(*rest)
-
-    own = rows.where(F.size("sh") > 0).join(small(named, named_bytes), "cid", "left")
-    flat = own.select(F.explode("sh").alias("w"), F.coalesce("root", "cid").alias("root"), "cid", "n").repartition("w").sortWithinPartitions("w", "root", "cid")
-    return stash(flat.mapInArrow(run, "w long, cid long, n long, root long, pairs long"), "prefixes")
+    own = first.join(small(named, named_bytes), "cid", "left").select("w", F.coalesce("root", "cid").alias("root"), "cid", "n")
+    flat = own.repartition("w").sortWithinPartitions("w", "root", "cid")
+    return stash(flat.mapInArrow(_runs(shared, 4), "w long, cid long, n long, root long, pairs long"), "apart")
 
 
 def _whole_sets(rows: DataFrame, texts: DataFrame, used: DataFrame) -> DataFrame:
@@ -234,7 +278,7 @@ def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callabl
         with scratch(spark, "named"):
             return sized_stash(components(links).select(F.col("node").alias("cid"), "root"), "named")
 
-    classes = stash(rows.where(F.size("bits") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "classes")
+    classes = stash(rows.where(F.size("bits") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first(F.size("rare")).alias("rares"), F.first("hot").alias("hot")), "classes")
     first = stash(classes.where("n > 0").groupBy("fp").agg(F.min("cid").alias("rep")), "first")
     near = fingerprint_links(first.select("fp"))
     ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b")]
@@ -242,7 +286,8 @@ def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callabl
     same = classes.where("n > 0").join(first, "fp").where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b"))
     links = verified(across.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     named, size = rooted(links)
-    left, last = _prefixes(rows, named, size), None
+    leading = _first_shingles(rows, classes)
+    left, last = _apart(leading, named, size), None
     for turn in range(HUB_ROUNDS + 1):
         total, pairs = left.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not total:
@@ -262,7 +307,7 @@ def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callabl
         named, size = rooted(links)
         if direct:
             break
-        left, last = _prefixes(rows, named, size), pairs
+        left, last = _apart(leading, named, size), pairs
     return named
 
 
