@@ -6,10 +6,10 @@ Rows with equal shingle sets form a class. Candidates come in two ways:
    bits or fewer. Most near-copies meet here, and a group of thousands costs rows, not pairs.
 2. A fingerprint of 64 bits can't hold all pairs at 0.8 (they differ in some 10 bits, as many unlike texts do at this
    number of rows), so a join finds the rest. Two sets alike in 0.8 or more share a shingle among each one's first
-   n - ceil(0.8 n) + 1 in any order that holds for all rows. The order here is by the number of classes that have a shingle,
-   counted over all, so a class whose first shingles are its own meets no one; shingles that are frequent in a sample aren't
-   counted and come last. The sample bears on the time only. Pairs that are one component already are left out, as a link there
-   changes nothing.
+   n - ceil(0.8 n) + 1 in any order that holds for all rows. A slice of all shingles is counted over all classes: a class with
+   enough shingles there that no other has meets no one and is done. The others are joined in the order of the number of them that
+   have a shingle; shingles that are frequent in a sample aren't counted and come last. Slice and sample bear on the time only.
+   Pairs that are one component already are left out, as a link there changes nothing.
 
 A candidate is dropped if the sizes, the number of first shingles in common, or a bitmap of parities (whose differing bits
 are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ SAMPLE, HOT, HOT_MOST = 10, 3, 200_000
 PAIRS, HUB_ROUNDS, GAIN = 4, 8, 0.2
 #: 64-bit words of a class's bitmap of parities.
 BITMAP = 8
-#: Shingles held before a batch of rows is passed on, about.
-HELD = 1 << 18
+#: Shingles below this, three of ten, are counted over all classes first; the others only for the classes that those leave open.
+SLICE = np.uint64(3 * (1 << 64) // 10)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -94,6 +95,11 @@ def prefix_size(n: int) -> int:
     return n - -(-ALIKE * n // 100) + 1 if n else 0
 
 
+def _prefix(n: Column) -> Column:
+    """The same of a column of sizes over 0."""
+    return n - F.floor((ALIKE * n + 99) / 100) + 1
+
+
 def _hot(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample of `texts` (k, text), sorted, and in how many rows they are: HOT_MOST at most."""
 
@@ -120,50 +126,58 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, k, cid, n, fp, bits, rare, hot) for every row of `texts` (doc_id, k, text): class, size, fingerprint, and once in
-    each task the class's bitmap, its shingles that aren't hot, and of the hot ones, in order, as many as may be among its first."""
+def _split(s: np.ndarray, hot: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set: its shingles that aren't hot, sorted, and its hot ones in order."""
+    if not len(hot):
+        return s, s[:0]
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    is_hot = hot[at] == s
+    often = s[is_hot]
+    return s[~is_hot], often[np.lexsort((often, freq[at[is_hot]]))]
+
+
+def _sets(texts: DataFrame, hot: Broadcast) -> DataFrame:
+    """(doc_id, k, cid, n, fp, bits, some) for every row of `texts` (doc_id, k, text): class, size, fingerprint, and once in each
+    task the class's bitmap and those of its shingles that are in the slice and aren't hot."""
     kind = dict(texts.dtypes)["doc_id"]
-    shared = texts.sparkSession.sparkContext.broadcast(_hot(texts.select("k", "text")))
-    names = ["doc_id", "k", "cid", "n", "fp", "bits", "rare", "hot"]
+    names = ["doc_id", "k", "cid", "n", "fp", "bits", "some"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, freq), seen = shared.value, {}
-        none = np.zeros(0, np.uint64)
-
-        def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(hot):
-                return s, none
-            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-            is_hot = hot[at] == s
-            rare, often = s[~is_hot], s[is_hot]
-            often = often[np.lexsort((often, freq[at[is_hot]]))]
-            return rare, often[: max(0, prefix_size(len(s)) - len(rare))]
-
-        def batch(b: pa.RecordBatch, begin: int, rows: list[tuple]) -> pa.RecordBatch:
-            cids, sizes, fps, bits, rare, often = zip(*rows, strict=True)
-            ints = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            own = [b.column(i).slice(begin, len(rows)) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*own, ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(rare), _lists(often)], names=names)
-
+        seen, none = {}, np.zeros(0, np.uint64)
         for b in batches:
-            rows, begin, held = [], 0, 0
+            cids, sizes, fps, bits, some = [], [], [], [], []
             for s in shingle_sets(b.column(2)):
                 cid = xxhash.xxh3_64_intdigest(s.tobytes(), SEED)
-                if cid in seen:
-                    rows.append((cid, len(s), seen[cid], none, none, none))
-                else:
+                new = cid not in seen
+                if new:
                     seen[cid] = fingerprint(s)
-                    rows.append((cid, len(s), seen[cid], bitmap(s), *split(s)))
-                    held += len(s)
-                if held >= HELD:
-                    yield batch(b, begin, rows)
-                    rows, begin, held = [], begin + len(rows), 0
-            if rows:
-                yield batch(b, begin, rows)
+                cids.append(cid)
+                sizes.append(len(s))
+                fps.append(seen[cid])
+                bits.append(bitmap(s) if new else none)
+                some.append(_split(s[: np.searchsorted(s, SLICE)], *hot.value)[0] if new else none)
+            ints = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            cols = [b.column(0), b.column(1), ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(some)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, some array<long>")
+
+
+def _of_classes(rows: DataFrame, texts: DataFrame, used: DataFrame, lists: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """(cid, *names) of the classes in `used` (cid): `lists` of their sets, from a text of each; repeated texts repeat them."""
+    one, size = sized_stash(rows.join(used, "cid", "left_semi").groupBy("cid").agg(F.min("k").alias("k")), "texts_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            at = [i for i, c in enumerate(b.column(0).to_pylist()) if not (c in seen or seen.add(c))]
+            part = b.take(pa.array(at, pa.int64()))
+            if at:
+                columns = zip(*map(lists, shingle_sets(part.column(1))), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(_lists(list(x)) for x in columns)], names=["cid", *names])
 
-    schema = f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, rare array<long>, hot array<long>"
-    return texts.select("doc_id", "k", "text").mapInArrow(run, schema)
+    found = texts.select("k", "text").join(small(one, size), "k").select("cid", "text")
+    return found.mapInArrow(run, ", ".join(["cid long", *(f"{x} array<long>" for x in names)]))
 
 
 def _runs(found: Callable[..., pa.RecordBatch], columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,25 +196,52 @@ def _runs(found: Callable[..., pa.RecordBatch], columns: int) -> Callable[[Itera
     return run
 
 
-def _first_shingles(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(w, cid, n): each class's first shingles that other classes have too.
+def _of_many(w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows (shingle, class): those whose shingle has several classes, each once, and how many classes."""
+    new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])][: len(w)]
+    w, c = w[new], c[new]
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)]), len(w)])
+    f = np.repeat(size, size)
+    return w[f > 1], c[f > 1], f[f > 1]
+
+
+def _open_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, n) of the classes that may have a near-copy.
 
-    The order is: shingles of one class, then by the number of classes, then hot ones by their rows in the sample. Counts cover all classes.
+    In the order with the slice first, and there shingles of one class only, a class with so many of these has no others among
+    its first shingles, so it meets no one.
     """
 
     def shared(w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])][: len(w)]
-        w, c = w[new], c[new]
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
-        f = np.repeat(np.diff(np.r_[first, len(w)]), np.diff(np.r_[first, len(w)]))
-        return pa.RecordBatch.from_arrays([pa.array(x[f > 1]) for x in (w, c, f)], names=["w", "cid", "f"])
+        cid, count = np.unique(_of_many(w, c)[1], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(count)], names=["cid", "count"])
+
+    flat = rows.select(F.explode("some").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
+    met = flat.mapInArrow(_runs(shared, 2), "cid long, count long").groupBy("cid").agg(F.sum("count").alias("met"))
+    own = classes.where("n > 0").join(met, "cid", "left")
+    return stash(own.where(F.col("some") - F.coalesce("met", F.lit(0)) < _prefix(F.col("n"))).select("cid", "n"), "open")
+
+
+def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: Broadcast) -> DataFrame:
+    """(w, cid, n): the first shingles of the classes in `opened` (cid, n) that others of them have too.
+
+    The order is: shingles of one of the classes, then by the number of classes, then hot ones by their rows in the sample.
+    """
+
+    def lists(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rare, often = _split(s, *hot.value)
+        return rare, often[: max(0, prefix_size(len(s)) - len(rare))]
 
-    flat = rows.select(F.explode("rare").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
+    def shared(w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _of_many(w, c)], names=["w", "cid", "f"])
+
+    sets = stash(_of_classes(rows, texts, opened, lists, ["rare", "hot"]), "rare")
+    flat = sets.select(F.explode("rare").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
     met = flat.mapInArrow(_runs(shared, 2), "w long, cid long, f long").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("met"))
-    both = classes.where("n > 0").select("cid", "n", "rares", "hot").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
-    size = F.expr(f"n - ({ALIKE} * n + 99) div 100 + 1")  # prefix_size
+    one = sets.groupBy("cid").agg(F.first(F.size("rare")).alias("rares"), F.first("hot").alias("hot"))
+    both = opened.join(one, "cid").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
     alone = F.col("rares") - F.size("met")
-    first = F.concat(F.slice("met", F.lit(1), F.greatest(size - alone, F.lit(0)).cast("int")), "hot")
+    first = F.concat(F.slice("met", F.lit(1), F.greatest(_prefix(F.col("n")) - alone, F.lit(0)).cast("int")), "hot")
     return stash(both.select(F.explode(first).alias("w"), "cid", "n"), "prefixes")
 
 
@@ -224,21 +265,6 @@ def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
     return stash(flat.mapInArrow(_runs(shared, 4), "w long, cid long, n long, root long, pairs long"), "apart")
 
 
-def _whole_sets(rows: DataFrame, texts: DataFrame, used: DataFrame) -> DataFrame:
-    """(cid, sh) of the classes in `used` (cid), from a text of each."""
-    one, size = sized_stash(rows.join(used, "cid", "left_semi").groupBy("cid").agg(F.min("k").alias("k")), "texts_of")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            at = [i for i, c in enumerate(b.column(0).to_pylist()) if not (c in seen or seen.add(c))]
-            part = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1))))], names=["cid", "sh"])
-
-    found = texts.select("k", "text").join(small(one, size), "k").select("cid", "text")
-    return found.mapInArrow(run, "cid long, sh array<long>").groupBy("cid").agg(F.first("sh").alias("sh"))
-
-
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * ALIKE
 
@@ -258,7 +284,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFr
     pairs = pairs.distinct().join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb")) & near).select("a", "b")
     pairs, _ = sized_stash(pairs, "pairs")
     used, used_size = sized_stash(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "used")
-    sets, sets_size = sized_stash(_whole_sets(rows, texts, small(used, used_size)), "whole_sets")
+    whole = _of_classes(rows, texts, small(used, used_size), lambda s: (s,), ["sh"])
+    sets, sets_size = sized_stash(whole.groupBy("cid").agg(F.first("sh").alias("sh")), "whole_sets")
     a, b = sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb"))
     both = pairs.join(small(a, sets_size), "a").join(small(b, sets_size), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -266,7 +293,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFr
     return met.where(F.col("m") * 100 >= (F.col("s") - F.col("m")) * ALIKE).select("a", "b")
 
 
-def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_classes(rows: DataFrame, texts: DataFrame, hot: Broadcast, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(cid, root): the component of every class that has a near-copy."""
     spark = rows.sparkSession
 
@@ -278,7 +305,7 @@ def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callabl
         with scratch(spark, "named"):
             return sized_stash(components(links).select(F.col("node").alias("cid"), "root"), "named")
 
-    classes = stash(rows.where(F.size("bits") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first(F.size("rare")).alias("rares"), F.first("hot").alias("hot")), "classes")
+    classes = stash(rows.where(F.size("bits") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first(F.size("some")).alias("some")), "classes")
     first = stash(classes.where("n > 0").groupBy("fp").agg(F.min("cid").alias("rep")), "first")
     near = fingerprint_links(first.select("fp"))
     ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b")]
@@ -286,7 +313,8 @@ def linked_classes(rows: DataFrame, texts: DataFrame, fingerprint_links: Callabl
     same = classes.where("n > 0").join(first, "fp").where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b"))
     links = verified(across.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     named, size = rooted(links)
-    leading = _first_shingles(rows, classes)
+    with scratch(spark, "prefixes"):
+        leading = _first_shingles(rows, texts, _open_classes(rows, classes), hot)
     left, last = _apart(leading, named, size), None
     for turn in range(HUB_ROUNDS + 1):
         total, pairs = left.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
@@ -323,8 +351,9 @@ def keep_one(docs: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame
 def _keep_one(docs: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     k = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select("doc_id", k.alias("k"), "text")
-    rows = stash(_sets(texts), "sets")
-    named, size = sized_stash(linked_classes(rows, texts, fingerprint_links), "components")
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(texts))
+    rows = stash(_sets(texts, hot), "sets")
+    named, size = sized_stash(linked_classes(rows, texts, hot, fingerprint_links), "components")
     rows = stash(rows.select("doc_id", "k", "cid").join(small(named, size), "cid", "left").select("doc_id", "k", F.coalesce("root", "cid").alias("root")), "rooted")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("k").alias("k")))
     best, size = sized_stash(rows.groupBy("root").agg(first.alias("best"), F.count("*").alias("c")).where("c > 1").select("root", "best.d", F.col("best.k").alias("best_k")), "best")
