@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.words import coded_words, text_groups
+from memlake.llm.words import coded_words, freeing, text_groups
 from memlake.operators.components import components
 from memlake.shared import scratch, sized_stash, small, stash
 
@@ -108,7 +108,7 @@ def _hot(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column(0)), np.zeros(0, np.uint64)]).view(np.int64))], names=["sh"])
 
     part = texts.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).select("text")
-    found = stash(part.mapInArrow(run, "sh long").groupBy("sh").count().where(F.col("count") >= HOT), "hot")
+    found = stash(part.mapInArrow(freeing(run), "sh long").groupBy("sh").count().where(F.col("count") >= HOT), "hot")
     step = F.floor(F.log2(F.col("count").cast("double")) * 16).cast("int")
     least, room = 1 << 30, HOT_MOST
     for k, n in sorted(found.groupBy(step.alias("k")).agg(F.count("*")).collect(), reverse=True):  # some hundred steps at most
@@ -160,7 +160,7 @@ def _sets(texts: DataFrame, hot: Broadcast) -> DataFrame:
             cols = [b.column(0), b.column(1), ints(cids), pa.array(sizes, pa.int64()), ints(fps), _lists(bits), _lists(some)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, some array<long>")
+    return texts.select("doc_id", "k", "text").mapInArrow(freeing(run), f"doc_id {kind}, k long, cid long, n long, fp long, bits array<long>, some array<long>")
 
 
 def _of_classes(rows: DataFrame, texts: DataFrame, used: DataFrame, lists: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
@@ -177,7 +177,7 @@ def _of_classes(rows: DataFrame, texts: DataFrame, used: DataFrame, lists: Calla
                 yield pa.RecordBatch.from_arrays([part.column(0), *(_lists(list(x)) for x in columns)], names=["cid", *names])
 
     found = texts.select("k", "text").join(small(one, size), "k").select("cid", "text")
-    return found.mapInArrow(run, ", ".join(["cid long", *(f"{x} array<long>" for x in names)]))
+    return found.mapInArrow(freeing(run), ", ".join(["cid long", *(f"{x} array<long>" for x in names)]))
 
 
 def _runs(found: Callable[..., pa.RecordBatch], columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -217,13 +217,14 @@ def _open_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(count)], names=["cid", "count"])
 
     flat = rows.select(F.explode("some").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
-    met = flat.mapInArrow(_runs(shared, 2), "cid long, count long").groupBy("cid").agg(F.sum("count").alias("met"))
+    met = flat.mapInArrow(freeing(_runs(shared, 2)), "cid long, count long").groupBy("cid").agg(F.sum("count").alias("met"))
     own = classes.where("n > 0").join(met, "cid", "left")
     return stash(own.where(F.col("some") - F.coalesce("met", F.lit(0)) < _prefix(F.col("n"))).select("cid", "n"), "open")
 
 
 def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: Broadcast) -> DataFrame:
-    """(w, cid, n): the first shingles of the classes in `opened` (cid, n) that others of them have too.
+    """(w, cid, n, i, rest): the first shingles of the classes in `opened` (cid, n) that others of them have too, how many such
+    come before it in the class, and how many shingles of the class come after it.
 
     The order is: shingles of one of the classes, then by the number of classes, then hot ones by their rows in the sample.
     """
@@ -237,19 +238,21 @@ def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: B
 
     sets = stash(_of_classes(rows, texts, opened, lists, ["rare", "hot"]), "rare")
     flat = sets.select(F.explode("rare").alias("w"), "cid").repartition("w").sortWithinPartitions("w", "cid")
-    met = flat.mapInArrow(_runs(shared, 2), "w long, cid long, f long").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("met"))
+    met = flat.mapInArrow(freeing(_runs(shared, 2)), "w long, cid long, f long").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("met"))
     one = sets.groupBy("cid").agg(F.first(F.size("rare")).alias("rares"), F.first("hot").alias("hot"))
     both = opened.join(one, "cid").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
     alone = F.col("rares") - F.size("met")
     first = F.concat(F.slice("met", F.lit(1), F.greatest(_prefix(F.col("n")) - alone, F.lit(0)).cast("int")), "hot")
-    return stash(both.select(F.explode(first).alias("w"), "cid", "n"), "prefixes")
+    flat = both.select("cid", "n", alone.alias("alone"), F.posexplode(first).alias("i", "w"))
+    return stash(flat.select("w", "cid", "n", F.col("i").cast("long").alias("i"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest")), "prefixes")
 
 
 def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
-    """(w, cid, n, root, pairs): rows of `first` whose shingle is shared by classes of different components. `pairs` adds up to the
-    number of pairs."""
+    """(w, cid, n, i, rest, root, pairs): rows of `first` whose shingle is shared by classes of different components. `pairs` adds
+    up to the number of pairs."""
+    names = ["w", "cid", "n", "i", "rest", "root", "pairs"]
 
-    def shared(w: np.ndarray, root: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def shared(w: np.ndarray, root: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
         part = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (root[1:] != root[:-1])][: len(w)])
         size = np.diff(np.r_[first, len(w)])
@@ -258,17 +261,22 @@ def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
         pairs = np.zeros(len(w), np.int64)
         pairs[first] = apart
         keep = np.repeat(apart > 0, size)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, c, n, root, pairs)], names=["w", "cid", "n", "root", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, *others, root, pairs)], names=names)
 
-    own = first.join(small(named, named_bytes), "cid", "left").select("w", F.coalesce("root", "cid").alias("root"), "cid", "n")
+    own = first.join(small(named, named_bytes), "cid", "left").select("w", F.coalesce("root", "cid").alias("root"), "cid", "n", "i", "rest")
     flat = own.repartition("w").sortWithinPartitions("w", "root", "cid")
-    return stash(flat.mapInArrow(_runs(shared, 4), "w long, cid long, n long, root long, pairs long"), "apart")
+    return stash(flat.mapInArrow(freeing(_runs(shared, 6)), ", ".join(f"{x} long" for x in names)), "apart")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * ALIKE
 
 
+def _places_fit(n: Column, i: Column, rest: Column, m: Column, j: Column, after: Column) -> Column:
+    """Sets of n and m that meet in a shingle share at most that, those that come before it in both and those after it in both."""
+    return (F.least(i, j) + 1 + F.least(rest, after)) * (100 + ALIKE) >= (n + m) * ALIKE
+
+
 def _can_be_alike(c: Column, n: Column, m: Column) -> Column:
     """Sets of n and m with c common ones among their first shingles share at most those and what follows one's first ones."""
     after = F.ceil(F.greatest(n, m) * ALIKE / 100 - 1e-9) - 1
@@ -316,19 +324,21 @@ def linked_classes(rows: DataFrame, texts: DataFrame, hot: Broadcast, fingerprin
     with scratch(spark, "prefixes"):
         leading = _first_shingles(rows, texts, _open_classes(rows, classes), hot)
     left, last = _apart(leading, named, size), None
+    other = [F.col(x).alias(y) for x, y in (("cid", "y"), ("n", "m"), ("i", "j"), ("rest", "after"), ("root", "other"))]
     for turn in range(HUB_ROUNDS + 1):
         total, pairs = left.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not total:
             break
         direct = pairs <= PAIRS * total or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
         if direct:
-            y = left.select("w", F.col("cid").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))
+            y = left.select("w", *other)
             found = left.join(y, "w").where(F.col("cid") < F.col("y"))
         else:
-            y = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))).alias("hub"))
-            y, size = sized_stash(y.select("w", "hub.y", "hub.m", "hub.other"), "hubs")
+            y = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
+            y, size = sized_stash(y.select("w", "hub.y", "hub.m", "hub.j", "hub.after", "hub.other"), "hubs")
             found = left.join(small(y, size), "w")
-        found = found.where((F.col("root") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"))).select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"), "n", "m")
+        found = found.where((F.col("root") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m")) & _places_fit(*map(F.col, ("n", "i", "rest", "m", "j", "after"))))
+        found = found.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"), "n", "m")
         if direct:  # all that the two share of their first shingles is seen here
             found = found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_can_be_alike(F.col("c"), F.col("n"), F.col("m")))
         links = links.unionByName(verified(found.select("a", "b")))

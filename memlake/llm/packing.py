@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.words import coded_words, text_groups
+from memlake.llm.words import coded_words, freeing, text_groups
 from memlake.shared import sized_stash, small, table
 
 MAX_TOKENS = 2048
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
         del tokens
         pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -244,7 +244,7 @@ def _pack_round(items: DataFrame, tasks: int, level: int, max_tokens: int) -> Da
         out = pa.Table.from_arrays([*t.take(pa.array(order)).combine_chunks().columns, *map(pa.array, added)], names=names)
         yield from out.to_batches(max_chunksize=10_000)
 
-    return items.select("*", mix).repartition(tasks, "mix").mapInArrow(run, f"{schema}, bin long, at long, bin_fill long")
+    return items.select("*", mix).repartition(tasks, "mix").mapInArrow(freeing(run), f"{schema}, bin long, at long, bin_fill long")
 
 
 def _lifted(rows: DataFrame, above: tuple[DataFrame, int] | None) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import nearcopies
+from memlake.llm.words import freeing
 from memlake.operators.components import components
 from memlake.shared import sized_stash, small, stash, table
 
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def _deal(rows: DataFrame) -> DataFrame:
                     out[2].append(np.full(int(at.sum()), mask | block, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)) for x in out], names=["fp", "key", "done"])
 
-    return rows.mapInArrow(run, "fp long, key long, done long")
+    return rows.mapInArrow(freeing(run), "fp long, key long, done long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def links(distinct: DataFrame) -> DataFrame:
     for p in parts[1:]:
         whole = whole.unionByName(p.select("key", "fp"))
     dealt = whole.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def cluster(docs: DataFrame) -> DataFrame:
