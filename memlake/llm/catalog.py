@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import decontam, langid, lm, packing, quality, secrets, simhash, substrings, urls, warc
+from memlake.llm import decontam, langid, lm, mixing, packing, quality, ranking, repair, secrets, simhash, substrings, urls, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_warc": warc.query,
         "op9_packing": packing.query,
         "op10_url_filter": urls.query,
+        "op11_lexical_search": ranking.query,
+        "op12_conversation_repair": repair.query,
+        "op13_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": decontam.SQL, "op2_quality_rules": quality.SQL, "op4_substring_dedup": substrings.SQL, "op5_secret_scan": secrets.SQL, "op8_warc": warc.SQL, "op10_url_filter": urls.SQL}
+    return {
+        "op1_decontamination": decontam.SQL, "op2_quality_rules": quality.SQL, "op4_substring_dedup": substrings.SQL, "op5_secret_scan": secrets.SQL, "op8_warc": warc.SQL,
+        "op10_url_filter": urls.SQL, "op11_lexical_search": ranking.SQL, "op12_conversation_repair": repair.SQL, "op13_source_mixing": mixing.SQL,
+    }
