@@ -7,9 +7,10 @@ so any file system Spark knows can hold them.
 The salvage reader takes the bytes of an archive, plain or of gzip members. After a failed check (version line, header,
 Content-Length, separator, digest, gzip) it searches for the next valid member or version line, goes on from there, and
 logs the bytes passed over as a quarantined gap. A sound member with damaged records gives its sound ones, the gaps in it
-logged by its place. A broken member gives the sound records before its break, but for one that ends right at it, as no
-checksum vouches for that; its bytes are a gap. Time is linear in the archive's bytes: members are inflated block by block, and
-the search for a place to go on never looks at the same bytes twice.
+logged by its place. A broken member gives the sound records before its break, but for one that ends right at it without a digest
+of its own, as no checksum vouches for that; each broken member's bytes are a gap. Time is linear in the archive's bytes, but for
+digests of records that claim each other's bytes: members are inflated block by block, each mark is searched for once, and a header
+that failed isn't read again from a later version line in it.
 
 Edge cases: null html is an empty payload. A null url is written as an empty target. Very long pages: files are cut by
 size classes, so an archive is at most about ARCHIVE_BYTES, or one record. Ties: repeated rows with one page_id and
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.shared import fresh_path, sized_stash, small, stash, table
+from memlake.shared import fresh_path, make_path, sized_stash, small, stash, table
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -62,31 +63,70 @@ def record(page_id, url, payload: bytes, refers_to) -> bytes:
     return b"\r\n".join([*lines, b"Content-Length: %d" % len(block)]) + END + block
 
 
-def _plain(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
+class _Next:
+    """The next place of a mark, each byte looked at once."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.at = data, mark, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            found = self.data.find(self.mark, at + 1)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+class _Heads:
+    """Ends of headers, and what is known of the one looked at last: version lines below `dead` that end at `stop` fail."""
+
+    def __init__(self, data: bytes):
+        self.ends, self.stop, self.dead = _Next(data, END), -1, 0
+
+
+def _plain(data: bytes, at: int, heads: _Heads) -> tuple[dict, bytes, int] | None:
     """Headers, block and end of the record that begins at `at`; None if a check fails."""
     if not re.match(rb"WARC/\d\.\d\r\n", data[at : at + 10]):
         return None
-    stop = data.find(END, at, at + MAX_HEADER)
-    if stop < 0:
+    stop = heads.ends.after(at)
+    if stop == len(data) or stop - at > MAX_HEADER or stop == heads.stop and at < heads.dead:
+        return None
+    found = _record(data, at, stop)
+    if isinstance(found, int):
+        heads.stop, heads.dead = stop, found
         return None
-    head = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    return found
+
+
+def _record(data: bytes, at: int, stop: int) -> tuple[dict, bytes, int] | int:
+    """The record whose header ends at `stop`; if a check fails, the place below which no version line with this header's end can do.
+
+    Of a name that comes twice the last value counts, so a header that begins later has the same values or fewer.
+    """
+    head, line_at = {}, data.index(b"\r\n", at) + 2
+    while line_at < stop:
+        line_end = data.find(b"\r\n", line_at, stop)
+        line = data[line_at : line_end if line_end >= 0 else stop]
         name, colon, value = line.partition(b":")
         if not colon:
-            return None
+            return line_at
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        line_at += len(line) + 2
     if not re.fullmatch(r"\d+", head.get("content-length", "")) or not head.get("warc-type") or not head.get("warc-record-id"):
-        return None
+        return stop
     begin, size = stop + len(END), int(head["content-length"])
     if begin + size + len(END) > len(data) or data[begin + size : begin + size + len(END)] != END:
-        return None
+        return stop
     block = data[begin : begin + size]
-    told = head.get("warc-payload-digest", "")
-    if head.get("warc-type") == "response" and told.startswith("sha1:") and told[5:] != digest(block):
-        return None
+    if _vouched(head) and head["warc-payload-digest"][5:] != digest(block):
+        return stop
     return head, block, begin + size + len(END)
 
 
+def _vouched(head: dict) -> bool:
+    """A record whose own digest covers its block."""
+    return head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:")
+
+
 def _number(text: str | None) -> int | None:
     return int(text) if re.fullmatch(r"\d+", text or "") else None
 
@@ -128,26 +168,13 @@ class Gap(tuple):
     inner: tuple = ()
 
 
-class _Next:
-    """The next place of a mark, each byte looked at once."""
-
-    def __init__(self, data: bytes, mark: bytes):
-        self.data, self.mark, self.at = data, mark, -1
-
-    def after(self, at: int) -> int:
-        if self.at <= at:
-            found = self.data.find(self.mark, at + 1)
-            self.at = found if found >= 0 else len(self.data)
-        return self.at
-
-
 def salvage(data: bytes, inside: bool = False) -> tuple[list[tuple[dict, bytes, int]], list[tuple[int, int]]]:
     """All sound records of an archive (headers, block, place), and the gaps (begin, end) of bytes that belong to none.
 
     `inside` tells that the bytes are a member's content, which holds no further members.
     """
     records, gaps, at, bad = [], [], 0, None
-    marks = [_Next(data, b"WARC/")] + ([] if inside else [_Next(data, GZIP)])
+    marks, heads = [_Next(data, b"WARC/")] + ([] if inside else [_Next(data, GZIP)]), _Heads(data)
 
     def close(end: int) -> None:
         nonlocal bad
@@ -156,7 +183,7 @@ def salvage(data: bytes, inside: bool = False) -> tuple[list[tuple[dict, bytes,
             bad = None
 
     while at < len(data):
-        if got := _plain(data, at):
+        if got := _plain(data, at, heads):
             close(at)
             records.append((got[0], got[1], at))
             at = got[2]
@@ -175,7 +202,10 @@ def salvage(data: bytes, inside: bool = False) -> tuple[list[tuple[dict, bytes,
                 continue
             if not sound:
                 tail = inner_gaps[-1][1] == len(content) if inner_gaps else False
-                records += [(h, b, at) for h, b, _ in (inner if tail else inner[:-1])]
+                kept = inner if tail or inner and _vouched(inner[-1][0]) else inner[:-1]
+                if kept:
+                    close(at)
+                    records += [(h, b, at) for h, b, _ in kept]
         if bad is None:
             bad = at
         at = min(m.after(at) for m in marks)
@@ -206,6 +236,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     of_row = sum((F.octet_length("html") > c).cast("int") for c in CLASSES)
+    make_path(pages.sparkSession, path)
     for k, most in largest.items():
         part = marked if len(largest) == 1 else marked.where(of_row == k)
         text = part.mapInArrow(records, "value binary").select(F.col("value").cast("string"))

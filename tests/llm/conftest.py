@@ -6,6 +6,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
 BENCH = "item_id long, text string"
 LABELS = "doc_id long, quality int, toxic int"
+TURNS = "conv_id long, turn long, role string, text string"
 
 
 @pytest.fixture
@@ -13,7 +14,7 @@ def make(spark, tmp_path):
     """Writes tables to a folder: make(documents=rows, ...)."""
 
     def run(extra=False, **tables):
-        schemas = {"documents": DOCS, "pages": PAGES, "benchmark": BENCH, "labels": LABELS}
+        schemas = {"documents": DOCS, "pages": PAGES, "benchmark": BENCH, "labels": LABELS, "conversations": TURNS}
         for name, schema in schemas.items():
             df = spark.createDataFrame(tables.get(name, []), schema)
             if extra:
