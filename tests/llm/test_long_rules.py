@@ -71,7 +71,7 @@ def _brute_rules(rows, support, confidence):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("open_tokens", [14, 0])
+@pytest.mark.parametrize("open_tokens", [14, 3])
 def test_mining_is_brute_force(spark, monkeypatch, seed, open_tokens):
     rng = random.Random(seed)
     rows = []
@@ -81,10 +81,10 @@ def test_mining_is_brute_force(spark, monkeypatch, seed, open_tokens):
         bad = {"h=a", "h=c"} <= set(ts) or {"h=b", "h=d", "h=e"} <= set(ts) or rng.random() < 0.1
         rows.append((ts, bad))
     rows += [([], True), ([], False)]
-    monkeypatch.setattr(urls, "OPEN_TOKENS", open_tokens)  # 0: rules of up to MAX_RULE tokens
-    got = {frozenset(r["need"]): round(r["confidence"], 9) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.8).collect()}
+    monkeypatch.setattr(urls, "OPEN_TOKENS", open_tokens)  # 3: combinations grow token by token
+    got = {frozenset(r["need"]): round(r["confidence"], 9) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.8, 1).collect()}
     want = _brute_rules(rows, 0.02, 0.8)
-    assert got == {k: v for k, v in want.items() if open_tokens or len(k) <= urls.MAX_RULE} and any(len(k) == 3 for k in got)
+    assert got == want and any(len(k) == 3 for k in got)
 
 
 def test_long_templates_end(spark):
@@ -95,3 +95,43 @@ def test_long_templates_end(spark):
         began = time.time()
         got = [frozenset(r["need"]) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()]
         assert frozenset({"p=x0"}) in got and time.time() - began < 60
+
+
+def _four_tokens(wide):
+    """Only four tokens together are bad; `wide` more URLs have 16 open tokens."""
+    rows = []
+    for i in range(960):
+        a, b, c, e = (i >> s & 1 for s in range(4))
+        rows.append((i, f"http://{'sub' if a else 'www'}.{'host' if b else 'other'}.org/{'xx' if c else 'en'}/{'yy' if e else 'de'}/{i}", int(a and b and c and e)))
+    parts = [f"q{k}" for k in range(16)]
+    for j in range(wide):
+        rows.append((1000 + j, "http://wide.org/" + "/".join(p for k, p in enumerate(parts) if (k + j) % (wide + 2))[:400], j % 2))
+    return rows
+
+
+def test_wide_urls_cap_no_rule(spark, make):
+    """The rule of four tokens stands, whatever wide URLs are there; all verdicts are the SQL's, which tries all combinations."""
+    for wide in (3, 40):
+        rows = _four_tokens(wide)
+        d = make(pages=[(i, u, "") for i, u, _ in rows], labels=[(i, 1, bad) for i, _, bad in rows])
+        got = {r["page_id"]: r["verdict"] for r in urls.query(spark, d).collect()}
+        assert {i for i, v in got.items() if v == "block" and i < 1000} == {i for i, _, bad in rows if bad and i < 1000}
+        if wide == 3:
+            same(urls.query(spark, d), d, urls.SQL)
+
+
+def test_very_wide_urls_end(spark, make):
+    """URLs of 2,000 parts, alike and in many mixes."""
+    rng = random.Random(2)
+    rows = [(i, "http://h.org/" + "/".join(f"p{k}" for k in range(2000) if i % 2 or rng.random() < 0.9), i % 2) for i in range(24)]
+    d = make(pages=[(i, u, "") for i, u, _ in rows], labels=[(i, 1, bad) for i, _, bad in rows])
+    assert {r["page_id"] for r in urls.query(spark, d).where("verdict = 'block'").collect()} >= set()
+
+
+def test_few_hits_are_no_rule(spark, make):
+    """Four bad pages are too few for a rule, five are enough."""
+    for n in (4, 5):
+        rows = [(i, f"http://x.org/{'odd' if i < n else 'en'}/{i}", int(i < n)) for i in range(200)]
+        d = make(pages=[(i, u, "") for i, u, _ in rows], labels=[(i, 1, bad) for i, _, bad in rows])
+        assert urls.query(spark, d).where("verdict = 'block'").count() == (n if n == 5 else 0)
+        same(urls.query(spark, d), d, urls.SQL)

@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
     same(catalog.queries()[name](spark, SF), SF, catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - {"op8_warc", "op10_url_filter", "op1_decontamination"}))
+@pytest.mark.parametrize("name", sorted({"op2_quality_rules", "op4_substring_dedup", "op5_secret_scan"}))
 @pytest.mark.parametrize("extra", [False, True])
 def test_hard_rows(spark, make, name, extra):
     d = make(documents=HARD, extra=extra)
@@ -26,6 +26,18 @@ def test_hard_rows(spark, make, name, extra):
     same(got, d, catalog.oracle_sql()[name])
 
 
+PAGES = [(1, "http://A.org/es/x", "a"), (2, None, None), (2, None, None), (None, "http://b.net/de/1", "a"), (3, "", ""), (4, "http://h.org/" + "p/" * 20000, "long " * 20000), (5, "no scheme", "a")]
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op8_warc", "op10_url_filter"])
+@pytest.mark.parametrize("extra", [False, True])
+def test_hard_rows_of_other_tables(spark, make, name, extra):
+    bench = [(1, prose(60, 1)), (2, None), (3, ""), (None, prose(20, 3)), (4, prose(60, 1))]
+    labels = [(1, 0, None), (None, 0, 1), (2, None, None), (4, 1, 0), (4, 0, 0)]
+    d = make(documents=HARD, benchmark=bench, pages=PAGES, labels=labels, extra=extra)
+    same(catalog.queries()[name](spark, d), d, catalog.oracle_sql()[name])
+
+
 def test_empty_tables(spark, make):
     d = make()
     for name, q in catalog.queries().items():
