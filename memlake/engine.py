@@ -155,13 +155,8 @@ class Engine:
         c, m = self.config, self.store.read("memories").where("is_active")
         e = self.store.read("embeddings").where(F.col("embedding_model") == self.embedder.model)
         v = m.join(e, m["id"] == e["memory_id"]).select(m["id"], F.when(F.col("scope") == "global", "global").otherwise(F.concat(F.lit("project:"), F.coalesce("project_id", F.lit("")))).alias("part"), F.col("embedding").alias("vector"), *[tx.similarity_tokens(x).alias(a) for x, a in ((F.col("title"), "tt"), (F.col("body"), "tb"), (F.concat_ws("\n", "title", "body"), "tx"))], F.coalesce("lineage_refs", F.array().cast("array<long>")).alias("lin"))
-        a = v.select([F.col(x).alias(f"a_{x}") for x in v.columns])
-        b = v.select([F.col(x).alias(f"b_{x}") for x in v.columns])
-        p = a.join(b, (F.col("a_part") == F.col("b_part")) & (F.col("a_id") < F.col("b_id")))
-        near = vx.distance(F.col("a_vector"), F.col("b_vector"))
-        words = cluster.alike(F.col("a_tt"), F.col("a_tb"), F.col("a_tx"), F.col("b_tt"), F.col("b_tb"), F.col("b_tx"), cluster.ALIKE)
-        pairs = p.where(near.isNotNull() & ((near <= c.memory_cluster_distance_threshold) | words | F.arrays_overlap("a_lin", "b_lin"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-        found = cluster.dbscan(v.select("id"), pairs, c.memory_cluster_min_size)
+        links = cluster.cluster_links(v, c.memory_cluster_distance_threshold, c.memory_cluster_min_size, cluster.ALIKE)
+        found = cluster.dbscan(v.select("id"), links, c.memory_cluster_min_size)
         return cluster.densest(found, v.select("id", "vector"), c.memory_cluster_max_size)
 
     def consolidate(self) -> int | None:

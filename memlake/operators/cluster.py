@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
-from memlake.functions.vectors import distance
 from memlake.operators.components import components
-from memlake.shared import stash
+from memlake.operators.neighbours import near_pairs, sound
+from memlake.shared import sized_stash, small, stash
 
 EPSILON, MIN_SIZE, MAX_SIZE = 0.21125, 3, 5
 #: Overlaps at which two memories of a cluster are alike in words, and duplicates.
@@ -20,17 +18,6 @@ ALIKE = {"title": 0.45, "body": 0.25, "text_with_title": 0.35, "text": 0.45}
 DUPLICATE = {"title": 0.65, "body": 0.30, "text_with_title": 0.40, "text": 0.72}
 
 
-def near_pairs(vectors: DataFrame, key: str, part: str, vector: str, epsilon: float = EPSILON) -> DataFrame:
-    """(part, a, b, distance), a < b: pairs of one part at most epsilon apart.
-
-    Both sides meet in the part by an equi-join; the distance is judged in the join's output.
-    """
-    left = vectors.select(F.col(part).alias("part"), F.col(key).alias("a"), F.col(vector).alias("va"))
-    right = vectors.select(F.col(part).alias("part"), F.col(key).alias("b"), F.col(vector).alias("vb"))
-    pairs = left.join(right, (left["part"].eqNullSafe(right["part"])) & (F.col("a") < F.col("b"))).select(left["part"], "a", "b", distance(F.col("va"), F.col("vb")).alias("distance"))
-    return pairs.where(F.col("distance") <= epsilon)
-
-
 def dbscan(nodes: DataFrame, pairs: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     """(id, cluster, is_core) of clustered nodes (id) under links (a, b), a < b; a cluster is named by its smallest core.
 
@@ -48,23 +35,44 @@ def dbscan(nodes: DataFrame, pairs: DataFrame, min_size: int = MIN_SIZE) -> Data
     return named.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
 
 
+def _sums(members: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (cluster, id, u unit vector) of members that have a direction, and (cluster, n, s sum of their unit vectors)."""
+    v = F.col("vector").cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = vectors.select("id", F.when(norm > 0, F.transform(v, lambda x: x / norm)).alias("u"))
+    rows = stash(members.select("cluster", "id").join(unit, "id").where("u IS NOT NULL"), "units")
+    places = rows.select("cluster", F.posexplode("u").alias("k", "x")).groupBy("cluster", "k").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = places.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("s"))
+    return rows, sums
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def densest(members: DataFrame, vectors: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
-    """(cluster, id, mean_distance, place): of each cluster the max_size members of least mean distance to the others, in that order."""
-    m = members.select("cluster", "id").join(vectors.select("id", "vector"), "id")
-    a, b = m.select("cluster", F.col("id").alias("a"), F.col("vector").alias("va")), m.select("cluster", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(b, "cluster").where("a <> b").select("cluster", F.col("a").alias("id"), distance(F.col("va"), F.col("vb")).alias("d"))
-    means = pairs.groupBy("cluster", "id").agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_distance"))
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("mean_distance", "id"))
+    """(cluster, id, mean_distance, place): of each cluster the max_size members of least mean distance to the others, in that order.
+
+    The mean distance of unit vector u to the n - 1 others is 1 - (u . s - 1) / (n - 1), with s the sum of all n; no pairs are made.
+    """
+    rows, sums = _sums(members, vectors)
+    sums, size = sized_stash(sums, "sums")
+    mean = F.when(F.col("n") > 1, 1 - (_dot(F.col("u"), F.col("s")) - 1) / (F.col("n") - 1))
+    means = rows.join(small(sums, size), "cluster").select("cluster", "id", mean.alias("mean_distance")).where("mean_distance IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("mean_distance", 12), "id"))
     return means.withColumn("place", place).where(F.col("place") <= max_size)
 
 
 def cluster_order(chosen: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(cluster, size, mean_distance): clusters by size, then by mean distance of their pairs, then by name."""
-    m = chosen.select("cluster", "id").join(vectors.select("id", "vector"), "id")
-    a, b = m.select("cluster", F.col("id").alias("a"), F.col("vector").alias("va")), m.select("cluster", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(b, "cluster").where("a < b").groupBy("cluster").agg(F.avg(distance(F.col("va"), F.col("vb"))).alias("mean_distance"))
+    """(cluster, size, mean_distance): clusters by size, then by mean distance of their pairs, then by name.
+
+    The n (n - 1) / 2 pairs' cosines sum to (s . s - n) / 2, with s the sum of the unit vectors.
+    """
+    _, sums = _sums(chosen, vectors)
+    n, s = F.col("n"), F.col("s")
+    pairs = sums.select("cluster", F.when(n > 1, 1 - (_dot(s, s) - n) / (n * (n - 1))).alias("mean_distance"))
     sizes = chosen.groupBy("cluster").agg(F.count("*").alias("size")).join(pairs, "cluster", "left").withColumn("mean_distance", F.coalesce("mean_distance", F.lit(0.0)))
-    return sizes.orderBy(F.desc("size"), "mean_distance", "cluster")
+    return sizes.orderBy(F.desc("size"), F.round("mean_distance", 12), "cluster")
 
 
 def alike(lt: Column, lb: Column, lx: Column, rt: Column, rb: Column, rx: Column, limits: dict) -> Column:
@@ -74,24 +82,52 @@ def alike(lt: Column, lb: Column, lx: Column, rt: Column, rb: Column, rx: Column
     return by_title | (whole >= limits["text"])
 
 
+def _prefixes(sets: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """(id, part, n, at, w) of `sets` (id, part, t distinct hashes): the rarest tokens of each set, by which sets of this overlap must meet.
+
+    Two sets that overlap by the threshold share one of each one's first n - ceil(threshold n) + 1 tokens in the order of their numbers of sets.
+    """
+    counts = sets.select("part", F.explode("t").alias("w")).groupBy("part", "w").agg(F.count("*").alias("c"))
+    words = sets.select("id", "part", F.explode("t").alias("w")).join(counts, ["part", "w"])
+    ordered = words.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    return stash(ordered.select("id", "part", n.alias("n"), F.posexplode(first).alias("at", "x")).select("id", "part", "n", "at", F.col("x.w").alias("w")), tag)
+
+
+def _hashed(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x))))
+
+
+def _meetings(prefix: DataFrame, threshold: float, band: float = 1.1) -> DataFrame:
+    """(a, b), a < b: sets of one part that can overlap by the threshold, from prefixes.
+
+    Sizes lie in bands of a factor, and a set meets only sets of bands that its size allows, so a token of many sets is dealt to
+    many groups. At its first common token a pair has at most as many more as either set has left; too few, and it is dropped.
+    """
+    def of(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(band)) + 1e-9).cast("int")
+
+    least = F.col("n") * threshold - 1e-9
+    a = prefix.select("part", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.explode(F.sequence(of(F.greatest(least, F.lit(1.0))), of(F.col("n")))).alias("band"))
+    b = prefix.select("part", "w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), of(F.col("n")).alias("band"))
+    sizes = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    enough = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    met = a.join(b, ["part", "w", "band"]).where(sizes & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def jaccard_pairs(docs: DataFrame, key: str, part: str, tokens: str, threshold: float, copies: bool = True) -> DataFrame:
     """(a, b, jaccard) of rows of one part whose token sets overlap by `threshold` or more.
 
-    Equal token sets form a class first; class representatives meet on the rare tokens of their prefixes: sets that
-    overlap by t share a token among each one's first n - ceil(t n) + 1 tokens in the order of global rarity. So common
-    tokens never join. Copies are expanded at the end as representative and member, not as all pairs; without `copies` only
-    pairs of representatives are returned.
+    Equal token sets form a class first; class representatives meet on the rare tokens of their prefixes, so common tokens
+    never join, and sizes and places leave only pairs that can overlap enough; these are checked on whole sets of hashes. Copies
+    come as representative and member, not as all pairs; without `copies` only pairs of representatives are returned.
     """
-    rows = stash(docs.select(F.col(key).alias("id"), F.col(part).alias("part"), F.array_sort(F.col(tokens)).alias("t")).where(F.size("t") > 0), "sets")
+    rows = stash(docs.select(F.col(key).alias("id"), F.col(part).alias("part"), _hashed(F.col(tokens)).alias("t")).where(F.size("t") > 0), "sets")
     classes = stash(rows.groupBy("part", "t").agg(F.min("id").alias("rep")), "classes")
-    counts = classes.select("part", F.explode("t").alias("w")).groupBy("part", "w").agg(F.count("*").alias("n"))
-    spread = classes.select("rep", "part", F.explode("t").alias("w")).join(counts, ["part", "w"]).groupBy("rep", "part").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    size = F.size("o")
-    prefix = spread.select("rep", "part", size.alias("size"), F.explode(F.slice("o", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("p")).select("rep", "part", "size", F.col("p.w").alias("w"))
-    a = prefix.select("part", "w", F.col("rep").alias("a"), F.col("size").alias("sa"))
-    b = prefix.select("part", "w", F.col("rep").alias("b"), F.col("size").alias("sb"))
-    close = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)
-    met = a.join(b, ["part", "w"]).where(close).select("a", "b").distinct()
+    met = stash(_meetings(_prefixes(classes.select(F.col("rep").alias("id"), "part", "t"), threshold, "prefixes"), threshold), "met")
     sets = classes.select("rep", "t")
     pairs = met.join(sets.withColumnsRenamed({"rep": "a", "t": "ta"}), "a").join(sets.withColumnsRenamed({"rep": "b", "t": "tb"}), "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
     if not copies:
@@ -101,52 +137,93 @@ def jaccard_pairs(docs: DataFrame, key: str, part: str, tokens: str, threshold:
     return pairs.unionByName(members)
 
 
+def alike_pairs(rows: DataFrame, limits: dict) -> DataFrame:
+    """(a, b), a < b: rows (id, part, tt, tb, tx token sets of title, body and both) of one part that are alike() by `limits`.
+
+    Candidates share a rare token of the whole text, or one of the title together with one of the body; common titles alone
+    make no pairs.
+    """
+    sets = stash(rows.select("id", "part", *[_hashed(F.col(c)).alias(c) for c in ("tt", "tb", "tx")]), "texts")
+    of = lambda c, t: _prefixes(sets.select("id", "part", F.col(c).alias("t")).where(F.size("t") > 0), t, "prefixes")
+    whole = min(limits["text"], limits["text_with_title"])
+    met = _meetings(of("tx", whole), whole)
+    title, body = of("tt", limits["title"]), of("tb", limits["body"])
+    both = title.select("id", "part", F.col("w").alias("wt")).join(body.select("id", F.col("w").alias("wb")), "id")
+    a, b = both.withColumnRenamed("id", "a"), both.withColumnRenamed("id", "b")
+    met = stash(met.unionByName(a.join(b, ["part", "wt", "wb"]).where("a < b").select("a", "b")).distinct(), "met")
+    one, two = (sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("tt", "tb", "tx")]) for x in "ab")
+    cols = [F.col(f"{x}_{c}") for x in "ab" for c in ("tt", "tb", "tx")]
+    return met.join(one, "a").join(two, "b").where(alike(*cols, limits)).select("a", "b")
+
+
 def greedy_losers(memories: DataFrame, limits: dict = DUPLICATE) -> DataFrame:
-    """(id, kept_id): memories that lose to a duplicate, as a scan in id order finds them.
+    """(id, kept_id): memories (id unique, scope, project_id, title, body) that lose to a duplicate, as a scan in id order finds them.
 
-    The scan depends on its own earlier decisions, so each group (scope, project) is scanned in one task; candidate pairs come
-    from tokens shared within the group, so a group's memory use follows its pairs, not its square.
+    The scan takes each memory that is still there in turn and holds it against the later alike ones of its scope and project that are
+    still there, in order: the one with less information goes, the later one on a tie; when it goes itself, the scan goes on with the next.
+    Here all memories whose smaller rivals are gone are taken at once, up to the first rival that still waits for another one, in
+    rounds until no pair is left. A group of copies is over in a round; a chain of n memories, each like the next only, takes up to n.
+    """
+    info = tx.information_score(F.col("title"), F.col("body"))
+    part = F.struct("scope", "project_id")
+    cols = memories.where("id IS NOT NULL").select("id", F.to_json(part).alias("part"), *[tx.similarity_tokens(x).alias(a) for x, a in ((F.col("title"), "tt"), (F.col("body"), "tb"), (F.concat_ws("\n", "title", "body"), "tx"))], info.alias("info"))
+    cols = stash(cols, "memories")
+    score = cols.select("id", "info")
+    pairs = alike_pairs(cols, limits).join(score.withColumnsRenamed({"id": "a", "info": "ia"}), "a").join(score.withColumnsRenamed({"id": "b", "info": "ib"}), "b").select("a", "b", (F.col("ib") > F.col("ia")).alias("beats"))
+    open_, out = stash(pairs, "rivals"), None
+    while open_.limit(1).count():
+        ready = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        blocked = open_.join(ready, "a", "left_anti").groupBy("b").agg(F.min("a").alias("other"))
+        mine = open_.join(ready, "a").join(blocked, "b", "left").join(open_.join(ready, "a").groupBy("b").agg(F.min("a").alias("first")), "b")
+        # A rival is settled before `a` meets it unless a smaller memory, ready or not, may still meet it first.
+        waits = (F.col("other") < F.col("a")) | (F.col("first") < F.col("a"))
+        stop = mine.groupBy("a").agg(F.min(F.when(F.coalesce(waits, F.lit(False)), F.col("b"))).alias("wait"), F.min(F.when(F.col("beats"), F.col("b"))).alias("lost"))
+        met = mine.select("a", "b", "beats").join(stop, "a").where((F.col("wait").isNull() | (F.col("b") < F.col("wait"))) & (F.col("lost").isNull() | (F.col("b") <= F.col("lost"))))
+        gone = stash(met.select(F.when(F.col("beats"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("beats"), F.col("b")).otherwise(F.col("a")).alias("kept_id")), "losers")
+        out = gone if out is None else out.unionByName(gone)
+        over = gone.select("id")
+        open_ = stash(open_.join(over.withColumnRenamed("id", "a"), "a", "left_anti").join(over.withColumnRenamed("id", "b"), "b", "left_anti"), "rivals")
+    return memories.select("id", F.col("id").alias("kept_id")).where(F.lit(False)) if out is None else out
+
+
+def _firsts(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, first): the n smallest distinct ids of each group of `rows` (keys, id); no more than n of a group leave a task."""
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("id"))
+    return rows.withColumn("place", place).where(F.col("place") <= n).groupBy(*keys).agg(F.array_sort(F.collect_set("id")).alias("first"))
+
+
+def _stars(groups: DataFrame, n: int) -> DataFrame:
+    """(a, b), a < b: each row of `groups` (g, id) with the first n of its group."""
+    links = groups.join(_firsts(groups, ["g"], n), "g").select("id", F.explode("first").alias("to")).where("id <> to")
+    return links.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+
+
+def cluster_links(rows: DataFrame, epsilon: float = EPSILON, min_size: int = MIN_SIZE, limits: dict | None = None) -> DataFrame:
+    """(a, b), a < b: links from which dbscan() finds the clusters of `rows` (id, part, vector; with `limits` tt, tb, tx and lin too).
+
+    Rows of a part are neighbours if their vectors are at most epsilon apart; with `limits` also if they are alike in words or share a
+    number of their lineage `lin`. Only rows with a direction, and of one length, can be. Rows that are equal in all of this form a class, and
+    only classes are compared. A class, or the rows of one lineage number, isn't spelled out in pairs: each row is linked to the first
+    min_size rows, which leaves the cores, their components and what borders on them as they are.
     """
-    cols = memories.select("id", "scope", "project_id", "title", "body").withColumn("info", tx.information_score(F.col("title"), F.col("body")))
-
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id").reset_index(drop=True)
-        sets = [[_tokens(x) for x in g[c]] for c in ("title", "body")] + [[_tokens(f"{t}\n{b}") for t, b in zip(g["title"], g["body"], strict=True)]]
-        gone, out = np.zeros(len(g), bool), []
-        where: dict[str, list[int]] = {}
-        for i, s in enumerate(sets[2]):
-            for w in s:
-                where.setdefault(w, []).append(i)
-        for i in range(len(g)):
-            if gone[i]:
-                continue
-            for j in sorted({j for w in sets[2][i] for j in where[w] if j > i}):
-                if gone[j] or not _alike(sets, i, j, limits):
-                    continue
-                loser, winner = (j, i) if g["info"][j] <= g["info"][i] else (i, j)
-                gone[loser] = True
-                out.append((g["id"][loser], g["id"][winner]))
-                if loser == i:
-                    break
-        return pd.DataFrame(out, columns=["id", "kept_id"])
-
-    return cols.groupBy("scope", "project_id").applyInPandas(scan, "id long, kept_id long")
-
-
-def _tokens(text: str | None) -> frozenset:
-    import re
-
-    parts = re.split("[^A-Za-z0-9]+", text or "")
-    return frozenset(p.lower() for p in parts if len(p) > 1) - frozenset(tx.STOP_WORDS)
-
-
-def _share(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def _alike(sets: list, i: int, j: int, limits: dict) -> bool:
-    title, body, whole = (_share(s[i], s[j]) for s in sets)
-    return title >= limits["title"] and (body >= limits["body"] or whole >= limits["text_with_title"]) or whole >= limits["text"]
+    extra = ["tt", "tb", "tx", "lin"] if limits else []
+    known = sound(rows, "id", "part", "vector").select("id", "v", "node")
+    full = known.join(rows.select("id", *extra), "id") if limits else known
+    named = stash(full, "rows")
+    same = ["node", "v", *extra]
+    classes = stash(_firsts(named.select(*same, "id"), same, min_size).withColumn("rep", F.col("first")[0]), "classes")
+    members = stash(named.join(classes.select(*same, "rep"), same).select("id", "rep"), "members")
+    reps = classes.select(F.col("rep").alias("id"), F.col("node").alias("part"), *[c for c in same if c != "node"])
+    pairs = near_pairs(reps.withColumnRenamed("v", "vector"), "id", "part", "vector", epsilon).select("a", "b")
+    if limits:
+        pairs = pairs.unionByName(alike_pairs(reps, limits))
+        of_line = reps.select("part", "id", F.explode(F.array_distinct("lin")).alias("line"))
+        pairs = pairs.unionByName(_stars(of_line.select(F.xxhash64("part", "line").alias("g"), "id"), min_size))
+    firsts = classes.select("rep", "first")
+    pairs = stash(pairs.distinct(), "class-links")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    links = both.join(members.select(F.col("rep").alias("a"), "id"), "a").join(firsts.withColumnRenamed("rep", "b"), "b").select("id", F.explode("first").alias("to")).where("id <> to")
+    return links.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
 def sequential_dbscan(n: int, near: list[set[int]], min_size: int) -> dict[int, int]:

@@ -70,7 +70,7 @@ def vector_recall_topk(spark, sf):
     return _hits(spark, sf, 5).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), _r6("similarity").alias("similarity"))
 
 
-@_query(f"WITH {_hits_sql(1000000)} SELECT query_id, count(*) AS n FROM h GROUP BY query_id")
+@_query(f"WITH {_hits_sql(1)} SELECT query_id, count(*) AS n FROM s WHERE similarity >= 0.3 GROUP BY query_id")
 def vector_threshold_count(spark, sf):
     return vx.count_over(_memories(spark, sf).where("is_active"), _ask(spark, sf), "memory_id", "embedding", 0.3)
 
@@ -188,8 +188,8 @@ mem AS (FROM core UNION ALL FROM bord)"""
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    return cluster.dbscan(v.select(F.col("vec_id").alias("id")), stash(cluster.near_pairs(v, "vec_id", "label", "embedding", 0.7), "near"), 3)
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vector"))
+    return cluster.dbscan(v, cluster.cluster_links(v, 0.7, 3), 3)
 
 
 @_query(f"WITH RECURSIVE {_DB} SELECT id, cluster, is_core FROM mem")
@@ -219,14 +219,28 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring(F.get(F.split(text, "\n"), F.lit(0)), 1, 80).alias("title"), text.alias("body"), F.lit("project").alias("scope"), F.col("source").alias("project_id"), "lang")
 
 
-@_query(f"""WITH c AS (SELECT lang, t, min(doc_id) AS rep FROM (SELECT doc_id, lang, list_sort({_TOK.format("text")}) AS t FROM documents) WHERE len(t) > 0 GROUP BY ALL)
-SELECT a, b, round(j, 6) AS jaccard FROM (SELECT x.rep AS a, y.rep AS b, {_JAC.format("x.t", "y.t")} AS j FROM c x JOIN c y ON x.lang = y.lang AND x.rep < y.rep AND len(x.t) >= 0.72 * len(y.t) AND len(y.t) >= 0.72 * len(x.t)) WHERE j >= 0.72""")
+@_query(f"""WITH r AS (SELECT doc_id, lang, t FROM (SELECT doc_id, lang, list_sort({_TOK.format("text")}) AS t FROM documents) WHERE len(t) > 0), c AS (SELECT lang, t, min(doc_id) AS rep FROM r GROUP BY ALL)
+SELECT a, b, round(j, 6) AS jaccard FROM (SELECT x.rep AS a, y.rep AS b, {_JAC.format("x.t", "y.t")} AS j FROM c x JOIN c y ON x.lang = y.lang AND x.rep < y.rep AND len(x.t) >= 0.72 * len(y.t) AND len(y.t) >= 0.72 * len(x.t)) WHERE j >= 0.72
+UNION ALL SELECT c.rep, r.doc_id, 1.0 FROM r JOIN c ON r.lang IS NOT DISTINCT FROM c.lang AND r.t = c.t WHERE r.doc_id <> c.rep""")
 def jaccard_duplicates(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang", tx.similarity_tokens(F.col("text")).alias("t"))
-    return cluster.jaccard_pairs(rows, "doc_id", "lang", "t", 0.72, copies=False).select("a", "b", _r6("jaccard").alias("jaccard"))
+    return cluster.jaccard_pairs(rows, "doc_id", "lang", "t", 0.72).select("a", "b", _r6("jaccard").alias("jaccard"))
 
 
-@_query(None)
+_ALIKE = "(tj >= {title} AND (bj >= {body} OR xj >= {text_with_title}) OR xj >= {text})"
+_SETS = f"SELECT doc_id AS id, source AS part, {_TOK.format(_TITLE)} AS tt, {_TOK.format('text')} AS tb, {_TOK.format(_TITLE + ' || chr(10) || coalesce(text, chr(32))')} AS tx"
+_SHARES = ", ".join(f"{_JAC.format(f'x.{c}', f'y.{c}')} AS {n}" for c, n in (("tt", "tj"), ("tb", "bj"), ("tx", "xj")))
+
+
+@_query(f"""WITH RECURSIVE m AS ({_SETS}, 8 * len(tx) + length(coalesce(text, '')) AS info FROM documents),
+p AS (SELECT part, a, b, beats FROM (SELECT x.part, x.id AS a, y.id AS b, y.info > x.info AS beats, {_SHARES} FROM m x JOIN m y ON x.part = y.part AND x.id < y.id) WHERE {_ALIKE.format(**cluster.DUPLICATE)}),
+s AS (SELECT part, a, list({{'b': b, 'beats': beats}} ORDER BY b) AS rivals, row_number() OVER (PARTITION BY part ORDER BY a) AS i FROM p GROUP BY part, a),
+r AS (SELECT DISTINCT part, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone FROM s
+      UNION ALL SELECT part, i, CASE WHEN list_contains(gone, a) THEN gone ELSE list_concat(gone, list_transform(list_filter(left_, lambda q: stop IS NULL OR q.b < stop), lambda q: q.b), CASE WHEN stop IS NULL THEN [] ELSE [a] END) END
+      FROM (SELECT *, list_min(list_transform(list_filter(left_, lambda q: q.beats), lambda q: q.b)) AS stop FROM (
+        SELECT s.part, s.i, s.a, gone, list_filter(rivals, lambda q: NOT list_contains(gone, q.b)) AS left_ FROM r JOIN s ON s.part = r.part AND s.i = r.i + 1))),
+g AS (SELECT unnest(gone) AS id FROM (SELECT part, max_by(gone, i) AS gone FROM r GROUP BY part))
+SELECT doc_id AS id, source AS project_id FROM documents WHERE doc_id NOT IN (SELECT id FROM g)""")
 def dedupe_survivors(spark, sf):
     m = _texts(spark, sf)
     return m.join(cluster.greedy_losers(m), "id", "left_anti").select("id", "project_id")
@@ -237,6 +251,20 @@ def information_score(spark, sf):
     return _texts(spark, sf).select("id", tx.information_score(F.col("title"), F.col("body")).alias("score"))
 
 
+@_query(f"""WITH RECURSIVE m AS (SELECT q.*, CAST(e.embedding AS DOUBLE[]) AS v, [CAST(vec_id // 3 AS BIGINT)] AS lin FROM ({_SETS} FROM documents) q JOIN embeddings e ON e.vec_id = q.id),
+l0 AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, 1 - list_cosine_similarity(x.v, y.v) AS d, x.lin = y.lin AS line, {_SHARES} FROM m x JOIN m y ON x.part = y.part AND x.id < y.id) WHERE d <= 0.7 OR line OR {_ALIKE.format(**cluster.ALIKE)}),
+l AS (SELECT a, b FROM l0 UNION SELECT b, a FROM l0), c AS (SELECT a AS id FROM l GROUP BY a HAVING count(*) + 1 >= 3), cl AS (SELECT l.a, l.b FROM l WHERE l.a IN (FROM c) AND l.b IN (FROM c)),
+r AS (SELECT id, id AS root FROM c UNION SELECT cl.b, r.root FROM r JOIN cl ON cl.a = r.id), core AS (SELECT id, min(root) AS cluster, true AS is_core FROM r GROUP BY id),
+bord AS (SELECT l.a AS id, min(core.cluster) AS cluster, false AS is_core FROM l JOIN core ON core.id = l.b WHERE l.a NOT IN (FROM c) GROUP BY l.a)
+SELECT id, cluster, is_core FROM core UNION ALL SELECT id, cluster, is_core FROM bord""")
+def memory_clusters(spark, sf):
+    t = _texts(spark, sf)
+    words = [tx.similarity_tokens(x).alias(a) for x, a in ((F.col("title"), "tt"), (F.col("body"), "tb"), (F.concat_ws("\n", "title", "body"), "tx"))]
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.array(F.floor(F.col("vec_id") / 3)).alias("lin"))
+    m = t.select("id", F.col("project_id").alias("part"), *words).join(e, "id")
+    return cluster.dbscan(m, cluster.cluster_links(m, 0.7, 3, cluster.ALIKE), 3)
+
+
 _TERMS = "list_filter(list_distinct(regexp_split_to_array(" + _LOW + ", '[^a-z0-9]+')), lambda t: length(t) >= 3)"
 
 
