@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import cluster, evals, recall, state, tasks, turns
-from memlake.shared import stash, table
+from memlake.shared import fresh_path, stash, table
 from memlake.sources import transcripts
+from memlake.streaming import turns as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,6 +440,26 @@ def marker_dialect_turns(spark, sf):
     return transcripts.marker_turns(transcripts.marker_events(lines)).select(F.col("path").cast("long").alias("session_id"), "ordinal", "turn_id", "status", "display_text")
 
 
+@_query("""WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+e AS (SELECT *, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id, g) AS ending FROM g WHERE g > 0)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS BIGINT) AS ordinal, CAST(min(turn) AS VARCHAR) AS turn_id, CASE WHEN max(ending) % 4 = 3 THEN 'aborted' ELSE 'completed' END AS status,
+  nullif(array_to_string(list(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ORDER BY turn) FILTER (WHERE role = 'system'), chr(10)), '') AS display_text FROM e WHERE turn <= ending GROUP BY conv_id, g""")
+def stream_turns(spark, sf):
+    role, none = F.col("role"), F.lit(None).cast("string")
+    ends = F.when(F.col("turn") % 4 == 3, "task_aborted").otherwise("task_complete")
+    kind = F.when(role == "user", "task_started").when(role == "assistant", ends).otherwise("agent_message")
+    body = F.struct(kind.alias("type"), F.when(role == "user", F.col("turn").cast("string")).alias("turn_id"), F.when(role == "system", F.col("text")).otherwise(none).alias("message"))
+    meta = F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("path").alias("id")).alias("payload"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", F.to_json(F.struct(F.lit("event_msg").alias("type"), body.alias("payload"))).alias("value"))
+    heads = rows.select("path").distinct().select("path", F.lit(None).cast("long").alias("turn"), F.to_json(meta).alias("value"))
+    root, out, state_path = (fresh_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    lines = heads.unionByName(rows).repartition("path").sortWithinPartitions("path", F.asc_nulls_first("turn"))
+    lines.select("path", "value").write.partitionBy("path").text(root)  # a file for each conversation
+    run = streaming.turn_stream(streaming.stream_lines(spark, root, suffix=".txt")).writeStream.format("parquet").option("path", out).option("checkpointLocation", state_path).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out).select("session_id", "ordinal", "turn_id", "status", "display_text")
+
+
 # Tasks.
 
 _TASK_SQL = f"""k AS (SELECT event_id AS id, event_type AS kind, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'parked' ELSE 'queued' END AS status,

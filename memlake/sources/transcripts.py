@@ -5,9 +5,18 @@ Two dialects: `markers` (explicit start, complete and abort events) and `roles`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.sources import ranges
+
+#: Tasks of one reading at most; beyond, a task takes several ranges.
+MOST_TASKS = 20_000
+
 
 def discover(spark: SparkSession, root: str, cursors: DataFrame | None = None, skip_part: str | None = None) -> DataFrame:
     """(path, modificationTime, length) of the JSONL files under `root` that have no cursor, newest first."""
@@ -19,17 +28,39 @@ def discover(spark: SparkSession, root: str, cursors: DataFrame | None = None, s
     return found.orderBy(F.desc("modificationTime"), F.desc("path"))
 
 
-def read_lines(spark: SparkSession, root: str, cursors: DataFrame | None = None) -> DataFrame:
-    """(path, line_no, line_start, line_end, line) of the complete lines after each file's cursor; a cursor past the end is clamped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("path", "length", "content")
+def new_ranges(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """(path, base, begin, end): what each file grew by after its cursor, cut into ranges; a cursor past the end is clamped.
+
+    Lengths come from the listing of files, so a file without new bytes is never opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("path", "length")
+    base = F.lit(0).cast("long")
     if cursors is not None:
-        at = cursors.select(F.col("file_path").alias("path"), F.col("last_byte_offset").alias("_at"))
-        files = files.join(at, "path", "left")
-    else:
-        files = files.withColumn("_at", F.lit(None).cast("long"))
-    start = F.least(F.coalesce("_at", F.lit(0)), F.col("length"))
-    files = files.withColumn("_at", start).withColumn("text", F.expr("cast(substring(content, int(_at) + 1, int(length - _at)) as string)"))
-    return with_offsets(files.select("path", F.col("_at").alias("base"), "text"))
+        files = files.join(cursors.select(F.col("file_path").alias("path"), F.col("last_byte_offset").alias("_at")), "path", "left")
+        base = F.least(F.coalesce("_at", F.lit(0).cast("long")), F.col("length"))
+    grown = files.select("path", "length", base.alias("base")).where("length > base")
+    cut = grown.select("path", "base", "length", F.explode(F.sequence(F.col("base"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
+    return cut.select("path", "base", "begin", F.least(F.col("begin") + range_bytes, "length").alias("end"))
+
+
+def read_lines(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """(path, line_no, line_start, line_end, line) of the complete lines after each file's cursor; line_no is the place of the first byte.
+
+    Each range is a task's work, long files are the work of many; a worker holds a block and a line at a time.
+    """
+    todo = new_ranges(spark, root, cursors, range_bytes)
+    n = todo.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, base, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = ranges.lines_in(path, begin, end, base)
+                while rows := list(islice(found, 2000)):
+                    first, last, raw = zip(*rows, strict=True)
+                    text = [x.rstrip(b"\r").decode("utf-8", "replace") for x in raw]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(first, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(text)], names=["path", "line_no", "line_start", "line_end", "line"])
+
+    return todo.repartition(max(1, min(n, MOST_TASKS))).mapInArrow(run, "path string, line_no long, line_start long, line_end long, line string")
 
 
 def with_offsets(files: DataFrame) -> DataFrame:

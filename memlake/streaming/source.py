@@ -1,70 +1,57 @@
 """A streaming source of complete lines of growing JSONL files, with a byte cursor for each file.
 
-The offset is {path: byte after the last complete line}; a partial last line waits. Each grown file is a partition, read by an
-executor from its cursor on. Paths must be reachable by every machine.
+The offset is {path: byte after the last complete line}; a partial last line waits, and a file that did not grow is not opened. What a
+file grew by is cut into ranges of bounded size, which executors read from the store that holds them.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from memlake.sources import ranges
+
 SCHEMA = "path string, line_start long, line_end long, line string"
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
-
-
-def complete_end(path: str, begin: int, block: int = 1 << 16) -> int:
-    """The byte after the last newline at or after `begin`; `begin` if there is none."""
-    with open(path, "rb") as f:
-        at = f.seek(0, os.SEEK_END)
-        while at > begin:
-            lo = max(begin, at - block)
-            f.seek(lo)
-            found = f.read(at - lo).rfind(b"\n")
-            if found >= 0:
-                return lo + found + 1
-            at = lo
-    return begin
+    def __init__(self, path: str, begin: int, end: int, base: int):
+        self.path, self.begin, self.end, self.base = path, begin, end, base
 
 
 class _Reader(DataSourceStreamReader):
-    def __init__(self, root: str):
-        self.root, self.seen = root, {}
+    def __init__(self, root: str, suffix: str, size: int):
+        self.root, self.suffix, self.size = root, suffix, size
+        self.seen: dict[str, int] = {}
+        self.lengths: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        for folder, _, names in os.walk(self.root):
-            for n in names:
-                if n.endswith(".jsonl"):
-                    p = os.path.join(folder, n)
-                    self.seen[p] = complete_end(p, self.seen.get(p, 0))
+        for path, length in ranges.listing(self.root, self.suffix):
+            if length != self.lengths.get(path):
+                self.seen[path] = ranges.complete_end(path, self.seen.get(path, 0))
+                self.lengths[path] = length
         return dict(sorted(self.seen.items()))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Range(p, start.get(p, 0), e) for p, e in end.items() if e > start.get(p, 0)] or [Range("", 0, 0)]
+        out = []
+        for path, stop in end.items():
+            base = start.get(path, 0)
+            out += [Range(path, at, min(at + self.size, stop), base) for at in range(base, stop, self.size)]
+        return out or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            f.seek(at := partition.begin)
-            while at < partition.end:
-                line = f.readline()
-                yield partition.path, at, at + len(line), line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
+        if partition.path:
+            for begin, end, line in ranges.lines_in(partition.path, partition.begin, partition.end, partition.base):
+                yield partition.path, begin, end, line.rstrip(b"\r").decode("utf-8", "replace")
 
 
 class TranscriptLines(DataSource):
-    """spark.readStream.format("transcript_lines").load(root)"""
+    """spark.readStream.format("transcript_lines").load(root); options `suffix` (.jsonl) and `rangeBytes`."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,7 +61,7 @@ class TranscriptLines(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("suffix", ".jsonl"), int(self.options.get("rangeBytes", ranges.RANGE_BYTES)))
 
 
 def offsets_json(offset: dict) -> str:
