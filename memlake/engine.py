@@ -93,7 +93,7 @@ class Engine:
             raise ValueError("title and body are needed")
         now = self.now()
         row = self.spark.createDataFrame([(title.strip()[:200], body.strip()[: self.config.max_memory_length], "global" if scope == "global" else "project", project)], "title string, body string, scope string, project_id string")
-        row = row.select("*", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("memory_kind"), tx.task_keys_udf(F.concat_ws("\n", "title", "body")).alias("task_keys"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("is_active"), F.coalesce("project_id", F.lit("unknown")).alias("project_descriptor"))
+        row = row.select("*", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("memory_kind"), tx.task_keys_of(F.concat_ws("\n", "title", "body")).alias("task_keys"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("is_active"), F.coalesce("project_id", F.lit("unknown")).alias("project_descriptor"))
         return self._append_memories(row)
 
     def _append_memories(self, rows: DataFrame) -> int:
@@ -201,7 +201,7 @@ class Engine:
         vec = s.read("embeddings").join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", "embedding")
         q = self.spark.createDataFrame([(-1, self.embedder.embed([query])[0], query, project)], "query_id long, embedding array<float>, q_text string, q_project string")
         hits = vx.search(vec, q.select("query_id", "embedding"), "memory_id", "embedding", opts.pool, opts.threshold, exclude_self=False)
-        asked = q.select("query_id", "q_project", cx.from_text(F.col("q_text")).alias("q_context"), tx.task_keys_udf(F.col("q_text")).alias("q_keys"))
+        asked = q.select("query_id", "q_project", cx.from_text(F.col("q_text")).alias("q_context"), tx.task_keys_of(F.col("q_text")).alias("q_keys"))
         known = m.select(F.col("id").alias("memory_id"), "title", "body", "scope", F.col("memory_kind").alias("kind"), "project_id", "project_descriptor", "created_at", "task_keys", cx.from_text(F.concat_ws("\n", "title", "body", "project_descriptor")).alias("context"))
         pairs = hits.drop("rank").join(known, "memory_id").join(F.broadcast(asked), "query_id")
         ranked = recall.rank(recall.features(pairs), opts)

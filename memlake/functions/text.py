@@ -1,15 +1,12 @@
-"""Text features of memories, turns and tasks as column expressions; task keys as an Arrow UDF."""
+"""Text features of memories, turns and tasks as column expressions."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memlake.shared import ascii_lower, let
 
@@ -264,7 +261,7 @@ def _ascii_lower(text: str) -> str:
 
 
 def task_keys(text: str | None, tools: tuple = TOOLS) -> list[str]:
-    """Keys that name the task a text is about: pull requests, tickets, paths, branches, tools."""
+    """Keys that name the task a text is about: pull requests, tickets, paths, branches, tools. For one text; task_keys_of() is for columns."""
     raw = (text or "").split()
     words = [w.strip(_EDGE) for w in raw]
     keys: dict[str, None] = {}
@@ -272,7 +269,7 @@ def task_keys(text: str | None, tools: tuple = TOOLS) -> list[str]:
         low = _ascii_lower(word)
         following = words[i + 1] if i + 1 < len(words) else None
         found = [_pr(low)]
-        if low in ("pr", "pull", "pull-request", "pull_request") and following is not None:
+        if low in _PULL_WORDS and following is not None:
             found.append(f"pr:{n}" if (n := _number(following)) else None)
         core = re.sub(r"^[^A-Za-z0-9-]+|[^A-Za-z0-9-]+$", "", word)
         if m := re.fullmatch(r"([A-Z0-9]{2,})-([0-9]*)", core):
@@ -288,14 +285,60 @@ def task_keys(text: str | None, tools: tuple = TOOLS) -> list[str]:
     return list(keys)
 
 
-def _task_key_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(task_keys)
+#: What parts tokens, as Python's split() has it.
+_GAPS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def task_keys_udf(text: Column) -> Column:
-    """task_keys() over Arrow batches: it looks ahead in a token list, which column functions can't do in one pass."""
-    return F.pandas_udf(_task_key_batches, T.ArrayType(T.StringType()))(text)
+#: Words before the number of a pull request.
+_PULL_WORDS = ("pr", "pull", "pull-request", "pull_request")
+
+
+def _trimmed(token: Column, edge: str) -> Column:
+    """`token` without the characters of a regex class at both ends."""
+    return F.regexp_replace(token, f"^[{edge}]+|[{edge}]+$", "")
+
+
+def _numbered(text: Column) -> Column:
+    n = _trimmed(text, "^0-9")
+    return F.when(n != "", F.concat(F.lit("pr:"), n))
+
+
+def _path_key(word: Column) -> Column:
+    def of(t: Column) -> Column:
+        parts = F.split(t, "/")
+        shaped = t.rlike(r"^(\.{1,2}/|~?/)") | t.contains(":") | F.element_at(parts, -1).contains(".") | (F.size(parts) > 2)
+        named = F.exists(parts, lambda p: F.lower(p).isin(*PATH_PARTS))
+        fits = ~t.rlike("^https?://") & t.contains("/") & (F.octet_length(t) >= 6) & t.rlike("[A-Za-z0-9]") & (shaped | named)
+        return F.when(fits, F.concat(F.lit("path:"), ascii_lower(F.regexp_replace(F.regexp_replace(t, r"^(\./)+", ""), "/+$", ""))))
+
+    return F.when(word.contains("/"), let(_trimmed(word, r""",;:"')\]}"""), of))
+
+
+def _token_keys(word: Column, following: Column, tools: tuple) -> Column:
+    """Keys of one token, which may take the next one in, in the order in which they are looked for."""
+
+    def of(low: Column) -> Column:
+        number = F.when(low.contains("/pull/"), _numbered(F.regexp_extract(low, "(?s)^.*/pull/(.*)$", 1)))
+        number = number.when(low.startswith("pull/"), _numbered(F.substring(low, 6, 1 << 30))).when(low.startswith("pr#"), _numbered(F.substring(low, 4, 1 << 30)))
+        after = F.when(low.isin(*_PULL_WORDS), _numbered(following))
+        ticket = F.when(word.contains("-"), let(_trimmed(word, "^A-Za-z0-9-"), lambda t: F.when(t.rlike(r"^[A-Z0-9]{2,}-[0-9]*\z"), F.concat(F.lit("ticket:"), t))))
+        named = low.isin("branch", "branch:") & (F.octet_length(following) >= 3) & ~following.startswith("-")
+        branch = F.when(named, F.concat(F.lit("branch:"), ascii_lower(following)))
+        return F.array_compact(F.array(number, after, ticket, _path_key(word), branch, F.when(low.isin(*tools), F.concat(F.lit("tool:"), low))))
+
+    plain = (*_PULL_WORDS, "branch", "branch:", *tools)
+    return F.when(word.rlike("[-/#]") | ascii_lower(word).isin(*plain), let(ascii_lower(word), of)).otherwise(F.array().cast("array<string>"))
+
+
+def task_keys_of(text: Column, tools: tuple = TOOLS) -> Column:
+    """task_keys() as a column: each token is read with the next one, by its index, and new keys are added until there are enough."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), _GAPS), lambda t: t != "")
+
+    def of(words: Column) -> Column:
+        found = F.transform(words, lambda w, i: _token_keys(w, F.get(words, i + 1), tools))
+        return F.aggregate(found, F.array().cast("array<string>"), lambda keys, new: F.when((F.size(new) == 0) | (F.size(keys) >= MAX_TASK_KEYS), keys).otherwise(F.array_union(keys, new)))
+
+    return let(F.transform(tokens, lambda t: _trimmed(t, r""",;"'()\[\]{}<>`""")), of)
 
 
 def parse_formulation(reply: str, default_project: str, max_body: int = 12000) -> list[dict]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import numeric_score
 
+#: Times that edges of blocks are taken from, at most.
+SAMPLE = 2048
+
 
 def rate(n: Column, d: Column) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(n / d)
@@ -86,20 +91,51 @@ def top_projects(memories: DataFrame, n: int = 20) -> DataFrame:
     return memories.where("is_active AND project_id IS NOT NULL").groupBy("project_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project_id").limit(n)
 
 
-def candidates_before(turns: DataFrame, memories: DataFrame, turn_time: str, memory_time: str) -> DataFrame:
-    """As-of pairs: active memories created before a turn was seen; a null time gives none.
+def time_blocks(rows: DataFrame, at: str, blocks: int = 64) -> Callable[[Column], Column]:
+    """The number of a time's block as a function of the time, from 0; edges come from SAMPLE times, those with the least hashes, so blocks are about even.
+
+    Times may be of any type that has an order. Only the evenness of blocks depends on the sample.
+    """
+    drawn = rows.where(F.col(at).isNotNull()).select(F.col(at).alias("t"), F.xxhash64(*rows.columns).alias("h")).orderBy("h", "t").limit(SAMPLE).select("t")
+    times = sorted(r["t"] for r in drawn.collect())  # SAMPLE at most
+    edges = sorted({times[len(times) * i // blocks] for i in range(1, blocks)}) if times else []
+    return lambda t: sum((F.coalesce(t >= F.lit(e), F.lit(False)).cast("int") for e in edges), F.lit(0))
+
+
+def candidates_before(turns: DataFrame, memories: DataFrame, turn_time: str, memory_time: str, blocks: int = 64) -> DataFrame:
+    """As-of pairs with `block`: active memories created before a turn was seen; a null time gives none.
 
-    The result has a row for each such pair, and so does the join: replays bound the number of turns. To count pairs only, use
-    eligible_before().
+    Memories lie in blocks of time; a turn meets each block up to its own by an equi-join on the block, and times are compared in
+    the turn's own block only to effect. The result has a row for each pair; keep the best of each turn and block (best_before()).
     """
-    return turns.join(memories.where("is_active"), F.col(memory_time) < F.col(turn_time))
+    of = time_blocks(memories, memory_time, blocks)
+    m = memories.where("is_active").where(F.col(memory_time).isNotNull()).withColumn("block", of(F.col(memory_time)))
+    t = turns.where(F.col(turn_time).isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), of(F.col(turn_time)))))
+    return t.join(m, "block").where(F.col(memory_time) < F.col(turn_time))
+
+
+def best_before(turns: DataFrame, memories: DataFrame, turn_time: str, memory_time: str, score: Column, newest: Column, limit: int = 5) -> DataFrame:
+    """Ranked as-of candidates of turns (query_id, ...) among memories (id, is_active, ...): the best of each block first, then of all blocks."""
+    scored = candidates_before(turns, memories, turn_time, memory_time).withColumns({"score": score, "_new": newest})
+    order = (F.desc("score"), F.desc("_new"), F.desc("id"))
+    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("rank") <= limit)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).drop("block", "_new")
 
 
-def eligible_before(rows: DataFrame, key: str, at: str, marked: Column) -> DataFrame:
-    """`rows` with `eligible`: how many marked rows of the same key are earlier than each. A running count, no pairs are made."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = marked.cast("long")
-    return rows.withColumn("eligible", F.sum(mark).over(w) - F.sum(mark).over(Window.partitionBy(key, at)))
+def eligible_before(rows: DataFrame, key: str, at: str, marked: Column, blocks: int = 64) -> DataFrame:
+    """`rows` with `eligible`: how many marked rows of the same key are earlier than each; 0 where the time is null, which marks nothing either.
+
+    A key's rows lie in blocks of time: whole earlier blocks count by running sums, the own block by a window, so a hot key is many tasks' work.
+    """
+    of = time_blocks(rows.select(key, at), at, blocks)
+    mark = F.when(F.col(at).isNotNull(), marked.cast("long")).otherwise(0)
+    cut = rows.withColumn("_b", of(F.col(at))).withColumn("_m", mark)
+    sums = cut.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_block")).agg(F.sum("_m").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `blocks` rows a key
+    joined = cut.join(sums.withColumn("_before", before).drop("_n"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_block")))
+    w = Window.partitionBy(key, "_b").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum("_m").over(w) - F.sum("_m").over(Window.partitionBy(key, "_b", at))
+    return joined.withColumn("eligible", F.when(F.col(at).isNotNull(), F.col("_before") + own).otherwise(0)).drop("_b", "_m", "_k", "_block", "_before")
 
 
 def replay_candidates(scored: DataFrame, limit: int = 5) -> DataFrame:

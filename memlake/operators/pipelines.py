@@ -82,10 +82,9 @@ def replay(queries: DataFrame, memories: DataFrame, text_compare: bool = False,
     as text with text_compare.
     """
     when = lambda c: F.col(c) if text_compare else tx.epoch_seconds(F.col(c))
-    pairs = evals.candidates_before(queries.withColumn("_q", when("observed_at")), memories.withColumn("_m", when("created_at")), "_q", "_m")
     near = F.coalesce(cosine(F.col("q_vector"), F.col("vector")), tx.lexical_score(tx.terms(F.col("q_text")), tx.terms(F.concat_ws("\n", "title", "body"))))
-    scored = pairs.withColumn("score", near + context_score(F.col("q_context"), F.col("context")))
-    return evals.replay_candidates(scored, limit).drop("_q", "_m")
+    score = near + context_score(F.col("q_context"), F.col("context"))
+    return evals.best_before(queries.withColumn("_q", when("observed_at")), memories.withColumn("_m", when("created_at")), "_q", "_m", score, F.col("created_at"), limit).drop("_q", "_m")
 
 
 def judge(candidates: DataFrame, prompt: str, completer: Completer | None) -> DataFrame:

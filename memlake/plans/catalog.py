@@ -6,6 +6,7 @@ evaluation results from `events`. Each query reads its whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -285,7 +286,7 @@ SELECT o_orderkey, 'pr:' || o_orderkey || ',' || 'ticket:ABC-' || regexp_extract
 def task_key_extract(spark, sf):
     s = lambda c: F.col(c).cast("string")
     text = F.concat(F.lit("Merged PR "), s("o_orderkey"), F.lit(", see ABC-"), s("o_custkey"), F.lit(" and src/x/"), s("o_orderkey"), F.lit("/Main.java; on branch fix-"), s("o_custkey"), F.lit(" run just test"))
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(tx.task_keys_udf(text), ",").alias("keys"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(tx.task_keys_of(text), ",").alias("keys"))
 
 
 def _kind_sql() -> str:
@@ -385,6 +386,29 @@ def completed_turns_per_session(spark, sf):
     return s.join(n, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Sentence shapes: text and its keys, with {k} the order's and {c} the customer's key.
+_SHAPES = (
+    ("Merged PR #{k}, see ABC-{c}; ABC-{c} again.", "pr:{k},ticket:ABC-{c}"),
+    ("fixes https://host.org/Team/pull/{k}/files and (pull/{c}) or pr#{c}!", "pr:{k},pr:{c}"),
+    ("on Branch: Fix-{c} edit ./src/Mod{k}/Main.PY: then `cargo`, {{gh}}", "branch:fix-{c},path:src/mod{k}/main.py,tool:cargo,tool:gh"),
+    ("see http://no.path/{k} but tests/{k} and ~/notes/{c}/ or a/b", "path:tests/{k},path:~/notes/{c}"),
+    ("pull request none, branch -x, x-{c} X1-{c} pr\u00a0{k}", "ticket:X1-{c},pr:{k}"),
+)
+
+
+def _shape_sql(text: str) -> str:
+    return "'" + text.replace("{{", "{").replace("}}", "}").replace("{k}", "' || o_orderkey || '").replace("{c}", "' || o_custkey || '") + "'"
+
+
+@_query(f"SELECT o_orderkey, CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {_shape_sql(keys)}' for i, (_, keys) in enumerate(_SHAPES))} END AS keys FROM orders")
+def task_key_shapes(spark, sf):
+    plain = lambda t: F.concat(*[F.col({"k": "o_orderkey", "c": "o_custkey"}[x]).cast("string") if n % 2 else F.lit(x) for n, x in enumerate(re.split(r"\{([kc])\}", t.replace("{{", "{").replace("}}", "}")))])
+    text = F.lit(None).cast("string")
+    for i, (shape, _) in enumerate(_SHAPES):
+        text = F.when(F.col("o_orderkey") % 5 == i, plain(shape)).otherwise(text)
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(tx.task_keys_of(text), ",").alias("keys"))
+
+
 @_query(f"WITH {_T_SQL}, s AS (SELECT DISTINCT conv_id AS session_id FROM conversations) SELECT s.session_id, coalesce(max(ordinal) + 1, 0) AS next_ordinal FROM s LEFT JOIN t ON t.session_id = s.session_id GROUP BY ALL")
 def next_ordinal(spark, sf):
     return turns.next_ordinals(table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id")).distinct(), _turns(spark, sf))
@@ -403,6 +427,18 @@ def asof_memories(spark, sf):
     return evals.eligible_before(e, "user_id", "ts", F.col("event_type") == "purchase").select("event_id", "eligible")
 
 
+@_query(f"""WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 100 = 0), m AS (SELECT event_id AS id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+p AS (SELECT q.event_id AS query_id, id, CASE WHEN m.user_id = q.user_id THEN 1 ELSE 0 END + value / 1000 AS score, epoch_us(m.ts) AS created_at FROM q JOIN m ON m.ts < q.ts)
+SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id DESC) AS rank FROM p) WHERE rank <= 5""")
+def asof_topk(spark, sf):
+    e = table(spark, sf, "events")
+    q = e.where("event_id % 100 = 0").select(F.col("event_id").alias("query_id"), F.col("user_id").alias("q_user"), F.col("ts").alias("seen_at"))
+    m = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("made_at"), "value", F.lit(True).alias("is_active"))
+    score = F.when(F.col("user_id") == F.col("q_user"), 1).otherwise(0) + F.col("value") / 1000
+    found = evals.best_before(q, m, "seen_at", "made_at", score, F.unix_micros(F.col("made_at").cast("timestamp")))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), _r6("score").alias("score"))
+
+
 # Transcripts: conversations written as JSONL, one file each, and read by the parsers.
 
 
