@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.shared import sized_stash
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -45,9 +47,12 @@ def encode_f32(vector: Column) -> Column:
     return F.pandas_udf(_encode, T.BinaryType())(vector)
 
 
-def _query_blocks(queries: DataFrame, vector: str) -> tuple[dict[int, tuple[list, np.ndarray]], pa.DataType]:
-    """Ids and unit vectors of `queries` (query_id, vector) by vector size, and the Arrow type of the ids."""
-    got = queries.select("query_id", vector).toArrow()
+#: Stored bytes of queries that are sent to all tasks at most; beyond, queries and vectors meet in blocks of so many rows.
+QUERY_BYTES, QUERY_BLOCK, VECTOR_BLOCK = 8 << 20, 1024, 16_384
+
+
+def _query_block(got: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
+    """Ids and unit vectors of queries (query_id, vector) by vector size."""
     ids = got.column(0).to_pylist()
     rows = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in got.column(1).to_pylist()]
     by_size: dict[int, tuple[list, np.ndarray]] = {}
@@ -55,7 +60,43 @@ def _query_blocks(queries: DataFrame, vector: str) -> tuple[dict[int, tuple[list
         own = [(i, r / n) for i, r in zip(ids, rows, strict=True) if len(r) == size and (n := np.linalg.norm(r)) > 0]
         if own:
             by_size[size] = [i for i, _ in own], np.stack([r for _, r in own])
-    return by_size, got.schema.field(0).type
+    return by_size
+
+
+def _met(vectors: DataFrame, queries: DataFrame, key: str, vector: str, work: Callable, names: list[str], kinds: list[str], limit: int) -> DataFrame:
+    """Rows that work(queries by size, ids' type, batch of vectors) gives, whether few queries go to all vectors or blocks of both meet."""
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    asked, size = sized_stash(queries.select("query_id", F.col(vector).alias("v")), "queries")
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+
+    def batch(cols: list, types: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    if size <= limit:
+        got = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((_query_block(got), got.schema.field(0).type))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for cols, types in work(*shared.value, b):
+                    yield batch(cols, types)
+
+        return rows.mapInArrow(run, schema)
+    n_queries, n_rows = asked.count(), rows.count()
+    q, p = -(-n_queries // QUERY_BLOCK), max(1, -(-n_rows // VECTOR_BLOCK))
+    spread = rows.select("key", "v", F.pmod(F.xxhash64("key", "v"), F.lit(p)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("block"))
+    blocks = asked.select("query_id", "v", F.pmod(F.xxhash64("query_id", "v"), F.lit(q)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("part"))
+    empty = vectors.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            by_size = _query_block(right.select(["query_id", "v"]))
+            for b in left.select(["key", "v"]).combine_chunks().to_batches():
+                found += [batch(cols, types) for cols, types in work(by_size, right.schema.field("query_id").type, b)]
+        return pa.Table.from_batches(found) if found else empty.empty_table()
+
+    return spread.groupBy("part", "block").cogroup(blocks.groupBy("part", "block")).applyInArrow(meet, schema)
 
 
 def _unit_rows(b: pa.RecordBatch, size: int) -> tuple[list, np.ndarray]:
@@ -71,70 +112,58 @@ def _unit_rows(b: pa.RecordBatch, size: int) -> tuple[list, np.ndarray]:
     return keys.take(pa.array(at[good])).to_pylist(), m[good] / norm[good, None]
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float, exclude_self: bool = True) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float, exclude_self: bool = True, limit: int = QUERY_BYTES) -> DataFrame:
     """(query_id, key, similarity): for each query the k most similar rows at or over the threshold; ties by key.
 
-    `queries` (query_id, vector) is a stated set; it goes to the workers in blocks, `vectors` stays where it is. Each batch
-    is one matrix product and keeps its k best for each query, so only k rows a query and batch are shuffled.
+    `queries` (query_id, vector) whose stored size is within `limit` go to all tasks and `vectors` stay where they are; more meet them
+    block by block. Either way a pair of blocks is one matrix product and keeps its k best for each query, and only these are shuffled on.
     """
-    spark = vectors.sparkSession
-    kind = dict(vectors.dtypes)[key]
-    by_size, id_type = _query_blocks(queries, vector)
-    shared = spark.sparkContext.broadcast(by_size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for size, (q_ids, q) in shared.value.items():
-                own, m = _unit_rows(b, size)
-                if not own:
-                    continue
-                out: tuple[list, list, list] = ([], [], [])
-                for i in range(0, len(q_ids), 256):
-                    sim = q[i : i + 256] @ m.T
-                    for j, row in enumerate(sim):
-                        near = np.flatnonzero(row >= threshold)
-                        best = sorted(near.tolist(), key=lambda x, r=row: (-r[x], own[x]))[: k + 1]
-                        out[0].extend([q_ids[i + j]] * len(best))
-                        out[1].extend(own[x] for x in best)
-                        out[2].extend(row[best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], b.column(0).type), pa.array(out[2], pa.float64())], names=["query_id", key, "similarity"])
-
-    q_kind = dict(queries.dtypes)["query_id"]
-    found = vectors.select(key, vector).mapInArrow(run, f"query_id {q_kind}, {key} {kind}, similarity double")
+
+    def work(by_size: dict, id_type: pa.DataType, b: pa.RecordBatch) -> Iterator[tuple]:
+        for size, (q_ids, q) in by_size.items():
+            own, m = _unit_rows(b, size)
+            if not own:
+                continue
+            out: tuple[list, list, list] = ([], [], [])
+            for i in range(0, len(q_ids), 256):
+                sim = q[i : i + 256] @ m.T
+                for j, row in enumerate(sim):
+                    near = np.flatnonzero(row >= threshold)
+                    best = sorted(near.tolist(), key=lambda x, r=row: (-r[x], own[x]))[: k + 1]
+                    out[0].extend([q_ids[i + j]] * len(best))
+                    out[1].extend(own[x] for x in best)
+                    out[2].extend(row[best].tolist())
+            yield out, [id_type, b.column(0).type, pa.float64()]
+
+    found = _met(vectors, queries, key, vector, work, ["query_id", key, "similarity"], [dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key], "double"], limit)
     if exclude_self:
         found = found.where(F.col("query_id") != F.col(key))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def count_over(vectors: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+def count_over(vectors: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float, limit: int = QUERY_BYTES) -> DataFrame:
     """(query_id, n): for each query with any the number of rows at or over the threshold, but for rows of the query's own key or of none.
 
     Workers count hits by query and batch; only these sums are shuffled, so no number of hits is a bound.
     """
-    by_size, id_type = _query_blocks(queries, vector)
-    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for size, (q_ids, q) in shared.value.items():
-                own, m = _unit_rows(b.filter(b.column(0).is_valid()), size)
-                if not own:
-                    continue
-                places: dict = {}
-                for x, k in enumerate(own):
-                    places.setdefault(k, []).append(x)
-                ids, sums = [], []
-                for i in range(0, len(q_ids), 256):
-                    near = q[i : i + 256] @ m.T >= threshold
-                    for j, n in enumerate(near.sum(axis=1).tolist()):
-                        n -= sum(int(near[j, x]) for x in places.get(q_ids[i + j], ()))
-                        if n and q_ids[i + j] is not None:
-                            ids.append(q_ids[i + j])
-                            sums.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sums, pa.int64())], names=["query_id", "n"])
-
-    kind = dict(queries.dtypes)["query_id"]
-    return vectors.select(key, vector).mapInArrow(run, f"query_id {kind}, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+
+    def work(by_size: dict, id_type: pa.DataType, b: pa.RecordBatch) -> Iterator[tuple]:
+        for size, (q_ids, q) in by_size.items():
+            own, m = _unit_rows(b.filter(b.column(0).is_valid()), size)
+            if not own:
+                continue
+            places: dict = {}
+            for x, k in enumerate(own):
+                places.setdefault(k, []).append(x)
+            ids, sums = [], []
+            for i in range(0, len(q_ids), 256):
+                near = q[i : i + 256] @ m.T >= threshold
+                for j, n in enumerate(near.sum(axis=1).tolist()):
+                    n -= sum(int(near[j, x]) for x in places.get(q_ids[i + j], ()))
+                    if n and q_ids[i + j] is not None:
+                        ids.append(q_ids[i + j])
+                        sums.append(n)
+            yield (ids, sums), [id_type, pa.int64()]
+
+    return _met(vectors, queries, key, vector, work, ["query_id", "n"], [dict(queries.dtypes)["query_id"], "long"], limit).groupBy("query_id").agg(F.sum("n").alias("n"))

@@ -64,9 +64,12 @@ class Store:
         v = self._version(name) + 1
         cols = [c.strip().split(" ")[0] for c in self.spark.createDataFrame([], SCHEMAS[name]).columns]
         df.select(cols).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        tmp, final = self._path(name, f"_next{v}"), self._path(name, "_current")
+        self._place(self._path(name, f"_next{v}"), self._path(name, "_current"), str(v))
+
+    def _place(self, tmp, final, text: str) -> None:
+        """Writes a small file beside its place and moves it there, over what is there, in one rename."""
         out = self._fs().create(tmp, True)
-        out.write(bytearray(str(v).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf)
         opts = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -75,12 +78,7 @@ class Store:
 
     def put_text(self, name: str, text: str) -> None:
         """Writes a small text file under the root, in one rename."""
-        tmp, final = self._path(f"{name}.next"), self._path(name)
-        out = self._fs().create(tmp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self.remove(name)
-        self._fs().rename(tmp, final)
+        self._place(self._path(f"{name}.next"), self._path(name), text)
 
     def exists(self, path: str) -> bool:
         """Whether a file of any file system is there."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import cluster, evals, recall, state, tasks, turns
-from memlake.shared import fresh_path, stash, table
+from memlake.shared import fresh_path, sized_stash, small, table
 from memlake.sources import transcripts
 from memlake.streaming import turns as streaming
 
@@ -277,7 +277,7 @@ def lexical_score_topk(spark, sf):
     q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), tx.terms(F.col("text")).alias("qt"))
     hits = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("w"))
     words = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(tx.terms(F.col("text"))).alias("w"))
-    scored = words.join(F.broadcast(hits), "w").groupBy("query_id", "id", "nq").agg(F.count("*").alias("c")).select("query_id", "id", (F.col("c") / F.col("nq")).alias("score"), F.lit(0).alias("created_at"))
+    scored = words.join(small(*sized_stash(hits, "hits")), "w").groupBy("query_id", "id", "nq").agg(F.count("*").alias("c")).select("query_id", "id", (F.col("c") / F.col("nq")).alias("score"), F.lit(0).alias("created_at"))
     return evals.replay_candidates(scored).select("query_id", "id", F.col("rank").cast("long").alias("rank"), _r6("score").alias("score"))
 
 

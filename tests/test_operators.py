@@ -208,3 +208,21 @@ def test_telemetry_and_deferral(spark):
 def test_due_windows(spark):
     t = spark.createDataFrame([("a", i, "completed") for i in range(4)] + [("b", 0, "completed")], "session_id string, ordinal long, status string")
     assert sorted(r["ordinal"] for r in turns.due_windows(t, 3).collect()) == [1, 2, 3]
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Queries sent to all tasks, and blocks of queries and vectors: the same rows."""
+    import random
+
+    from memlake.functions import vectors as vx
+
+    monkeypatch.setattr(vx, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vx, "VECTOR_BLOCK", 20)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 + i % 2)]) for i in range(120)] + [(200, None), (201, []), (202, [0.0] * 3), (203, [1.0, 0.0, 0.0]), (203, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    q = v.where("id % 10 = 0 OR id > 199").select(F.col("id").alias("query_id"), "v")
+    for f in (lambda limit: vx.search(v, q, "id", "v", 4, 0.2, limit=limit), lambda limit: vx.count_over(v, q, "id", "v", 0.2, limit=limit)):
+        one, many = (sorted(map(tuple, f(limit).collect())) for limit in (1 << 30, -1))
+        assert len(one) == len(many) > 5 and all(a[:2] == b[:2] and abs(a[-1] - b[-1]) < 1e-12 for a, b in zip(one, many, strict=True))
+    assert vx.search(v, q.where("query_id < 0"), "id", "v", 4, 0.2, limit=-1).count() == 0
