@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import display_status, epoch_seconds
+from memlake.providers import RETRY_STATUSES
 
 #: Priorities and attempts by kind of work.
 PRIORITY = {"live_formulation": 10, "recall": 20, "backlog": 0, "consolidation": -10}
@@ -118,7 +119,7 @@ def first_per_anchor(rows: DataFrame) -> DataFrame:
 
 def retry_class(status: Column) -> Column:
     """Whether an HTTP status is worth another try."""
-    return F.when(status.isin(408, 409, 425, 429) | status.between(500, 599), F.lit("retryable")).otherwise(F.lit("permanent"))
+    return F.when(status.isin(*RETRY_STATUSES) | status.between(500, 599), F.lit("retryable")).otherwise(F.lit("permanent"))
 
 
 def new_tasks(payloads: DataFrame, kind: str, priority: int, now: str, run_at: str | None = None, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

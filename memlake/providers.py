@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Statuses under 500 that are worth another try; so is every one from 500 on.
+RETRY_STATUSES = (408, 409, 425, 429)
+
+
+def retryable_status(status: int) -> bool:
+    return status in RETRY_STATUSES or 500 <= status <= 599
+
+
+class ProviderError(Exception):
+    """A call that failed; `retryable` if the same call may do better."""
+
+    def __init__(self, message: str, retryable: bool):
+        super().__init__(message)
+        self.retryable = retryable
+
+
 class Embedder(Protocol):
     model: str
 
@@ -64,17 +81,24 @@ def embedded(text: Column, embedder: Embedder) -> Column:
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))(text)
 
 
-def completed(df: DataFrame, system: str, prompt: str, reply: str, completer: Completer) -> DataFrame:
-    """`df` with a column of replies to its prompts; a failed call gives null."""
+def completed(df: DataFrame, system: str, prompt: str, reply: str, completer: Completer, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """`df` with a column of replies to its prompts. A call that fails for the moment is tried again; one that fails for good, or `tries` times, gives null."""
+
+    def one(p: str) -> str | None:
+        for n in range(tries):
+            try:
+                return completer.complete(system, p)
+            except ProviderError as e:
+                if not e.retryable:
+                    return None
+                if n < tries - 1:
+                    time.sleep(wait * 2**n)
+            except Exception:  # a provider's failure is a null reply, which callers judge
+                return None
+        return None
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            out = []
-            for p in s:
-                try:
-                    out.append(completer.complete(system, p))
-                except Exception:  # a provider's failure is a null reply, which callers judge
-                    out.append(None)
-            yield pd.Series(out)
+            yield pd.Series([one(p) for p in s])
 
     return df.withColumn(reply, F.pandas_udf(run, T.StringType())(F.col(prompt)))
