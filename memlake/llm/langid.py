@@ -10,7 +10,7 @@ frequent, should there be more), in the order of a hash of doc_id. Prediction re
 
 Edge cases: null text, empty text and text without a letter give `und` and score 0. Rows with null lang, text or doc_id are
 not learned from; a null doc_id is not held out. Repeated rows each come back. Without any labelled row every
-prediction is `und`. Equal scores go to the smaller language name. Extra columns are ignored.
+prediction is `und`. Equal scores go to the smaller language name. Extra columns are ignored. Very long texts are embedded whole, in one task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ one by one. So the copies of a passage, however many, cost one row each, and not
 
 Edge cases: null or empty text has no words. Rows with a null doc_id lose nothing and are no source. Repeated rows are
 judged alike and lose nothing to each other, as neither id is smaller; rows that share a doc_id with different
-texts are judged each by its own text. An empty table gives an empty result. Extra columns are ignored.
+texts are judged each by its own text. An empty table gives an empty result. Extra columns are ignored. Very long texts are taken
+whole, their windows in one task. Ties of ids are repeated rows, as above; of several earlier documents any one is reason enough.
 """
 
 from __future__ import annotations
