@@ -300,7 +300,8 @@ def memory_kind_infer(spark, sf):
     return _texts(spark, sf).select("id", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("kind"))
 
 
-@_query(None)
+@_query("""SELECT source, lower(lpad(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(regexp_extract_all(hex(encode(coalesce(source, ''))), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS UHUGEINT))),
+  lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)) AS UBIGINT)), 16, '0')) AS hash FROM (SELECT DISTINCT source FROM documents)""")
 def project_hash_fnv(spark, sf):
     return table(spark, sf, "documents").select("source").distinct().select("source", tx.fnv1a(F.coalesce("source", F.lit(""))).alias("hash"))
 
