@@ -42,9 +42,9 @@ def merge(base: dict, over: dict) -> dict:
 
 
 def load(*paths: str | Path) -> Config:
-    """Defaults with each file that exists laid over them in turn; unknown keys are left out."""
+    """Defaults with each file that exists laid over them in turn; unknown keys are left out. A leading ~ is the home folder."""
     found: dict = {}
-    for p in map(Path, paths):
+    for p in (Path(expand_home(str(x))) for x in paths):
         if p.exists():
             found = merge(found, tomllib.loads(p.read_text()))
     flat = {k: v for part in [found, *(v for v in found.values() if isinstance(v, dict))] for k, v in part.items() if not isinstance(v, dict)}

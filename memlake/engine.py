@@ -14,13 +14,19 @@ from memlake.functions import context as cx
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import cluster, evals, pipelines, recall, state, tasks, turns
+from memlake.operators import projects as pj
 from memlake.providers import Completer, Embedder, HashEmbedder
+from memlake.shared import stash
 from memlake.sources import transcripts as tr
 
 
 TELEMETRY = "candidate_count long, deterministic_selected_count long, final_selected_count long, llm_attempted boolean, llm_applied boolean, llm_empty_fallback boolean, llm_error string"
 
 
+#: Files of the roles dialect below such a folder are parts of other sessions.
+SUBAGENTS = "subagents"
+
+
 class Deferred(Exception):
     """A task that is to be tried again after some seconds."""
 
@@ -32,10 +38,14 @@ class Deferred(Exception):
 class Engine:
     """ingest, status, stats, tasks, memories, recall, remember and eval over one store."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embedder: Embedder | None = None, completer: Completer | None = None, evaluate: bool = False):
-        """`evaluate`: a recall task queues a delayed evaluation of what it gave."""
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embedder: Embedder | None = None, completer: Completer | None = None, evaluate: bool = False, judge: Completer | None = None, projects: DataFrame | None = None, broad: tuple[str, ...] = ()):
+        """`evaluate`: a recall task queues a delayed evaluation of what it gave. `judge` filters recalls, if the settings allow it.
+
+        `projects` (root, remote, package, ecosystem) are the known project folders; `broad` folders hold many and tell nothing.
+        """
         self.spark, self.config, self.store, self.evaluate = spark, config, state.Store(spark, root), evaluate
-        self.embedder, self.completer = embedder or HashEmbedder(), completer
+        self.embedder, self.completer, self.judge = embedder or HashEmbedder(), completer, judge
+        self.projects, self.broad = projects if projects is not None else spark.createDataFrame([], pj.SCHEMA), broad
 
     def now(self) -> str:
         return f"unix:{int(time.time())}"
@@ -43,20 +53,29 @@ class Engine:
     # Ingest.
 
     def ingest(self, root: str, dialect: str = "markers") -> DataFrame:
-        """Reads what is new under `root`, in the `markers` or `roles` dialect: sessions, turns and cursors. Gives a row of counts; bad files change nothing."""
+        """Reads what is new under `root`, in the `markers` or `roles` dialect: sessions, turns and cursors. Gives a row of counts; bad files change nothing.
+
+        A missing root is an error in the roles dialect, and holds no files in the other one.
+        """
         agent = {"markers": "codex", "roles": "claude-code"}[dialect]
         s, now = self.store, self.now()
+        if not s.exists(root):
+            if dialect == "roles":
+                raise FileNotFoundError(root)
+            return self.spark.createDataFrame([(0, 0, 0)], "files long, failures long, new_turns long")
         cursors, old_turns, old_sessions = s.read("file_cursors"), s.read("turns"), s.read("sessions")
         known = old_sessions.select(F.col("transcript_file_path").alias("path"), F.col("id").alias("known_id"))
         usable = cursors.join(known, F.col("file_path") == F.col("path"), "left_semi")  # without its session a file starts anew
-        lines, bad = tr.sound_files(tr.read_lines(self.spark, root, usable))
+        lines, bad = tr.sound_files(tr.read_lines(self.spark, root, usable, skip_part=SUBAGENTS if dialect == "roles" else None))
         lines = lines.cache()
         events = tr.marker_events(lines) if agent == "codex" else tr.role_events(lines)
         fresh = (tr.marker_sessions if agent == "codex" else tr.role_sessions)(events).join(known, "path", "left").withColumn("session_id", F.coalesce("known_id", "session_id"))
         base = fresh.join(turns.next_ordinals(fresh.select("session_id").distinct(), old_turns), "session_id").select("path", "next_ordinal")
         found = (tr.marker_turns if agent == "codex" else tr.role_turns)(events, base).join(fresh.select("path", "session_id"), "path")
         seen = found.groupBy("session_id").agg(F.max("observed_at").alias("last_seen_at"))
-        new_sessions = fresh.join(seen, "session_id", "left").select(F.col("session_id").alias("id"), F.lit(agent).alias("agent_type"), cx.project_root(F.col("project_id")).alias("project_id"), F.col("path").alias("transcript_file_path"), "started_at", "last_seen_at")
+        new_sessions = fresh.join(seen, "session_id", "left").select(F.col("session_id").alias("id"), F.lit(agent).alias("agent_type"), "project_id", F.col("path").alias("transcript_file_path"), "started_at", "last_seen_at")
+        ids = pj.project_ids(new_sessions.select(F.col("project_id").alias("path")), self.projects).withColumnRenamed("project_id", "_project")
+        new_sessions = new_sessions.join(ids, F.col("project_id") == F.col("path"), "left").withColumn("project_id", F.col("_project")).drop("path", "_project")
         inserted = state.insert_or_ignore(old_turns, found.drop("path"), ["session_id", "ordinal"], ["byte_start"])
         all_turns = old_turns.unionByName(state.with_ids(inserted, old_turns, ["session_id", "ordinal"]), allowMissingColumns=True)
         before = old_turns.count()
@@ -93,7 +112,8 @@ class Engine:
             raise ValueError("title and body are needed")
         now = self.now()
         row = self.spark.createDataFrame([(title.strip()[:200], body.strip()[: self.config.max_memory_length], "global" if scope == "global" else "project", project)], "title string, body string, scope string, project_id string")
-        row = row.select("*", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("memory_kind"), tx.task_keys_of(F.concat_ws("\n", "title", "body")).alias("task_keys"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("is_active"), F.coalesce("project_id", F.lit("unknown")).alias("project_descriptor"))
+        row = row.select("*", tx.infer_kind(F.col("title"), F.col("body"), F.col("scope")).alias("memory_kind"), tx.task_keys_of(F.concat_ws("\n", "title", "body")).alias("task_keys"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("is_active"), F.col("project_id").alias("path"), F.lit(None).cast("string").alias("phrase"))
+        row = row.join(pj.descriptors(row.select("path", "phrase"), self.projects), "path", "left").withColumn("project_descriptor", F.coalesce("project_descriptor", F.lit("unknown"))).drop("path", "phrase")
         return self._append_memories(row)
 
     def _append_memories(self, rows: DataFrame) -> int:
@@ -193,40 +213,74 @@ class Engine:
 
     # Recall.
 
+    def memories(self) -> DataFrame:
+        """The memories as they are read, with their task keys."""
+        return state.with_task_keys(self.store.read("memories"))
+
+    def session(self, project: str | None, session_id: str | None = None) -> DataFrame:
+        """The session meant: the named one if it is known, else the latest of the project."""
+        return state.session_of(self.store.read("sessions"), project, session_id)
+
     def recall(self, query: str, project: str | None = None, judge=None) -> DataFrame:
         """The memories for a text: vector search, hybrid rank, rules, and an optional judge (query_id, ids)."""
+        return self.recall_run(query, project, judge)[0]
+
+    def recall_run(self, query: str, project: str | None = None, judge=None) -> tuple[DataFrame, DataFrame]:
+        """recall(), and a row of what the judge did: given verdicts (query_id, ids, error), or the engine's own judge."""
         c, s = self.config, self.store
         opts = recall.Options(c.recall_candidate_pool, c.recall_result_limit, c.recall_similarity_threshold, c.recall_project_tiebreaker, c.recall_project_score_bonus, c.recall_llm_filter_candidate_limit)
-        m = s.read("memories").where("is_active")
+        m = self.memories().where("is_active")
         vec = s.read("embeddings").join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", "embedding")
         q = self.spark.createDataFrame([(-1, self.embedder.embed([query])[0], query, project)], "query_id long, embedding array<float>, q_text string, q_project string")
         hits = vx.search(vec, q.select("query_id", "embedding"), "memory_id", "embedding", opts.pool, opts.threshold, exclude_self=False)
-        asked = q.select("query_id", "q_project", cx.from_text(F.col("q_text")).alias("q_context"), tx.task_keys_of(F.col("q_text")).alias("q_keys"))
-        known = m.select(F.col("id").alias("memory_id"), "title", "body", "scope", F.col("memory_kind").alias("kind"), "project_id", "project_descriptor", "created_at", "task_keys", cx.from_text(F.concat_ws("\n", "title", "body", "project_descriptor")).alias("context"))
+        places = pj.path_contexts(q.select(F.col("q_project").alias("path")), self.projects, self.broad)
+        asked = q.join(places, F.col("q_project") == F.col("path"), "left").withColumn("_text", cx.from_text(F.col("q_text"))).withColumn("_all", cx.merged(F.col("context"), F.col("_text")))
+        asked = asked.select("query_id", "q_project", "q_text", cx.normalized(F.col("_all")).alias("q_context"), tx.task_keys_of(F.col("q_text")).alias("q_keys"))
+        m = m.join(F.broadcast(hits.select(F.col("memory_id").alias("id")).distinct()), "id", "left_semi")  # a pool at most
+        known = pj.memory_contexts(m, self.projects, self.broad).select(F.col("id").alias("memory_id"), "title", "body", "scope", F.col("memory_kind").alias("kind"), "project_id", "project_descriptor", "created_at", "task_keys", "context")
         pairs = hits.drop("rank").join(known, "memory_id").join(F.broadcast(asked), "query_id")
         ranked = recall.rank(recall.features(pairs), opts)
-        return recall.judged(recall.select(ranked, max(opts.judge_pool, opts.limit)), judge, opts)
+        selected = recall.select(ranked, max(opts.judge_pool, opts.limit))
+        if judge is None and self.judge is not None and c.recall_llm_filter_enabled:
+            selected = stash(selected, "selected")
+            judge = stash(pipelines.filtered(recall.judged(selected, None, recall.Options(limit=opts.judge_pool, judge_pool=opts.judge_pool)), c, self.judge), "verdicts")
+        if judge is not None and "error" not in judge.columns:
+            judge = judge.withColumn("error", F.lit(None).cast("string"))
+        final = recall.judged(selected, None if judge is None else judge.drop("error"), opts)
+        return final, recall.telemetry(selected, final, judge, opts)
 
     def recall_for_turn(self, session_id: str, ordinal: int, judge=None) -> DataFrame:
         """Recall as of a past turn: the live window of completed turns is the query."""
+        return self.recall_run_for_turn(session_id, ordinal, judge)[0]
+
+    def recall_run_for_turn(self, session_id: str, ordinal: int, judge=None) -> tuple[DataFrame, DataFrame]:
         c = self.config
         w = turns.live_windows(self.store.read("turns").where(F.col("session_id") == session_id), c.recall_live_turn_window, F.coalesce("display_text", F.lit("")))
         row = w.where(F.col("ordinal") == ordinal).select(tx.recall_query_text(F.col("window"), c.recall_query_max_chars, c.tool_call_truncation_chars)).first()
         project = self.store.read("sessions").where(F.col("id") == session_id).select("project_id").first()
-        return self.recall(row[0] if row else "", project[0] if project else None, judge)
+        return self.recall_run(row[0] if row else "", project[0] if project else None, judge)
 
     def write_recall(self, session_id: str, ordinal: int, judge=None) -> tuple[str, list[int]]:
         """Writes the recall file of a session as of a turn: noop, unchanged or written, and the ids it names."""
-        rendered = self.recall_file(self.recall_for_turn(session_id, ordinal, judge), "turn").cache()
+        return self._write_recall(session_id, ordinal, judge)[:2]
+
+    def _write_recall(self, session_id: str, ordinal: int, judge=None) -> tuple[str, list[int], dict | None]:
+        """write_recall(), and the telemetry of its judge."""
+        final, said = self.recall_run_for_turn(session_id, ordinal, judge)
+        final = final.cache()
+        told = said.drop("query_id").first()
+        told = told.asDict() if told else None
+        rendered = self.recall_file(final, "turn").cache()
         name = self.recall_name(session_id)
         old = self.spark.createDataFrame([(-1, self.store.get_text(name) or "")], "query_id long, text string").select("query_id", tx.memory_ids_of(F.col("text")).alias("memory_ids"))
         row = recall.write_action(rendered, old).first()
         rendered.unpersist()
+        final.unpersist()
         if row is None:
-            return "noop", []
+            return "noop", [], told
         if row["action"] == "written":
             self.store.put_text(name, row["markdown"])
-        return row["action"], list(row["memory_ids"])
+        return row["action"], list(row["memory_ids"]), told
 
     def read_recall(self, session_id: str, refresh: bool = True) -> str | None:
         """The recall file of a session. One that names an inactive memory is removed; a missing one is made from the latest completed turn."""
@@ -343,10 +397,10 @@ class Engine:
         elif kind == "memory_consolidation":
             self.consolidate()
         elif kind == "recall":
-            _, ids = self.write_recall(payload["session_id"], payload["turn_ordinal"])
+            _, ids, told = self._write_recall(payload["session_id"], payload["turn_ordinal"])
             if self.evaluate and ids:
                 text = self.store.get_text(self.recall_name(payload["session_id"])) or ""
-                given = self.spark.createDataFrame([(payload["session_id"], payload["turn_ordinal"], text, ids)], "session_id string, turn_ordinal long, recall_text string, memory_ids array<long>")
+                given = self.spark.createDataFrame([(payload["session_id"], payload["turn_ordinal"], text, ids, told)], f"session_id string, turn_ordinal long, recall_text string, memory_ids array<long>, filter_telemetry struct<{TELEMETRY}>")
                 self._queue(tasks.eval_tasks(self.store.read("tasks"), self.store.read("eval_runs"), given, now))
         elif kind == "recall_eval":
             self._evaluate(payload, task, now)
@@ -443,10 +497,27 @@ class Engine:
     def path(self) -> str:
         return self.store.root
 
+    def _eval_runs(self) -> DataFrame:
+        """(id, session_id, turn_ordinal) of the runs, as their settings tell."""
+        c = F.col("config_json")
+        return self.store.read("eval_runs").select("id", F.get_json_object(c, "$.session_id").alias("session_id"), F.get_json_object(c, "$.turn_ordinal").try_cast("long").alias("turn_ordinal"))
+
+    def eval_examples(self, n: int = 5) -> DataFrame:
+        """The first results of low and of high scores."""
+        return evals.score_examples(self._eval_runs(), self.store.read("eval_results"), n)
+
+    def eval_stale(self, n: int = 10) -> DataFrame:
+        """Runs without enough context whose sessions went on since."""
+        return evals.stale_insufficient(self._eval_runs(), self.store.read("eval_results"), self.store.read("turns"), n)
+
+    def eval_queued(self, n: int = 20) -> DataFrame:
+        """Evaluations that are queued or running, with the time of the next try."""
+        t = self.store.read("tasks").where("kind = 'recall_eval' AND status IN ('queued', 'running')")
+        at = tasks.anchors(t).select("id", "session_id", "turn_ordinal")
+        return t.join(at, "id", "left").select("id", "status", "attempts", "max_attempts", "session_id", "turn_ordinal", "next_run_at", tx.human_time(F.col("next_run_at")).alias("next_run"), "last_error").orderBy("id").limit(n)
+
     def eval_list(self, limit: int = 200) -> DataFrame:
         return evals.run_rollup(self.store.read("eval_runs"), self.store.read("eval_results")).orderBy(F.desc("id")).limit(limit)
 
     def eval_summary(self) -> DataFrame:
-        c = F.col("config_json")
-        runs = self.store.read("eval_runs").select("id", F.get_json_object(c, "$.session_id").alias("session_id"), F.get_json_object(c, "$.turn_ordinal").try_cast("long").alias("turn_ordinal"))
-        return evals.session_summary(runs, self.store.read("eval_results")).orderBy(F.desc("latest_run"))
+        return evals.session_summary(self._eval_runs(), self.store.read("eval_results")).orderBy(F.desc("latest_run"))

@@ -119,8 +119,13 @@ def from_path(path: Column, root: Column, repo: Column) -> Column:
     )
 
 
+def worktree_project(path: Column, mark: str = "-codex-worktrees") -> Column:
+    """The project that an agent's worktree copies: `/a/.name-codex-worktrees/name-x/...` stands for `/a/name`; empty for other paths."""
+    found = r"^(.*?)/\.([^/]+)" + mark + r"/\2-[^/]*(?:/.*)?$"
+    name = F.regexp_extract(path, found, 2)
+    return F.when(name == "", "").otherwise(F.concat(F.regexp_extract(path, found, 1), F.lit("/"), name))
+
+
 def project_root(path: Column) -> Column:
-    """A project folder from a working folder: an agent's worktree stands for the project it copies."""
-    tree = F.regexp_extract(path, r"/worktrees/[^/]+/([^/]+)", 1)
-    home = F.regexp_extract(path, r"^(.*?)/\.[^/]+/worktrees/", 1)
-    return F.when(tree != "", F.concat(home, F.lit("/Development/"), tree)).otherwise(F.regexp_replace(path, "/+$", ""))
+    """A project folder from a working folder alone: the one that a worktree copies, else the folder itself."""
+    return F.coalesce(F.nullif(worktree_project(path), F.lit("")), F.regexp_replace(path, "(?<=.)/+$", ""))

@@ -77,10 +77,33 @@ def session_summary(runs: DataFrame, results: DataFrame) -> DataFrame:
     return j.groupBy("session_id").agg(F.count("*").alias("runs"), zero("c").alias("results"), zero("j").alias("judged"), rate(zero("s"), zero("j")).alias("average"), F.max("id").alias("latest_run"), F.max_by("turn_ordinal", "id").alias("latest_turn"))
 
 
-def examples(results: DataFrame, low: bool, n: int = 5) -> DataFrame:
-    """The first results of a low (2 and under) or high (4 and over) score."""
+def score_examples(runs: DataFrame, results: DataFrame, n: int = 5) -> DataFrame:
+    """(kind, run_id, session_id, turn_ordinal, memory_id, judge_score, rationale): the first low and high results, those of the latest runs first."""
+    r = runs.select(F.col("id").alias("run_id"), "session_id", "turn_ordinal")
     s = numeric_score(F.col("judge_score"))
-    return results.where(s <= 2 if low else s >= 4).orderBy("id").limit(n)
+    known = results.join(r, F.col("eval_run_id") == F.col("run_id"))
+    first = lambda kind, some: known.where(some).orderBy(F.desc("run_id"), "id").limit(n).withColumn("kind", F.lit(kind))
+    return first("low", s <= 2).unionByName(first("high", s >= 4)).select("kind", "run_id", "session_id", "turn_ordinal", "memory_id", "judge_score", "rationale")
+
+
+def later_counts(anchors: DataFrame, turns: DataFrame, most: int = 10_000) -> DataFrame:
+    """Anchors (run_id, session_id, turn_ordinal) with later_completed_turns, at most `most`: completed turns of the session after each.
+
+    Anchors and turns are counted together by blocks of ordinals, so a session of very many turns is many tasks' work.
+    """
+    key = "session_id"
+    t = turns.where("status = 'completed'").select(F.lit(None).cast("long").alias("run_id"), key, F.col("ordinal").cast("long").alias("turn_ordinal"), F.lit(True).alias("_turn"))
+    a = anchors.where("session_id IS NOT NULL AND turn_ordinal IS NOT NULL").select(F.col("run_id").cast("long").alias("run_id"), key, F.col("turn_ordinal").cast("long").alias("turn_ordinal"), F.lit(False).alias("_turn"))
+    counted = eligible_before(t.unionByName(a).withColumn("_at", -F.col("turn_ordinal")), key, "_at", F.col("_turn"))
+    return counted.where("NOT _turn").select("run_id", key, "turn_ordinal", F.least("eligible", F.lit(most)).cast("long").alias("later_completed_turns"))
+
+
+def stale_insufficient(runs: DataFrame, results: DataFrame, turns: DataFrame, n: int = 10) -> DataFrame:
+    """The latest runs with a result of insufficient context whose session went on since: (run_id, session_id, turn_ordinal, score, later_completed_turns)."""
+    short = results.where("judge_score = 'insufficient_context'").select(F.col("eval_run_id").alias("run_id"))
+    anchors = runs.select(F.col("id").alias("run_id"), "session_id", "turn_ordinal").join(short, "run_id", "left_semi")
+    later = later_counts(anchors, turns).where("later_completed_turns > 0").withColumn("score", F.lit("n/a"))
+    return later.orderBy(F.desc("run_id")).limit(n)
 
 
 def memory_stats(memories: DataFrame) -> DataFrame:

@@ -22,6 +22,9 @@ CONSOLIDATION = "Merge these related memories into one. Reply with JSON in the s
 JUDGE = "Score how useful the recalled memory was, 1 to 5. Reply with JSON: {score, rationale}."
 DRAFT = T.ArrayType(T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "task_keys" else T.StringType()) for n in ("title", "body", "scope", "kind", "task_keys", "project_descriptor")]))
 NO_CANDIDATES = "no eligible recalled memories"
+FILTER = "Choose the memories that help with the current turn; leave out those that are unrelated, stale or too general. An empty choice means that all are wrong. Name no id that isn't listed. Reply with JSON: {selected_memory_ids}."
+#: Characters of a memory's body and of the turn's text that the filter sees.
+FILTER_BODY, FILTER_TURN = 1200, 6000
 
 
 def prompts(turns: DataFrame, config) -> DataFrame:
@@ -99,5 +102,28 @@ def judge(candidates: DataFrame, prompt: str, completer: Completer | None) -> Da
     return said.withColumn("judge_score", score).withColumn("rationale", F.when(ok, why).otherwise("judge failed")).drop("_r")
 
 
+def filter_prompts(pool: DataFrame, config) -> DataFrame:
+    """(query_id, prompt) of pools of candidates (query_id, q_text, q_project, place, memory_id, title, body, kind, scope, project_id,
+    project_descriptor, task_keys, score, reason); a pool is bounded by the options of the recall."""
+    shown = F.struct("place", "memory_id", "title", tx.truncated(F.col("body"), FILTER_BODY).alias("body"), "kind", "scope", "project_id", "project_descriptor", "task_keys", "score", "reason")
+    g = pool.groupBy("query_id").agg(F.first("q_text").alias("t"), F.first("q_project").alias("p"), F.array_sort(F.collect_list(shown)).alias("c"))
+    asked = F.struct(F.col("p").alias("current_project_id"), tx.truncated(F.col("t"), FILTER_TURN).alias("current_turn_text"), F.lit(config.recall_result_limit).alias("max_selected_memories"), F.col("c").alias("candidate_memories"))
+    return g.select("query_id", tx.truncated(F.to_json(asked), config.recall_llm_filter_prompt_max_chars).alias("prompt"))
+
+
+def filter_verdicts(replies: DataFrame) -> DataFrame:
+    """(query_id, ids, error) from replies (query_id, reply): each id once, numbers or digits; no ids and an error where nothing can be read."""
+    j = tx.json_from_prose(F.col("reply"))
+    named = F.from_json(F.get_json_object(j, "$.selected_memory_ids"), "array<string>")
+    ids = F.array_distinct(F.array_compact(F.transform(F.coalesce(named, F.array().cast("array<string>")), lambda x: x.try_cast("long"))))
+    error = F.when(F.col("reply").isNull(), F.lit("the call failed")).when(j.isNull(), F.lit("the reply holds no JSON"))
+    return replies.select("query_id", F.when(error.isNull(), ids).alias("ids"), error.alias("error"))
+
+
+def filtered(pool: DataFrame, config, completer: Completer) -> DataFrame:
+    """Verdicts of a completer on pools of candidates, a call a query."""
+    return filter_verdicts(completed(filter_prompts(pool, config), FILTER, "prompt", "reply", completer))
+
+
 def payload(**fields) -> str:
     return json.dumps(fields, sort_keys=True)

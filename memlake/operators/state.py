@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.text import task_keys_of
 from memlake.shared import stash
 
 REF = "struct<session_id:string,ordinal:bigint,byte_start:bigint,byte_end:bigint>"
@@ -171,6 +172,19 @@ def known_or(col: str, values: tuple, default: str) -> Column:
     return F.when(F.col(col).isin(*values), F.col(col)).otherwise(F.lit(default))
 
 
+def with_task_keys(memories: DataFrame) -> DataFrame:
+    """Memories as they are read: one stored without task keys gets those of its title and body."""
+    k = F.col("task_keys")
+    return memories.withColumn("task_keys", F.when(k.isNull() | (F.size(k) == 0), task_keys_of(F.concat_ws("\n", "title", "body"))).otherwise(k))
+
+
+def session_of(sessions: DataFrame, project: str | None, session_id: str | None = None) -> DataFrame:
+    """At most one session: the named one if it is there, else the project's latest."""
+    named = F.col("id").eqNullSafe(F.lit(session_id))
+    own = sessions.where(named | (F.col("project_id") == project)).withColumn("_named", named)
+    return own.orderBy(F.desc("_named"), F.desc(F.coalesce("last_seen_at", "started_at")), F.desc("id")).limit(1).drop("_named")
+
+
 def latest_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")

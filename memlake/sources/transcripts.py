@@ -28,12 +28,14 @@ def discover(spark: SparkSession, root: str, cursors: DataFrame | None = None, s
     return found.orderBy(F.desc("modificationTime"), F.desc("path"))
 
 
-def new_ranges(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+def new_ranges(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES, skip_part: str | None = None) -> DataFrame:
     """(path, base, begin, end): what each file grew by after its cursor, cut into ranges; a cursor past the end is clamped.
 
-    Lengths come from the listing of files, so a file without new bytes is never opened.
+    Lengths come from the listing of files, so a file without new bytes is never opened. Files below a folder named `skip_part` are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("path", "length")
+    if skip_part:
+        files = files.where(~F.array_contains(F.split("path", "/"), skip_part))
     base = F.lit(0).cast("long")
     if cursors is not None:
         files = files.join(cursors.select(F.col("file_path").alias("path"), F.col("last_byte_offset").alias("_at")), "path", "left")
@@ -43,12 +45,12 @@ def new_ranges(spark: SparkSession, root: str, cursors: DataFrame | None = None,
     return cut.select("path", "base", "begin", F.least(F.col("begin") + range_bytes, "length").alias("end"))
 
 
-def read_lines(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, cursors: DataFrame | None = None, range_bytes: int = ranges.RANGE_BYTES, skip_part: str | None = None) -> DataFrame:
     """(path, line_no, line_start, line_end, line) of the complete lines after each file's cursor; line_no is the place of the first byte.
 
     Each range is a task's work, long files are the work of many; a worker holds a block and a line at a time.
     """
-    todo = new_ranges(spark, root, cursors, range_bytes)
+    todo = new_ranges(spark, root, cursors, range_bytes, skip_part)
     n = todo.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
