@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
-from memlake.operators import cluster, evals, recall, state, tasks, turns
-from memlake.shared import fresh_path, sized_stash, small, table
+from memlake.operators import cluster, evals, projects, recall, state, tasks, turns
+from memlake.shared import fresh_path, sized_stash, small, stash, table
 from memlake.sources import transcripts
 from memlake.streaming import turns as streaming
 
@@ -684,3 +684,107 @@ def dark_period_due(spark, sf):
     m = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("unix:"), s.cast("string")).alias("created_at"), F.lit(True).alias("is_active"))
     none = spark.createDataFrame([], "id long, kind string, status string, updated_at string")
     return tasks.consolidation_due(m, none, 300)
+
+
+@_query("WITH m AS (SELECT CAST(floor(epoch(arg_max(ts, event_id))) AS BIGINT) AS seen FROM events WHERE event_type = 'click'), k AS (SELECT CAST(floor(epoch(arg_max(ts, event_id))) AS BIGINT) AS done FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0) SELECT seen + 300 AS due_at FROM m, k WHERE done IS NULL OR done < seen")
+def dark_period_after_work(spark, sf):
+    """Memories are clicks; completed consolidations are every other purchase, other work the rest."""
+    s = F.concat(F.lit("unix:"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), s.alias("at"), "event_type")
+    m = e.where("event_type = 'click'").select("id", F.col("at").alias("created_at"), F.lit(True).alias("is_active"))
+    kind = F.when(F.col("id") % 2 == 0, "memory_consolidation").otherwise("recall")
+    k = e.where("event_type = 'purchase'").select("id", kind.alias("kind"), F.when(F.col("id") % 2 == 0, "completed").otherwise("queued").alias("status"), F.col("at").alias("updated_at"))
+    return tasks.consolidation_due(m, k, 300)
+
+
+# The judge: of the queries by turns, one call fails, one names nothing, one names every third memory and one isn't made.
+_JUDGE_SQL = f"""{_RANK_SQL.replace("{limit}", "12")}, pool AS (SELECT query_id, memory_id, rank, query_id // 100 % 4 AS way, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM k WHERE selected),
+hit AS (SELECT *, way = 2 AND memory_id % 3 = 0 AS hit, bool_or(way = 2 AND memory_id % 3 = 0) OVER (PARTITION BY query_id) AS named FROM pool),
+kept AS (SELECT query_id, memory_id, way, named, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hit WHERE CASE WHEN way IN (0, 3) THEN true WHEN NOT named THEN place = 1 ELSE hit END)"""
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    chosen = stash(recall.select(_ranked(spark, sf), 12), "chosen")
+    way = F.floor(F.col("query_id") / 100) % 4
+    listed = F.concat(F.collect_list(F.when(F.col("selected") & (F.col("memory_id") % 3 == 0), F.col("memory_id"))), F.array(F.lit(-5).cast("long")))
+    v = chosen.groupBy("query_id").agg(listed.alias("n")).where(way != 3)
+    return chosen, v.select("query_id", F.when(way == 1, F.array().cast("array<long>")).when(way == 2, F.col("n")).alias("ids"), F.when(way == 0, "failed").alias("error"))
+
+
+@_query(f"WITH {_JUDGE_SQL} SELECT query_id, memory_id, CAST(place AS BIGINT) AS place, CASE WHEN way IN (0, 3) THEN NULL WHEN named THEN 'keep:llm_semantic_filter' ELSE 'keep:llm_empty_fallback' END AS judge_reason FROM kept WHERE place <= 5")
+def judged_choice(spark, sf):
+    chosen, verdicts = _judged(spark, sf)
+    return recall.judged(chosen, verdicts.drop("error")).select("query_id", "memory_id", F.col("place").cast("long").alias("place"), "judge_reason")
+
+
+@_query(f"""WITH {_JUDGE_SQL}, n AS (SELECT query_id, query_id // 100 % 4 AS way, count(*) FILTER (WHERE selected) AS c FROM k GROUP BY query_id), fin AS (SELECT query_id, count(*) AS final_n, bool_or(way IN (1, 2) AND NOT named) AS e FROM kept WHERE place <= 5 GROUP BY query_id)
+SELECT query_id, least(c, 12) AS candidate_count, least(c, 5) AS deterministic_selected_count, coalesce(final_n, 0) AS final_selected_count, way <> 3 AS llm_attempted, way IN (1, 2) AS llm_applied, coalesce(e, false) AS llm_empty_fallback, CASE WHEN way = 0 THEN 'failed' END AS llm_error FROM n LEFT JOIN fin USING (query_id)""")
+def judge_telemetry(spark, sf):
+    chosen, verdicts = _judged(spark, sf)
+    out = recall.telemetry(chosen, recall.judged(chosen, verdicts.drop("error")), verdicts)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("candidate_count", "deterministic_selected_count", "final_selected_count")})
+
+
+# Projects: hosts are project folders, pages are folders in them; of every seventh page the folder is a worktree beside the project's.
+_FOLDER_SQL = r"""u AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS rest FROM pages WHERE url IS NOT NULL),
+fo AS (SELECT DISTINCT CASE WHEN page_id % 7 = 0 THEN '/w/.' || host || '-codex-worktrees/' || host || '-' || page_id || '/en' ELSE '/w/' || rest END AS path FROM u),
+pr0 AS (SELECT '/w/' || host || CASE WHEN page_id % 5 = 0 THEN '/en' ELSE '' END AS root, 'git@github.com:Org' || page_id % 5 || '/' || host || '.git' AS remote, CASE WHEN page_id % 2 = 0 THEN host || '-pkg' END AS package, CASE page_id % 4 WHEN 0 THEN 'Rust' WHEN 1 THEN 'Node' WHEN 2 THEN 'Python' END AS ecosystem FROM u WHERE page_id % 3 = 0 OR page_id % 5 = 0),
+pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY remote DESC NULLS LAST, package DESC NULLS LAST, ecosystem DESC NULLS LAST) AS r FROM pr0) WHERE r = 1),
+lo AS (SELECT * FROM (SELECT fo.path, pr.root, pr.remote, row_number() OVER (PARTITION BY fo.path ORDER BY length(pr.root) DESC NULLS LAST) AS n FROM fo LEFT JOIN pr ON fo.path = pr.root OR starts_with(fo.path, pr.root || '/')) WHERE n = 1)"""
+_TAG = "replace(lower(regexp_replace(trim({0}), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), '_', '-')"
+
+
+def _folders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    u, i = table(spark, sf, "pages").where("url IS NOT NULL"), F.col("page_id")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    rest = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    path = F.when(i % 7 == 0, F.concat(F.lit("/w/."), host, F.lit("-codex-worktrees/"), host, F.lit("-"), i.cast("string"), F.lit("/en"))).otherwise(F.concat(F.lit("/w/"), rest))
+    kind = F.when(i % 4 == 0, "Rust").when(i % 4 == 1, "Node").when(i % 4 == 2, "Python")
+    known = u.where((i % 3 == 0) | (i % 5 == 0)).select(
+        F.concat(F.lit("/w/"), host, F.when(i % 5 == 0, "/en").otherwise("")).alias("root"), F.concat(F.lit("git@github.com:Org"), (i % 5).cast("string"), F.lit("/"), host, F.lit(".git")).alias("remote"),
+        F.when(i % 2 == 0, F.concat(host, F.lit("-pkg"))).alias("package"), kind.alias("ecosystem"),
+    )
+    return u.select(path.alias("path")).distinct(), known
+
+
+@_query(rf"""WITH {_FOLDER_SQL}, a AS (SELECT path, rtrim(path, '/') AS bare, coalesce(root, rtrim(path, '/')) AS root, lower(regexp_extract(remote, '^git@github\.com:(.*)\.git$', 1)) AS slug FROM lo),
+b AS (SELECT *, regexp_extract(root, '([^/]*)$', 1) AS name, list_filter(string_split(substr(bare, length(root) + 1), '/'), lambda x: x NOT IN ('', '.', 'src', 'lib', 'crates'))[1] AS part FROM a),
+c AS (SELECT *, {_TAG.format('name')} AS nt, {_TAG.format('part')} AS pt FROM b)
+SELECT path, coalesce(slug, name) AS repo_id, root AS repo_root, nullif(pt, '') AS work_area, 'code' AS activity_domain, array_to_string(CASE WHEN nt = '' THEN list_filter([pt], lambda x: x <> '') WHEN coalesce(pt, '') IN ('', nt) THEN [nt] ELSE [nt, pt] END, ',') AS tags FROM c""")
+def path_contexts(spark, sf):
+    folders, known = _folders(spark, sf)
+    return projects.path_contexts(folders, known).select("path", "context.repo_id", "context.repo_root", "context.work_area", "context.activity_domain", F.array_join("context.subject_tags", ",").alias("tags"))
+
+
+@_query(rf"WITH {_FOLDER_SQL}, w AS (SELECT *, '/w/' || regexp_extract(path, '^/w/\.(.*)-codex-worktrees/', 1) AS copied FROM lo) SELECT path, CASE WHEN copied IN (SELECT root FROM pr) THEN copied ELSE coalesce(root, rtrim(path, '/')) END AS project_id FROM w")
+def project_ids(spark, sf):
+    return projects.project_ids(*_folders(spark, sf))
+
+
+@_query(rf"""WITH {_FOLDER_SQL}, a AS (SELECT DISTINCT root AS path, 'phrase ' || length(root) % 3 AS phrase FROM pr UNION SELECT path, 'phrase ' || length(path) % 3 FROM fo)
+SELECT path, concat_ws(', ', pr.package, regexp_extract(rtrim(path, '/'), '([^/]+)$', 1), pr.ecosystem, phrase) AS project_descriptor FROM a LEFT JOIN pr ON pr.root = rtrim(a.path, '/')""")
+def project_descriptors(spark, sf):
+    folders, known = _folders(spark, sf)
+    every = folders.unionByName(known.select(F.col("root").alias("path")))
+    return projects.descriptors(every.withColumn("phrase", F.concat(F.lit("phrase "), (F.length("path") % 3).cast("string"))), known)
+
+
+_LATER_SQL = f"{_T_SQL}, {_E_SQL}, la AS (SELECT ru.id AS run_id, ru.session_id, ru.turn_ordinal, least(count(t.ordinal), 10000) AS later_completed_turns FROM ru LEFT JOIN t ON t.session_id = ru.session_id AND t.status = 'completed' AND t.ordinal > ru.turn_ordinal GROUP BY ALL)"
+
+
+@_query(f"WITH {_LATER_SQL} SELECT run_id, session_id, turn_ordinal, later_completed_turns FROM la")
+def eval_later_turns(spark, sf):
+    return evals.later_counts(_runs(spark, sf).withColumnRenamed("id", "run_id"), _turns(spark, sf))
+
+
+@_query(f"WITH {_LATER_SQL} SELECT run_id, session_id, turn_ordinal, 'n/a' AS score, later_completed_turns FROM la WHERE later_completed_turns > 0 AND run_id IN (SELECT eval_run_id FROM er WHERE judge_score = 'insufficient_context') ORDER BY run_id DESC LIMIT 10")
+def eval_stale_runs(spark, sf):
+    return evals.stale_insufficient(_runs(spark, sf), _results(spark, sf), _turns(spark, sf))
+
+
+@_query(f"""WITH {_E_SQL}, x AS (SELECT ru.id AS run_id, session_id, turn_ordinal, er.id AS rid, er.id % 97 AS memory_id, judge_score, 'why ' || er.id AS rationale, TRY_CAST(judge_score AS BIGINT) AS n FROM er JOIN ru ON ru.id = er.eval_run_id),
+e AS ((SELECT 'low' AS kind, * FROM x WHERE n <= 2 ORDER BY run_id DESC, rid LIMIT 5) UNION ALL (SELECT 'high' AS kind, * FROM x WHERE n >= 4 ORDER BY run_id DESC, rid LIMIT 5))
+SELECT kind, run_id, session_id, turn_ordinal, memory_id, judge_score, rationale FROM e""")
+def eval_score_examples(spark, sf):
+    i = F.col("id")
+    return evals.score_examples(_runs(spark, sf), _results(spark, sf).withColumns({"memory_id": i % 97, "rationale": F.concat(F.lit("why "), i.cast("string"))}))
