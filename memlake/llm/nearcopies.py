@@ -14,7 +14,9 @@ Rows with equal shingle sets form a class. Candidates come in two ways:
 A candidate is dropped if the sizes, the number of first shingles in common, or a bitmap of parities (whose differing bits
 are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
 Where very many classes share a first shingle, they are compared with one of them, the hub, as long as that helps; then
-pairs of different components are left. So no pair is lost.
+pairs of different components are left, which meet by bands of sizes and pairs of bounded blocks, so a frequent shingle is dealt to
+many tasks. So no pair is lost. Shingles outside the hot ones are in no more classes than all rows of shingles by HOT_MOST, about, so
+the steps that need all classes of such a shingle in one task hold few rows.
 
 Edge cases: texts under 5 words are one shingle; null or empty texts have none and form a class. Very long texts are worked on
 in one task, in memory of some times their size. Case is ignored. Shingles and classes are known by 64-bit hashes. Rows are told
@@ -25,6 +27,7 @@ result. Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +50,8 @@ ALIKE = 80
 SAMPLE, HOT, HOT_MOST = 10, 3, 200_000
 #: Hubs are used while the pairs left are more than this many for each row, and while they take away a share of GAIN.
 PAIRS, HUB_ROUNDS, GAIN = 4, 8, 0.2
+#: Rows of a shingle are compared in blocks of about so many, by bands of sizes this far apart (over 100 / ALIKE, so two bands hold any pair).
+BLOCK, BAND = 4096, 1.3
 #: 64-bit words of a class's bitmap of parities.
 BITMAP = 8
 #: Shingles below this, three of ten, are counted over all classes first; the others only for the classes that those leave open.
@@ -183,15 +188,21 @@ def _of_classes(rows: DataFrame, texts: DataFrame, used: DataFrame, lists: Calla
 def _runs(found: Callable[..., pa.RecordBatch], columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For rows sorted by their first column: `found` of the columns, rows with equal first values always in one call."""
 
+    def joined(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * columns
+        rest = [[np.zeros(0, np.int64)] * columns]  # the last run so far, in parts that are joined once
         for b in batches:
-            now = [np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns, strict=True)]
-            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            if last:
-                yield found(*(x[:last] for x in now))
-            rest = [x[last:] for x in now]
-        yield found(*rest)
+            now = [x.to_numpy() for x in b.columns]
+            if not len(now[0]):
+                continue
+            last = np.searchsorted(now[0], now[0][-1])
+            if last or len(rest[-1][0]) and rest[-1][0][0] != now[0][0]:
+                yield joined([*rest, [x[:last] for x in now]])
+                rest = []
+            rest.append([x[last:] for x in now])
+        yield joined(rest)
 
     return run
 
@@ -247,25 +258,39 @@ def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: B
     return stash(flat.select("w", "cid", "n", F.col("i").cast("long").alias("i"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest")), "prefixes")
 
 
-def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
-    """(w, cid, n, i, rest, root, pairs): rows of `first` whose shingle is shared by classes of different components. `pairs` adds
-    up to the number of pairs."""
-    names = ["w", "cid", "n", "i", "rest", "root", "pairs"]
+def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> tuple[DataFrame, int, int]:
+    """(w, cid, n, i, rest, root, size): rows of `first` whose shingle is shared by classes of different components, and by how many
+    classes; then the number of these rows, and of pairs of different components by shingle.
+
+    Rows are counted by shingle and component first, so no task sees all rows of a shingle.
+    """
+    own = first.join(small(named, named_bytes), "cid", "left").select("w", "cid", "n", "i", "rest", F.coalesce("root", "cid").alias("root"))
+    parts = own.groupBy("w", "root").agg(F.count("*").alias("c"))
+    by_w = parts.groupBy("w").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"))
+    met, met_bytes = sized_stash(by_w.where("roots > 1").select("w", "size", F.expr("(size * size - within) div 2").alias("pairs")), "shared")
+    total, pairs = met.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    return stash(own.join(small(met.select("w", "size"), met_bytes), "w"), "apart"), total, pairs
+
+
+def _side(rows: DataFrame, bands: int, suffix: str) -> DataFrame:
+    """`rows` with the keys under which they meet others: shingle, band of sizes and a pair of blocks.
+
+    The rows of a shingle are dealt into blocks of about BLOCK, and every pair of blocks is a key, so a frequent shingle is many tasks.
+    A set goes to its own band, and to the `bands` - 1 below it.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    dealt = dealt.withColumn("band", F.explode(F.array(*(band - i for i in range(bands)))))
+    keys = [F.col("w"), F.col("band"), F.least("block", "across").alias("low"), F.greatest("block", "across").alias("high")]
+    return dealt.select(*keys, *(F.col(x).alias(x + suffix) for x in ("cid", "n", "i", "rest", "root", "block")))
 
-    def shared(w: np.ndarray, root: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
-        part = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (root[1:] != root[:-1])][: len(w)])
-        size = np.diff(np.r_[first, len(w)])
-        own = np.add.reduceat(np.diff(np.r_[part, len(w)]) ** 2, np.searchsorted(part, first)) if len(w) else size
-        apart = (size**2 - own) // 2
-        pairs = np.zeros(len(w), np.int64)
-        pairs[first] = apart
-        keep = np.repeat(apart > 0, size)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w, *others, root, pairs)], names=names)
 
-    own = first.join(small(named, named_bytes), "cid", "left").select("w", F.coalesce("root", "cid").alias("root"), "cid", "n", "i", "rest")
-    flat = own.repartition("w").sortWithinPartitions("w", "root", "cid")
-    return stash(flat.mapInArrow(freeing(_runs(shared, 6)), ", ".join(f"{x} long" for x in names)), "apart")
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of `rows` of one shingle whose sizes may fit, the smaller set first, each once: columns of both, the second's with 2."""
+    both = _side(rows, 1, "").join(_side(rows, 2, "2"), ["w", "band", "low", "high"])
+    ordered = (F.col("n") < F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("cid") < F.col("cid2"))
+    return both.where(ordered & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("block2"))))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -323,29 +348,28 @@ def linked_classes(rows: DataFrame, texts: DataFrame, hot: Broadcast, fingerprin
     named, size = rooted(links)
     with scratch(spark, "prefixes"):
         leading = _first_shingles(rows, texts, _open_classes(rows, classes), hot)
-    left, last = _apart(leading, named, size), None
-    other = [F.col(x).alias(y) for x, y in (("cid", "y"), ("n", "m"), ("i", "j"), ("rest", "after"), ("root", "other"))]
+    (left, total, pairs), last = _apart(leading, named, size), None
+    other = [F.col(x).alias(x + "2") for x in ("cid", "n", "i", "rest", "root")]
     for turn in range(HUB_ROUNDS + 1):
-        total, pairs = left.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not total:
             break
         direct = pairs <= PAIRS * total or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
         if direct:
-            y = left.select("w", *other)
-            found = left.join(y, "w").where(F.col("cid") < F.col("y"))
+            found = _met(left)
         else:
-            y = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
-            y, size = sized_stash(y.select("w", "hub.y", "hub.m", "hub.j", "hub.after", "hub.other"), "hubs")
-            found = left.join(small(y, size), "w")
-        found = found.where((F.col("root") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m")) & _places_fit(*map(F.col, ("n", "i", "rest", "m", "j", "after"))))
-        found = found.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"), "n", "m")
+            hubs = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
+            hubs, size = sized_stash(hubs.select("w", "hub.*").drop("h"), "hubs")
+            found = left.join(small(hubs, size), "w")
+        found = found.where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")) & _places_fit(*map(F.col, ("n", "i", "rest", "n2", "i2", "rest2"))))
+        found = found.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), "n", F.col("n2").alias("m"))
         if direct:  # all that the two share of their first shingles is seen here
             found = found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_can_be_alike(F.col("c"), F.col("n"), F.col("m")))
         links = links.unionByName(verified(found.select("a", "b")))
         named, size = rooted(links)
         if direct:
             break
-        left, last = _apart(leading, named, size), pairs
+        last = pairs
+        left, total, pairs = _apart(leading, named, size)
     return named
 
 

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DOCS, prose
 
@@ -45,15 +47,42 @@ def _mosaic(seed, n):
     return [*rows, "", None, "  "]
 
 
-@pytest.mark.parametrize("pairs", [4, 0])
-def test_is_brute_force(spark, monkeypatch, pairs):
+@pytest.mark.parametrize(("pairs", "block"), [(4, 4096), (0, 4096), (4, 3)])
+def test_is_brute_force(spark, monkeypatch, pairs, block):
     monkeypatch.setattr(nearcopies, "PAIRS", pairs)  # 0: hubs come first
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     rows = list(enumerate(_mosaic(3, 60)))
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
     want = brute_kept(rows)
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want and len(want) < len(rows) - 40
 
 
+def test_pairs_of_a_frequent_shingle_meet_once_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 16)
+    rng = random.Random(5)
+    rows = [(w, 1000 * w + i, rng.choice([5, 8, 10, 99, 100, 124, 125, 1000]), 0, 9, i) for w, size in ((1, 200), (2, 17), (3, 2)) for i in range(size)]
+    first = spark.createDataFrame(rows, "w long, cid long, n long, i long, rest long, root long")
+    named = spark.createDataFrame([(1000 + i, 1000) for i in range(50)], "cid long, root long")
+    left, total, pairs = nearcopies._apart(first.drop("root"), named, 1)
+    assert total == len(rows) and pairs == 200 * 199 // 2 - 50 * 49 // 2 + 17 * 16 // 2 + 1 and left.count() == total
+    side = nearcopies._side(left, 1, "")
+    assert max(r["count"] for r in side.groupBy("w", "band", "low", "high").count().collect()) <= 4 * 16
+    met = nearcopies._met(left).where(nearcopies._sizes_fit(nearcopies.F.col("n"), nearcopies.F.col("n2"))).select("cid", "cid2").collect()
+    want = {frozenset((a[1], b[1])) for a, b in combinations(rows, 2) if a[0] == b[0] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])}
+    assert len(met) == len(want) and {frozenset(r) for r in met} == want
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_runs_are_whole_whatever_the_batches(step):
+    w = np.array([1, 1, 1, 1, 2, 3, 3, 3, 3, 3, 4, 9, 9], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(w[i : i + step]), pa.array(np.arange(len(w))[i : i + step])], names=["w", "c"]) for i in range(0, len(w), step)]
+    calls = []
+    list(nearcopies._runs(lambda w, c: calls.append((w.tolist(), c.tolist())), 2)(iter([batches[0].slice(0, 0), *batches])))
+    assert sum((x for x, _ in calls), []) == w.tolist() and sum((y for _, y in calls), []) == list(range(len(w)))
+    seen = [set(x) for x, _ in calls]
+    assert all(not a & b for a, b in combinations(seen, 2))
+
+
 def test_prefix_is_wide_enough():
     for n in range(1, 300):
         least = -(-8 * n // 10)
