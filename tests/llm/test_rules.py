@@ -86,6 +86,17 @@ def test_url_rules(spark, make):
     same(urls.query(spark, d), d, catalog.oracle_sql()["op10_url_filter"])
 
 
+def test_contract_verdicts(spark, make):
+    """Each fixed rule's word as the contract lists it."""
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for h, p, v in urls.RULES} == want
+    d = make(pages=[(i, f"http://{t}", "") for i, t in enumerate(want)] + [(9, "http://x.net/de/1", "")])
+    df = urls.query(spark, d)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in df.collect()}
+    assert got == dict(enumerate(want.items())) | {9: ("net/de/", "allow")}
+    same(df, d, catalog.oracle_sql()["op10_url_filter"])
+
+
 def test_mined_rule(spark, make):
     pages = [(i, f"http://site{i % 9}.org/{'spam' if i % 3 == 0 else 'good'}/{'win' if i % 2 == 0 else 'news'}/{i}", "") for i in range(300)]
     labels = [(i, 1, int(i % 6 == 0)) for i in range(250)] + [(None, 0, 1), (3, None, None)]
