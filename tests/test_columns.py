@@ -45,3 +45,22 @@ def test_asof_is_all_pairs(spark):
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted(want)
     empty = evals.best_before(q.where("query_id < 0"), m, "qt", "t", F.lit(1), F.col("t"))
     assert empty.count() == 0 and evals.candidates_before(q, m.where("id < 0"), "qt", "t").count() == 0
+
+
+def test_keyed_asof_is_all_pairs(spark, monkeypatch):
+    """Groups over many tasks, equal times, nulls, ties and repeated rows, against the SQL's pairs; rows swept grow with rows, not with pairs."""
+    rng = random.Random(5)
+    rows = [(i // 2 if i < 40 else i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, *range(30)]), rng.random() < 0.6, rng.choice([None, 0.0, 0.5, 1.0, 1.5, float("nan"), *map(float, range(9))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, m boolean, v double").repartition(5)
+    q = df.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("t").alias("qt"), F.col("k").alias("qk"))
+    m = df.select("id", "k", "t", "v", F.col("m").alias("is_active"))
+    made = []
+    monkeypatch.setattr(evals, "_swept", lambda rows, tasks, limit, f=evals._swept: made.append(tasks) or f(rows, tasks, limit))
+    score = F.when(F.col("k") == F.col("qk"), 1).otherwise(0) + F.col("v")
+    want = sorted((r["query_id"], r["rank"], r["id"], str(r["score"])) for r in evals.best_before(q, m, "qt", "t", score, F.col("t")).collect())
+    for swept in (100_000, 25):
+        monkeypatch.setattr(evals, "SWEPT", swept)
+        got = evals.best_before_keyed(q, m, "qt", "t", "qk", "k", 0 + F.col("v"), 1 + F.col("v"), F.col("t")).collect()
+        assert sorted((r["query_id"], r["rank"], r["id"], str(r["score"])) for r in got) == want
+    assert made[0] == 1 and made[1] > 20 and len(want) > 300
+    assert evals.best_before_keyed(q, m.where("id < 0"), "qt", "t", "qk", "k", F.lit(0), F.lit(1), F.col("t")).count() == 0
