@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.words import coded_words, freeing, text_groups
-from memlake.shared import sized_stash, small, table
+from memlake.shared import arrow_rows, sized_stash, small, table
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -40,8 +40,8 @@ PIECES_PER_TASK = 50_000
 FREE_AT_MOST = 8
 FAN_IN = 8
 MIN_GAIN = 0.002
-#: Words that a task remembers at most, about.
-CACHE_WORDS = 350_000
+#: Words that a task remembers at most, about; bytes of text it works on at once, and rows it is sent at once: two such tasks share a machine's memory with the JVM.
+CACHE_WORDS, GROUP, ROWS = 200_000, 1 << 20, 1000
 
 #: ASCII marks, Latin letters, ASCII marks. Before letters no "'", which can begin a part of its own there, and no "<", which can begin a special token.
 _FAST = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
         tokens = WordTokenizer(path)  # its words are forgotten with the task, as a worker lives on through other stages
         for b in batches:
             row = 0
-            for texts in text_groups(b.column(1)):
+            for texts in text_groups(b.column(1), GROUP):
                 ids, ends = tokens.ids_of(texts)
                 begins = np.concatenate([[0], ends[:-1]])
                 counts = -(-(ends - begins) // max_tokens)
@@ -262,7 +262,8 @@ def pack(found: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     Pieces take part in the first round only. Up the tree go the numbers and fills of underfull bins; at the end these
     rounds' rows, a small part of all, name the sequence and the place of each bin of the round below, down to the pieces.
     """
-    found, _ = sized_stash(found.select(*_FIELDS).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with arrow_rows(found.sparkSession, ROWS):
+        found, _ = sized_stash(found.select(*_FIELDS).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == max_tokens
     alone = found.where(whole).select(*_FIELDS, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = found.where(~whole).withColumn("fill", F.col("length"))

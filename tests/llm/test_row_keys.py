@@ -42,3 +42,18 @@ def test_packing_deals_by_row(spark, monkeypatch):
             ends.append(o + n)
         assert ends[-1] <= 2048
     assert len(seqs) <= 1.03 * sum(r["length"] for r in got) / 2048 + 1
+
+
+def test_packing_sends_few_rows_at_once(spark):
+    """Tasks that make pieces run inside pack() and get at most ROWS rows at once; the setting is as before afterwards."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([0]), pa.array([b.num_rows]), pa.array([0])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    found = spark.range(5000).coalesce(1).mapInArrow(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = [r["length"] for r in packing.pack(found, 1_000_000).collect()]
+    assert sum(got) == 5000 and max(got) <= packing.ROWS and spark.conf.get(key) == before
