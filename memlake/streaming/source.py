@@ -1,13 +1,15 @@
 """A streaming source of complete lines of growing JSONL files, with a byte cursor for each file.
 
 The offset is {path: byte after the last complete line}; a partial last line waits, and a file that did not grow is not opened. What a
-file grew by is cut into ranges of bounded size, which executors read from the store that holds them.
+file grew by is cut into ranges of bounded size, which executors read from the store that holds them. A task takes many small ranges,
+so tasks grow with the bytes and not with the files.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -16,9 +18,15 @@ from memlake.sources import ranges
 SCHEMA = "path string, line_start long, line_end long, line string"
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int, base: int):
-        self.path, self.begin, self.end, self.base = path, begin, end, base
+#: What opening a file counts for, in bytes, when ranges are dealt to tasks; and threads that ask for the ends of grown files.
+OPENING, ASKING = 256 << 10, 16
+
+
+class Ranges(InputPartition):
+    """Ranges (path, begin, end, base) of one task."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 class _Reader(DataSourceStreamReader):
@@ -31,23 +39,30 @@ class _Reader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for path, length in ranges.listing(self.root, self.suffix):
-            if length != self.lengths.get(path):
-                self.seen[path] = ranges.complete_end(path, self.seen.get(path, 0))
-                self.lengths[path] = length
+        grown = [(path, length) for path, length in ranges.listing(self.root, self.suffix) if length != self.lengths.get(path)]
+        with ThreadPoolExecutor(ASKING) as pool:
+            ends = pool.map(lambda x: ranges.complete_end(x[0], self.seen.get(x[0], 0)), grown)
+            self.seen.update((path, end) for (path, _), end in zip(grown, ends, strict=True))
+        self.lengths.update(grown)
         return dict(sorted(self.seen.items()))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        out, room = [], 0
         for path, stop in end.items():
             base = start.get(path, 0)
-            out += [Range(path, at, min(at + self.size, stop), base) for at in range(base, stop, self.size)]
-        return out or [Range("", 0, 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if partition.path:
-            for begin, end, line in ranges.lines_in(partition.path, partition.begin, partition.end, partition.base):
-                yield partition.path, begin, end, line.rstrip(b"\r").decode("utf-8", "replace")
+            for at in range(base, stop, self.size):
+                cost = min(self.size, stop - at) + OPENING
+                if cost > room:
+                    out.append(Ranges([]))
+                    room = self.size + OPENING
+                out[-1].ranges.append((path, at, min(at + self.size, stop), base))
+                room -= cost
+        return out or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for path, begin, end, base in partition.ranges:
+            for first, last, line in ranges.lines_in(path, begin, end, base):
+                yield path, first, last, line.rstrip(b"\r").decode("utf-8", "replace")
 
 
 class TranscriptLines(DataSource):

@@ -122,3 +122,20 @@ def test_idle_files_are_flushed(spark, tmp_path):
         q.stop()
     assert sorted((r["ordinal"], r["pending"]) for r in rows if r["status"] == "flush") == [(0, 2), (2, 1)]
     assert sorted(r["ordinal"] for r in rows if r["status"] != "flush") == [0, 1, 2]
+
+
+def test_small_files_share_tasks(tmp_path):
+    """Many small files are few tasks, all ranges are there once, and a long file is still cut."""
+    from memlake.streaming import source
+
+    for i in range(300):
+        (tmp_path / f"s{i}.jsonl").write_text(f'{{"i": {i}}}\n' * 2 + "rest")
+    (tmp_path / "long.jsonl").write_text("x" * 99 + "\n" + '{"k": 1}\n' * 300_000)
+    reader = source._Reader(str(tmp_path), ".jsonl", 1 << 20)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    parts = reader.partitions(start, end)
+    dealt = [r for p in parts for r in p.ranges]
+    assert len(parts) < 100 and len(dealt) == len(set(dealt)) == 300 + 3
+    lines = [x for p in parts for x in reader.read(p)]
+    assert len(lines) == 300 * 2 + 300_001 and len({x[:2] for x in lines}) == len(lines)
+    assert reader.partitions(end, reader.latestOffset())[0].ranges == []
