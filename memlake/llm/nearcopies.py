@@ -11,11 +11,11 @@ Rows with equal shingle sets form a class. Candidates come in two ways:
    have a shingle; shingles that are frequent in a sample aren't counted and come last. Slice and sample bear on the time only.
    Pairs that are one component already are left out, as a link there changes nothing.
 
-A candidate is dropped if the sizes, the number of first shingles in common, or a bitmap of parities (whose differing bits
+A candidate is dropped if the sizes, the places of a shingle in common, or a bitmap of parities (whose differing bits
 are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
 Where very many classes share a first shingle, they are compared with one of them, the hub, as long as that helps; then
-pairs of different components are left, which meet by bands of sizes and pairs of bounded blocks, so a frequent shingle is dealt to
-many tasks. So no pair is lost. Shingles outside the hot ones are in no more classes than all rows of shingles by HOT_MOST, about, so
+pairs of different components are left, which meet inside tasks by pairs of bounded blocks, so a frequent shingle is dealt to many
+tasks and only pairs that pass become rows. So no pair is lost. Shingles outside the hot ones are in no more classes than all rows of shingles by HOT_MOST, about, so
 the steps that need all classes of such a shingle in one task hold few rows.
 
 Edge cases: texts under 5 words are one shingle; null or empty texts have none and form a class. Very long texts are worked on
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.words import coded_words, freeing, text_groups
 from memlake.operators.components import components
+from memlake.operators.sweep import differ, met_pairs
 from memlake.shared import scratch, sized_stash, small, stash
 
 SEED = 42
@@ -234,8 +235,8 @@ def _open_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: Broadcast) -> DataFrame:
-    """(w, cid, n, i, rest): the first shingles of the classes in `opened` (cid, n) that others of them have too, how many such
-    come before it in the class, and how many shingles of the class come after it.
+    """(cid, n, alone, first): for each class in `opened` (cid, n) the number of its shingles that no other of them has, and in order those of
+    its first shingles that others have too.
 
     The order is: shingles of one of the classes, then by the number of classes, then hot ones by their rows in the sample.
     """
@@ -254,17 +255,27 @@ def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: B
     both = opened.join(one, "cid").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
     alone = F.col("rares") - F.size("met")
     first = F.concat(F.slice("met", F.lit(1), F.greatest(_prefix(F.col("n")) - alone, F.lit(0)).cast("int")), "hot")
-    flat = both.select("cid", "n", alone.alias("alone"), F.posexplode(first).alias("i", "w"))
-    return stash(flat.select("w", "cid", "n", F.col("i").cast("long").alias("i"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest")), "prefixes")
+    return stash(both.select("cid", "n", alone.alias("alone"), first.alias("first")).where(F.size("first") > 0), "prefixes")
+
+
+def _rooted(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
+    """(w, cid, n, i, rest, root): a row for each of the `first` shingles, with how many such come before it in the class, and how many shingles of
+    the class come after it. A class gets its component before its shingles become rows."""
+    own = first.join(small(named, named_bytes), "cid", "left").select("cid", "n", "alone", F.coalesce("root", "cid").alias("root"), F.posexplode("first").alias("i", "w"))
+    return own.select("w", "cid", "n", F.col("i").cast("long").alias("i"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest"), "root")
 
 
 def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> tuple[DataFrame, int, int]:
-    """(w, cid, n, i, rest, root, size): rows of `first` whose shingle is shared by classes of different components, and by how many
+    """_parted() of rows (w, cid, n, i, rest) whose components are in `named`."""
+    return _parted(first.join(small(named, named_bytes), "cid", "left").select("w", "cid", "n", "i", "rest", F.coalesce("root", "cid").alias("root")))
+
+
+def _parted(own: DataFrame) -> tuple[DataFrame, int, int]:
+    """(w, cid, n, i, rest, root, size): rows of `own` whose shingle is shared by classes of different components, and by how many
     classes; then the number of these rows, and of pairs of different components by shingle.
 
     Rows are counted by shingle and component first, so no task sees all rows of a shingle.
     """
-    own = first.join(small(named, named_bytes), "cid", "left").select("w", "cid", "n", "i", "rest", F.coalesce("root", "cid").alias("root"))
     parts = own.groupBy("w", "root").agg(F.count("*").alias("c"))
     by_w = parts.groupBy("w").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"))
     met, met_bytes = sized_stash(by_w.where("roots > 1").select("w", "size", F.expr("(size * size - within) div 2").alias("pairs")), "shared")
@@ -272,6 +283,16 @@ def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> tuple[DataFr
     return stash(own.join(small(met.select("w", "size"), met_bytes), "w"), "apart"), total, pairs
 
 
+def _fits(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of different components can be alike, by sizes, places and bitmaps."""
+    n, total = cols["n"], cols["n"][i] + cols["n"][j]
+    shared = np.minimum(cols["i"][i], cols["i"][j]) + 1 + np.minimum(cols["rest"][i], cols["rest"][j])
+    good = (cols["root"][i] != cols["root"][j]) & (n[i] * 100 >= n[j] * ALIKE) & (shared * (100 + ALIKE) >= total * ALIKE)
+    place = np.flatnonzero(good)
+    good[place[differ(cols["bits"], i[place], j[place]) * (100 + ALIKE) > total[place] * (100 - ALIKE)]] = False
+    return good
+
+
 def _side(rows: DataFrame, bands: int, suffix: str) -> DataFrame:
     """`rows` with the keys under which they meet others: shingle, band of sizes and a pair of blocks.
 
@@ -287,12 +308,22 @@ def _side(rows: DataFrame, bands: int, suffix: str) -> DataFrame:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Pairs of `rows` of one shingle whose sizes may fit, the smaller set first, each once: columns of both, the second's with 2."""
+    """Pairs of `rows` of one shingle whose sizes may fit, the smaller set first, each once: columns of both, the second's with 2.
+
+    A plain join, which makes a row of each pair; tests hold _compared() to it.
+    """
     both = _side(rows, 1, "").join(_side(rows, 2, "2"), ["w", "band", "low", "high"])
     ordered = (F.col("n") < F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("cid") < F.col("cid2"))
     return both.where(ordered & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("block2"))))
 
 
+def _compared(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of _met() that can be alike, from `classes` (cid, bits). They are compared inside tasks, so a pair that can't be is never a row."""
+    dealt = _side(rows, 1, "").join(classes.select("cid", "bits"), "cid")
+    side = F.when(F.col("low") == F.col("high"), F.lit(-1).cast("long")).otherwise(F.col("block")).alias("side")
+    return met_pairs(dealt.select(F.xxhash64("w", "low", "high").alias("key"), F.col("cid").alias("id"), "n", side, "i", "rest", "root", "bits"), ALIKE / 100, _fits)
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * ALIKE
 
@@ -302,12 +333,6 @@ def _places_fit(n: Column, i: Column, rest: Column, m: Column, j: Column, after:
     return (F.least(i, j) + 1 + F.least(rest, after)) * (100 + ALIKE) >= (n + m) * ALIKE
 
 
-def _can_be_alike(c: Column, n: Column, m: Column) -> Column:
-    """Sets of n and m with c common ones among their first shingles share at most those and what follows one's first ones."""
-    after = F.ceil(F.greatest(n, m) * ALIKE / 100 - 1e-9) - 1
-    return (c + after) * (100 + ALIKE) >= (n + m) * ALIKE
-
-
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are alike: by sizes and bitmaps first, then by their whole sets."""
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
@@ -348,28 +373,26 @@ def linked_classes(rows: DataFrame, texts: DataFrame, hot: Broadcast, fingerprin
     named, size = rooted(links)
     with scratch(spark, "prefixes"):
         leading = _first_shingles(rows, texts, _open_classes(rows, classes), hot)
-    (left, total, pairs), last = _apart(leading, named, size), None
+    (left, total, pairs), last = _parted(_rooted(leading, named, size)), None
     other = [F.col(x).alias(x + "2") for x in ("cid", "n", "i", "rest", "root")]
     for turn in range(HUB_ROUNDS + 1):
         if not total:
             break
         direct = pairs <= PAIRS * total or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
         if direct:
-            found = _met(left)
+            found = _compared(left, classes)
         else:
             hubs = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
             hubs, size = sized_stash(hubs.select("w", "hub.*").drop("h"), "hubs")
             found = left.join(small(hubs, size), "w")
-        found = found.where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")) & _places_fit(*map(F.col, ("n", "i", "rest", "n2", "i2", "rest2"))))
-        found = found.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), "n", F.col("n2").alias("m"))
-        if direct:  # all that the two share of their first shingles is seen here
-            found = found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_can_be_alike(F.col("c"), F.col("n"), F.col("m")))
+            found = found.where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")) & _places_fit(*map(F.col, ("n", "i", "rest", "n2", "i2", "rest2"))))
+            found = found.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
         links = links.unionByName(verified(found.select("a", "b")))
         named, size = rooted(links)
         if direct:
             break
         last = pairs
-        left, total, pairs = _apart(leading, named, size)
+        left, total, pairs = _parted(_rooted(leading, named, size))
     return named
 
 
