@@ -13,8 +13,9 @@ Rows with equal shingle sets form a class. Candidates come in two ways:
 
 A candidate is dropped if the sizes, the places of a shingle in common, or a bitmap of parities (whose differing bits
 are never more than the differing shingles) show that it can't reach 0.8; what is left is compared as whole sets.
-Where very many classes share a first shingle, they are compared with one of them, the hub, as long as that helps; then
-pairs of different components are left, which meet inside tasks by pairs of bounded blocks, so a frequent shingle is dealt to many
+Classes with the same first of all shingles are compared with one of them first, a row a class, as most near-copies meet there; then the first
+shingles become rows. Where very many classes share one, they are compared with one of them, the hub, as long as that helps, and each round
+goes on with the rows that the last one left; then pairs of different components are left, which meet inside tasks by pairs of bounded blocks, so a frequent shingle is dealt to many
 tasks and only pairs that pass become rows. So no pair is lost. Shingles outside the hot ones are in no more classes than all rows of shingles by HOT_MOST, about, so
 the steps that need all classes of such a shingle in one task hold few rows.
 
@@ -49,7 +50,7 @@ SHINGLE = 5
 ALIKE = 80
 #: One row in so many is sampled for the order of shingles; those in HOT rows of the sample or more come last, HOT_MOST shingles at most.
 SAMPLE, HOT, HOT_MOST = 10, 3, 200_000
-#: Hubs are used while the pairs left are more than this many for each row, and while they take away a share of GAIN.
+#: Hubs are used while the pairs left are more than this many for each row of first shingles, and while they take away a share of GAIN.
 PAIRS, HUB_ROUNDS, GAIN = 4, 8, 0.2
 #: Rows of a shingle are compared in blocks of about so many, by bands of sizes this far apart (over 100 / ALIKE, so two bands hold any pair).
 BLOCK, BAND = 4096, 1.3
@@ -236,7 +237,7 @@ def _open_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: Broadcast) -> DataFrame:
     """(cid, n, alone, first): for each class in `opened` (cid, n) the number of its shingles that no other of them has, and in order those of
-    its first shingles that others have too.
+    its first shingles that others have too, as (i, w) with their places.
 
     The order is: shingles of one of the classes, then by the number of classes, then hot ones by their rows in the sample.
     """
@@ -255,14 +256,27 @@ def _first_shingles(rows: DataFrame, texts: DataFrame, opened: DataFrame, hot: B
     both = opened.join(one, "cid").join(met, "cid", "left").withColumn("met", F.coalesce(F.col("met.w"), F.array().cast("array<long>")))
     alone = F.col("rares") - F.size("met")
     first = F.concat(F.slice("met", F.lit(1), F.greatest(_prefix(F.col("n")) - alone, F.lit(0)).cast("int")), "hot")
-    return stash(both.select("cid", "n", alone.alias("alone"), first.alias("first")).where(F.size("first") > 0), "prefixes")
+    placed = F.transform(first, lambda w, i: F.struct(i.cast("long").alias("i"), w.alias("w")))
+    return stash(both.select("cid", "n", alone.alias("alone"), placed.alias("first")).where(F.size("first") > 0), "prefixes")
 
 
 def _rooted(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
-    """(w, cid, n, i, rest, root): a row for each of the `first` shingles, with how many such come before it in the class, and how many shingles of
-    the class come after it. A class gets its component before its shingles become rows."""
-    own = first.join(small(named, named_bytes), "cid", "left").select("cid", "n", "alone", F.coalesce("root", "cid").alias("root"), F.posexplode("first").alias("i", "w"))
-    return own.select("w", "cid", "n", F.col("i").cast("long").alias("i"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest"), "root")
+    """(w, cid, n, i, rest, root): a row for each of the `first` shingles (i, w) of a class, where i is how many such came before it, and rest how many
+    shingles of the class come after it. A class gets its component before its shingles become rows."""
+    own = first.join(small(named, named_bytes), "cid", "left").select("cid", "n", "alone", F.coalesce("root", "cid").alias("root"), F.inline("first"))
+    return own.select("w", "cid", "n", "i", (F.col("n") - F.col("alone") - F.col("i") - 1).alias("rest"), "root")
+
+
+def _still_open(left: DataFrame) -> DataFrame:
+    """The rows of _parted() as classes (cid, n, alone, first) for _rooted(). Components only merge, so no other shingle of theirs can part any later."""
+    alone = F.col("n") - F.col("i") - F.col("rest") - 1
+    return stash(left.groupBy("cid").agg(F.first("n").alias("n"), F.first(alone).alias("alone"), F.collect_list(F.struct("i", "w")).alias("first")), "open_prefixes")
+
+
+def _leading(first: DataFrame, named: DataFrame, named_bytes: int) -> DataFrame:
+    """(w, cid, n, i, rest, root) of each class's first shingle alone, a row a class."""
+    own = first.join(small(named, named_bytes), "cid", "left").select("cid", "n", "alone", F.coalesce("root", "cid").alias("root"), F.col("first")[0].alias("x"))
+    return own.select("x.w", "cid", "n", "x.i", (F.col("n") - F.col("alone") - 1).alias("rest"), "root")
 
 
 def _apart(first: DataFrame, named: DataFrame, named_bytes: int) -> tuple[DataFrame, int, int]:
@@ -284,9 +298,12 @@ def _parted(own: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def _fits(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of different components can be alike, by sizes, places and bitmaps."""
+    """Which pairs of different components can be alike, by sizes, places and bitmaps, where this is the first shingle that they share.
+
+    Alike pairs pass at the first, as all their rows are compared, so most rows of a pair that meets in many shingles are not made.
+    """
     n, total = cols["n"], cols["n"][i] + cols["n"][j]
-    shared = np.minimum(cols["i"][i], cols["i"][j]) + 1 + np.minimum(cols["rest"][i], cols["rest"][j])
+    shared = 1 + np.minimum(cols["rest"][i], cols["rest"][j])
     good = (cols["root"][i] != cols["root"][j]) & (n[i] * 100 >= n[j] * ALIKE) & (shared * (100 + ALIKE) >= total * ALIKE)
     place = np.flatnonzero(good)
     good[place[differ(cols["bits"], i[place], j[place]) * (100 + ALIKE) > total[place] * (100 - ALIKE)]] = False
@@ -373,26 +390,29 @@ def linked_classes(rows: DataFrame, texts: DataFrame, hot: Broadcast, fingerprin
     named, size = rooted(links)
     with scratch(spark, "prefixes"):
         leading = _first_shingles(rows, texts, _open_classes(rows, classes), hot)
-    (left, total, pairs), last = _parted(_rooted(leading, named, size)), None
     other = [F.col(x).alias(x + "2") for x in ("cid", "n", "i", "rest", "root")]
+
+    def met_hubs(left: DataFrame, turn: int) -> DataFrame:
+        hubs = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
+        hubs, size = sized_stash(hubs.select("w", "hub.*").drop("h"), "hubs")
+        found = left.join(small(hubs, size), "w")
+        found = found.where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")) & _places_fit(*map(F.col, ("n", "i", "rest", "n2", "i2", "rest2"))))
+        return found.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+
+    links = links.unionByName(verified(met_hubs(_leading(leading, named, size), -1)))
+    named, size = rooted(links)
+    opening = leading.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
+    (left, total, pairs), last = _parted(_rooted(leading, named, size)), None
     for turn in range(HUB_ROUNDS + 1):
         if not total:
             break
-        direct = pairs <= PAIRS * total or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
-        if direct:
-            found = _compared(left, classes)
-        else:
-            hubs = left.groupBy("w").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *other)).alias("hub"))
-            hubs, size = sized_stash(hubs.select("w", "hub.*").drop("h"), "hubs")
-            found = left.join(small(hubs, size), "w")
-            found = found.where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")) & _places_fit(*map(F.col, ("n", "i", "rest", "n2", "i2", "rest2"))))
-            found = found.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-        links = links.unionByName(verified(found.select("a", "b")))
+        direct = pairs <= PAIRS * opening or turn == HUB_ROUNDS or last is not None and pairs > (1 - GAIN) * last
+        links = links.unionByName(verified(_compared(left, classes) if direct else met_hubs(left, turn)))
         named, size = rooted(links)
         if direct:
             break
         last = pairs
-        left, total, pairs = _parted(_rooted(leading, named, size))
+        left, total, pairs = _parted(_rooted(_still_open(left), named, size))
     return named
 
 

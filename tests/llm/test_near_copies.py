@@ -72,6 +72,26 @@ def test_pairs_of_a_frequent_shingle_meet_once_in_bounded_blocks(spark, monkeypa
     assert len(met) == len(want) and {frozenset(r) for r in met} == want
 
 
+def test_later_rounds_go_on_with_the_rows_left(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PAIRS", 0)
+    rooted, parted, made, left = nearcopies._rooted, nearcopies._parted, [], []
+
+    def counted(first, *named):
+        made.append(sum(len(r["first"]) for r in first.select("first").collect()))
+        return rooted(first, *named)
+
+    def told(own):
+        left.append(parted(own)[1])
+        return parted(own)
+
+    monkeypatch.setattr(nearcopies, "_rooted", counted)
+    monkeypatch.setattr(nearcopies, "_parted", told)
+    rows = list(enumerate(_mosaic(3, 60)))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == brute_kept(rows)
+    assert len(made) > 1 and made[1:] == left[:-1] and made[1] < made[0]
+
+
 @pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
 def test_runs_are_whole_whatever_the_batches(step):
     w = np.array([1, 1, 1, 1, 2, 3, 3, 3, 3, 3, 4, 9, 9], np.int64)
