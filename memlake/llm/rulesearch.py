@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from memlake.shared import sized_stash, small, stash
 
 #: A task's transactions times the tokens of its widest wanted set; and the tokens of wanted sets that a task goes through.
-CELLS, PIECE = 1 << 23, 1 << 14
+CELLS, PIECE = 1 << 23, 1 << 11
 
 
 def _open_to(has: np.ndarray, bad: np.ndarray, good: np.ndarray, lost: np.ndarray, least: int, min_confidence: float) -> bool:
@@ -165,7 +165,8 @@ def searched(data: DataFrame, wanted: DataFrame | None, least: int, min_confiden
         pieces = F.greatest(F.lit(1), F.least(F.ceil(F.col("looks") / PIECE), F.floor(4 * CELLS / F.greatest("tokens", F.lit(1))))).cast("int")
         ends = small(nodes.where(~sure & ~large & (F.col("widest") > 0)).select("prefix", pieces.alias("pieces")), nodes_size)
         at = F.when(is_wanted, F.array(F.pmod(F.xxhash64("items"), F.col("pieces")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
-        parts = rows.join(ends, "prefix").withColumn("piece", F.explode(at)).groupBy("prefix", "piece")
+        tasks = min(nodes.where(~sure & ~large).agg(F.sum(pieces)).first()[0] or 1, 2000)  # by number, as pieces are small in bytes but long in work
+        parts = rows.join(ends, "prefix").withColumn("piece", F.explode(at)).repartition(tasks, "prefix", "piece").groupBy("prefix", "piece")
         found.append(stash(parts.applyInArrow(lambda t: _part(t, least, min_confidence, every), "need array<string>, hits long, freq long"), "found"))
         rest = nodes.where(~sure & large).select("prefix")
         if rest.isEmpty():
