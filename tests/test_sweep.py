@@ -3,9 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from memlake.operators import cluster, sweep
+from memlake.functions import text as tx
+from memlake.operators import cluster, sweep, wordsets
 
 
 def _rows(n):
@@ -48,3 +50,55 @@ def test_common_titles_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(cluster, "overlaps", lambda met, *rest: seen.append(met.count()) or whole(met, *rest))
     got = {tuple(r) for r in cluster.alike_pairs(sets, cluster.ALIKE).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(10)} and seen[0] <= 40
+
+
+def test_a_common_word_in_few_prefixes_is_dealt_by_these(spark):
+    rows = [(i, "p", ["everywhere", *(f"w{i}-{k}" for k in range(9))]) for i in range(300)] + [(900, "p", ["everywhere"]), (901, "p", ["everywhere"])]
+    df = spark.createDataFrame(rows, "id long, part string, t array<string>").select("id", "part", cluster._hashed(F.col("t")).alias("t"))
+    keyed = sweep.prefix_rows(df, "t", 0.9, 8, block=4)
+    assert keyed.where("id >= 900").count() == 2  # 302 sets hold the word, in 76 blocks of 4
+    assert [tuple(r) for r in sweep.met_pairs(keyed, 0.9, sweep.overlap_fits(0.9), sketched=True).collect()] == [(900, 901)]
+
+
+def test_tiles_keep_all_that_may_overlap():
+    rng = np.random.default_rng(5)
+    n = np.sort(rng.integers(1, 90, 300)).astype(np.int32)
+    of, pool = np.repeat(np.arange(300), n), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    for words in (1, 2, 8, 16):
+        s = sweep.sketch(rng.choice(pool, len(of)), of, 300, words)
+        s[100:200] = s[rng.integers(100, 300, 100)]
+        s[100:200, 0] ^= rng.integers(0, 4, 100).astype(np.uint64)
+        stop = np.searchsorted(n, np.floor(n / 0.72 + 1e-6), side="right")
+        got = [p for i, j in sweep._by_tiles(s, n, stop, 0.72) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        want = {(i, j) for i in range(300) for j in range(i + 1, stop[i]) if np.bitwise_count(s[i] ^ s[j]).sum() <= sweep.allowed(n[i] + n[j], 0.72)}
+        assert len(got) == len(set(got)) and want <= set(got) and len(want) > 20
+        i, j = np.array(got).T
+        assert (sweep.differ(s, i, j) == np.bitwise_count(s[i] ^ s[j]).sum(axis=1)).all()
+
+
+def test_long_runs_give_all_pairs(spark):
+    """Hundreds of sets under one rare word, most of them unlike."""
+    rng, rows = random.Random(9), []
+    for i in range(240):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 30]))] if i % 6 else rows[-1][2][2:] if rows else ["x", "y", "z"]
+        rows.append((i, "p", ["shared", *base]))
+    df = spark.createDataFrame(rows, "id long, part string, t array<string>").select("id", "part", cluster._hashed(F.col("t")).alias("t"))
+    want = {(a, b) for (a, _, s), (b, _, t) in combinations(rows, 2) if len(set(s) & set(t)) >= 0.5 * len(set(s) | set(t))}
+    for block in (64, 4096):
+        met = sweep.met_pairs(sweep.prefix_rows(df, "t", 0.5, 8, block=block), 0.5, sweep.overlap_fits(0.5), sketched=True)
+        got = {tuple(r) for r in met.collect()}
+        assert want <= got and 20 < len(want) and len(got) <= 2 * len(want) + 20
+
+
+def test_word_sets_are_those_of_similarity_tokens(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abAB09 é_\n-z") for _ in range(rng.choice([1, 2, 5, 40, 300]))) for _ in range(400)]
+    texts += [None, "", "the", "The AND x", "a" * 70 + " " + "A" * 70 + " " + "a" * 71, "KK ab", "ab", "AB"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3).withColumn("w", tx.similarity_tokens(F.col("t")))
+    got = wordsets.word_sets(df, ("t",), "test").collect()
+    name = {w: None for r in got for w in r["w"]}
+    for r in got:  # each word has one hash everywhere, and no two share one
+        assert len(r["t"]) == len(set(r["t"])) == len(r["w"]) and r["t"] == sorted(r["t"])
+    one = wordsets.word_sets(spark.createDataFrame([(w, w) for w in name], "w string, t string"), ("t",), "test").collect()
+    name = {r["w"]: r["t"][0] for r in one}
+    assert len(set(name.values())) == len(name) > 500 and all({name[w] for w in r["w"]} == set(r["t"]) for r in got)
