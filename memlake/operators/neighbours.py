@@ -9,6 +9,8 @@ matrix product. A cell that no longer splits (its rows are hardly apart) is cut
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,8 @@ from memlake.shared import sized_stash, small, stash
 
 #: Rows of a block, pivots of a cell, rows of a task that looks for pivots, and levels of the tree, at most.
 BLOCK, FAN, CHUNK, LEVELS = 1024, 32, 8192, 12
+#: Blocks of a side of a task of near_links(), and numbers of its vectors, at most.
+SIDE, NUMBERS = 16, 1 << 21
 #: Slack of angles in radians, over what rounding can do.
 SLACK = 1e-6
 
@@ -146,3 +150,102 @@ def near_pairs(vectors: DataFrame, key: str, part: str, vector: str, epsilon: fl
 
     sides = pairs.select("a", "b", F.col("a").alias("node"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("node"), F.lit(1).alias("side")))
     return sides.join(rows, "node").select("a", "b", "side", "id", "part", "v").groupBy("a", "b").applyInArrow(product, f"part {kinds['part']}, a {kinds['id']}, b {kinds['id']}, distance double")
+
+
+def _sparse(m: np.ndarray, at: dict[int, np.ndarray], pairs: list[tuple[int, int]], epsilon: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of unit rows `m` that stand for all pairs at most epsilon apart of the pairs of blocks `pairs`, whose rows are in `at`.
+
+    A row with `enough` links here keeps the first of them, and all such rows that are linked a spanning forest; other rows keep all their links.
+    """
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b in pairs:
+            for begin in range(0, len(at[a]), 256):
+                left, right = at[a][begin : begin + 256], at[b]
+                hit = 1 - m[left] @ m[right].T <= epsilon
+                if a == b:
+                    hit &= left[:, None] < right[None, :]
+                yield left, right, hit
+
+    degree = np.zeros(len(m), np.int64)
+    i_, j_ = [], []
+    for left, right, hit in near():
+        # Rows that haven't enough so far keep what they get here, up to that.
+        for rows, others, h, place in ((left, right, hit, degree[left]), (right, left, hit.T, degree[right])):
+            open_ = np.flatnonzero((place < enough) & h.any(axis=1))
+            x, y = np.nonzero(h[open_])
+            nth = np.arange(len(x)) - np.searchsorted(x, x)
+            kept = place[open_][x] + nth < enough
+            i_.append(rows[open_[x[kept]]])
+            j_.append(others[y[kept]])
+        degree[left] += hit.sum(axis=1)
+        degree[right] += hit.sum(axis=0)
+    core = degree >= enough
+    label, parent = np.arange(len(m)), list(range(len(m)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for left, right, hit in near():
+        x, y = np.nonzero(hit & core[left][:, None] & core[right][None, :] & (label[left][:, None] != label[right][None, :]))
+        if not len(x):
+            continue
+        _, first = np.unique(label[left[x]] * len(m) + label[right[y]], return_index=True)
+        for k in first.tolist():
+            u, v = int(left[x[k]]), int(right[y[k]])
+            ru, rv = root(u), root(v)
+            if ru != rv:
+                parent[max(ru, rv)] = min(ru, rv)
+                i_.append(np.array([u]))
+                j_.append(np.array([v]))
+        while True:  # all labels are roots again
+            up = np.asarray(parent)[label]
+            if (up == label).all():
+                break
+            label = up
+    return np.concatenate([np.zeros(0, np.int64), *i_]), np.concatenate([np.zeros(0, np.int64), *j_])
+
+
+def near_links(vectors: DataFrame, key: str, part: str, vector: str, epsilon: float, min_size: int, block: int = BLOCK, fan: int = FAN, side: int = SIDE) -> DataFrame:
+    """(a, b), a < b: those of near_pairs() from which density clusters of `min_size` follow: no more than some min_size a row of each task.
+
+    A row with min_size - 1 links in a task is a core, so a few of its links show that, and linked cores of a task need a spanning forest only. A row that
+    isn't a core has too few links in every task and keeps them all. Blocks meet by groups of up to `side`, each sent once a task.
+    """
+    rows, levels = blocks(sound(vectors, key, part, vector), block, fan)
+    rows = stash(rows, "leaves")
+    pairs = block_pairs(levels, float(np.arccos(np.clip(1 - epsilon, -1, 1))))
+    leaves = rows.groupBy("node").agg(F.first(F.xxhash64("part", F.size("v"))).alias("top"), F.first(F.size("v")).alias("dim"))
+    leaves = stash(leaves, "leaf-nodes")
+    some = F.greatest(F.lit(1), F.least(F.lit(side), F.floor(F.lit(NUMBERS) / (block * F.col("dim")))))
+    tops = leaves.groupBy("top").agg(F.ceil(F.count("*") / F.max(some)).alias("groups"))
+    of = leaves.join(tops, "top").select("node", F.xxhash64("top", F.pmod(F.xxhash64("node"), F.col("groups"))).alias("g"))
+    keyed = pairs.join(of.select(F.col("node").alias("a"), F.col("g").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("g").alias("y")), "b")
+    keyed = stash(keyed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("key"), "a", "b"), "block-keys")
+    sent = keyed.select(F.col("key").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct().join(rows, "node").select("to", "node", "id", "v")
+    kind = dict(rows.dtypes)["id"]
+
+    def links(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        ids = members.column("id").combine_chunks()
+        i = j = np.zeros(0, np.int64)
+        if pairs.num_rows and members.num_rows:
+            node, size = members.column("node").to_numpy(), pc.list_value_length(members.column("v")).to_numpy()
+            at = {int(x): np.flatnonzero(node == x) for x in np.unique(node)}
+            met = [(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if a in at and b in at]
+            # Rows of one number would count as several neighbours: where a task holds some, all pairs are kept.
+            enough = max(min_size - 1, 1) if pc.count_distinct(ids).as_py() == len(ids) else len(ids)
+            for n in np.unique(size):  # vectors of a key are of one length, but for a chance meeting of keys
+                own = np.flatnonzero(size == n)
+                place = np.full(len(ids), -1)
+                place[own] = np.arange(len(own))
+                here = {x: place[r] for x, r in at.items() if (place[r] >= 0).all()}
+                u, v = _sparse(_matrix(members.column("v").take(pa.array(own))), here, [p for p in met if p[0] in here and p[1] in here], epsilon, enough)
+                i, j = np.concatenate([i, own[u]]), np.concatenate([j, own[v]])
+        a, b = ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64()))
+        first = pc.less(a, b)
+        return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a)}).filter(pc.not_equal(a, b))
+
+    return keyed.groupBy("key").cogroup(sent.groupBy("to")).applyInArrow(links, f"a {kind}, b {kind}").distinct()

@@ -50,6 +50,27 @@ def test_far_cells_never_meet(spark):
     assert neighbours.near_pairs(spark.createDataFrame([], "id long, part string, v array<double>"), "id", "part", "v", 0.2).count() == 0
 
 
+@pytest.mark.parametrize(("block", "side", "epsilon", "min_size"), [(16, 4, 0.05, 3), (16, 2, 0.6, 5), (1024, 16, 0.2, 2)])
+def test_near_links_give_the_clusters_of_near_pairs(spark, block, side, epsilon, min_size):
+    rows = [r for r in _vectors(block + side, 300) if r[0] is not None]
+    df = spark.createDataFrame(rows, "id long, part string, v array<double>").repartition(5)
+    pairs = neighbours.near_pairs(df, "id", "part", "v", epsilon, block, 4).select("a", "b")
+    links = neighbours.near_links(df, "id", "part", "v", epsilon, min_size, block, 4, side)
+    got, want = ({(r["id"], r["cluster"], r["is_core"]) for r in cluster.dbscan(df, x, min_size).collect()} for x in (links, pairs))
+    assert got == want and len({c for _, c, _ in want}) > 1
+    assert links.join(pairs, ["a", "b"], "left_anti").count() == 0
+
+
+def test_links_of_a_bunch_grow_with_its_rows(spark):
+    """All pairs of a bunch are near: 44,850 pairs, but a few links a row show its cores and their component."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "p", [1 + rng.random() / 9, rng.random() / 9, rng.random() / 9]) for i in range(300)], "id long, part string, vector array<double>")
+    links = cluster.cluster_links(df, 0.2, 3)
+    assert links.count() <= 300 * 8
+    found = cluster.dbscan(df, links, 3).collect()
+    assert len(found) == 300 and all(r["cluster"] == 0 and r["is_core"] for r in found)
+
+
 def _texts(seed, n):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(18)]
