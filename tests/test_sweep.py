@@ -102,3 +102,18 @@ def test_word_sets_are_those_of_similarity_tokens(spark):
     one = wordsets.word_sets(spark.createDataFrame([(w, w) for w in name], "w string, t string"), ("t",), "test").collect()
     name = {r["w"]: r["t"][0] for r in one}
     assert len(set(name.values())) == len(name) > 500 and all({name[w] for w in r["w"]} == set(r["t"]) for r in got)
+
+
+def test_large_sets_bring_finer_sketches(spark):
+    """Sets of far more members than a sketch has bits: unlike ones aren't written, none that overlaps enough is lost."""
+    rng, rows = np.random.default_rng(2), []
+    for i in range(40):
+        n = int(rng.integers(600, 2500))
+        rows.append((2 * i, "p", np.r_[-1, rng.choice(30_000, n, replace=False)].tolist()))
+        if i % 8 == 0:
+            rows.append((2 * i + 1, "p", rows[-1][2][: int(n * 0.9)] + list(range(40_000, 40_000 + n // 20))))
+    df = spark.createDataFrame(rows, "id long, part string, t array<long>").select("id", "part", cluster._hashed(F.col("t")).alias("t"))
+    want = {(a, b) for (a, _, s), (b, _, t) in combinations(rows, 2) if len(set(s) & set(t)) >= 0.72 * len(set(s) | set(t))}
+    met = sweep.met_pairs(sweep.prefix_rows(df, "t", 0.72, 8, fine=True), 0.72, sweep.overlap_fits(0.72), sketched=True)
+    assert {tuple(r) for r in met.collect()} == want and len(want) == 5
+    assert {(r["a"], r["b"]) for r in cluster.jaccard_pairs(df, "id", "part", "t", 0.72).collect()} == want
